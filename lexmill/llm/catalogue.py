@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, secret_scan
+from lexmill.llm import bpe, chat, fm_index, secret_scan
 
 QUERIES = {
     "op5_byte_bpe": bpe.op5,
+    "op7_chat_format": chat.op7,
+    "op8_decontaminate": fm_index.op8,
     "op9_secret_scan": secret_scan.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE,
+    "op8_decontaminate": fm_index.ORACLE,
+}
