@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, secret_scan
+from lexmill.llm import bpe, chat, fm_index, secret_scan, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1,
     "op5_byte_bpe": bpe.op5,
     "op7_chat_format": chat.op7,
     "op8_decontaminate": fm_index.op8,
