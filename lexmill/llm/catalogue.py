@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, secret_scan, simhash
+from lexmill.llm import bpe, chat, fm_index, kneser_ney, secret_scan, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_chat_format": chat.op7,
     "op8_decontaminate": fm_index.op8,
     "op9_secret_scan": secret_scan.op9,
+    "op10_kneser_ney": kneser_ney.op10,
 }
 ORACLES: dict[str, str] = {
     "op7_chat_format": chat.ORACLE,
