@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, kneser_ney, secret_scan, simhash
+from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
+    "op2_lang_id": lang_id.op2,
     "op5_byte_bpe": bpe.op5,
     "op7_chat_format": chat.op7,
     "op8_decontaminate": fm_index.op8,
