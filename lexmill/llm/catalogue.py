@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, simhash
+from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, shards, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_lang_id": lang_id.op2,
     "op5_byte_bpe": bpe.op5,
+    "op6_shards": shards.op6,
     "op7_chat_format": chat.op7,
     "op8_decontaminate": fm_index.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_kneser_ney": kneser_ney.op10,
 }
 ORACLES: dict[str, str] = {
+    "op6_shards": shards.op6,
     "op7_chat_format": chat.ORACLE,
     "op8_decontaminate": fm_index.ORACLE,
 }
