@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, shards, simhash
+from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, shards, simhash, winnow
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_lang_id": lang_id.op2,
+    "op4_winnowing": winnow.op4,
     "op5_byte_bpe": bpe.op5,
     "op6_shards": shards.op6,
     "op7_chat_format": chat.op7,
