@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, shards, simhash, winnow
+from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, secret_scan, shards, simhash, token_spans, winnow
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_lang_id": lang_id.op2,
+    "op3_token_counts": token_spans.op3,
     "op4_winnowing": winnow.op4,
     "op5_byte_bpe": bpe.op5,
     "op6_shards": shards.op6,

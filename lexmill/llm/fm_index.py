@@ -199,16 +199,16 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards(batches: Iterator[pd.DataFrame], limit: int = SHARD_CHARS) -> Iterator[pd.DataFrame]:
+def shards(batches: Iterator[pd.DataFrame], text: str, limit: int = SHARD_CHARS) -> Iterator[pd.DataFrame]:
     """The rows in pieces of at most limit characters (or one row)."""
     for batch in batches:
-        number = batch["text"].str.len().fillna(0).cumsum() // limit
+        number = batch[text].str.len().fillna(0).cumsum() // limit
         for _, part in batch.groupby(number, sort=False):
             yield part
 
 
 def find(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS, window: int = WINDOW) -> DataFrame:
-    """carry columns and (n_words, spans array<struct<start,end>> in words, items array<string>) of each document."""
+    """carry columns (other names than those that follow) and (n_words, spans array<struct<start,end>> in words, items array<string>) of each document."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     number = F.pmod(F.xxhash64("text"), F.lit(blocks))
@@ -216,8 +216,9 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
     fields = [docs.schema[c] for c in carry]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     own = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    text = docs["text"].alias("_text")
-    docs = docs.select(*carry, text, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    source = "text" if "text" in carry else "_text"
+    apart = "text" not in carry
+    docs = docs.select(*carry, *[docs["text"].alias("_text")] * apart, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for block in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(number == block)
         rows = part.select(F.col("item_id").cast("string"), "text").distinct().collect()  # at most about block_chars
@@ -226,11 +227,11 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
 
         def run(batches: Iterator[pd.DataFrame], phrases=phrases, last=last) -> Iterator[pd.DataFrame]:
             p = phrases.value
-            for batch in shards(b.rename(columns={"_text": "text"}) for b in batches):
-                counts, spans, items = p.hits(batch["text"].tolist())
+            for batch in shards(batches, source):
+                counts, spans, items = p.hits(batch[source].tolist())
                 out = batch[list(carry)].copy()
-                if not last:
-                    out["_text"] = batch["text"]
+                if not last and apart:
+                    out["_text"] = batch["_text"]
                 out["n_words"] = counts
                 out["spans"] = [
                     [{"start": a, "end": b} for a, b in merge(sorted([*new, *((x["start"], x["end"]) for x in old)]))]
@@ -239,7 +240,7 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
                 out["items"] = [sorted(new | set(old)) for new, old in zip(items, batch["items"], strict=True)]
                 yield out
 
-        docs = docs.mapInPandas(run, ", ".join([head, *["_text string"] * (not last), own]))
+        docs = docs.mapInPandas(run, ", ".join([head, *["_text string"] * (not last and apart), own]))
     return docs
 
 

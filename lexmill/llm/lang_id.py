@@ -130,16 +130,17 @@ def train(labelled: DataFrame) -> ContextTrees | None:
 
 
 def predict(docs: DataFrame, model: ContextTrees | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry and (lang_pred, score, bits_per_byte) of each row."""
+    """carry (other names than those that follow) and (lang_pred, score, bits_per_byte) of each row."""
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = "text" if "text" in carry else "_text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                texts = part["_text"].tolist()
+                texts = part[source].tolist()
                 out = part[list(carry)].copy()
                 known = np.array([trees is not None and t is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
                 pred, score, rate = np.full(len(part), UNKNOWN, dtype=object), np.zeros(len(part)), np.zeros(len(part))
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, model: ContextTrees | None, carry: tuple[str, ...]
                 out["lang_pred"], out["score"], out["bits_per_byte"] = pred, score, rate
                 yield out
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInPandas(run, f"{head}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*carry, *[F.col("text").alias("_text")] * ("text" not in carry)).mapInPandas(run, f"{head}, lang_pred string, score double, bits_per_byte double")
 
 
 def held_out(folds: int = 3):
