@@ -24,6 +24,8 @@ TOKEN = 8
 K = 4
 WINDOW = 8
 LOW = (1 << 31) - 1
+#: Stands for a null doc_id in joins.
+NULL_ID = -(1 << 63)
 
 
 def chosen(text, k: int = K, window: int = WINDOW):
@@ -64,10 +66,10 @@ def likeness(a, b):
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(id, next_id) over distinct ids in descending order, in a circle; ids are ranked by ranges, not in one task."""
+    """(id, next_id) of distinct ids in descending order, in a circle; ids are ranked by ranges, not in one task."""
     parts = max(8, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = materialize(
-        ids.distinct().repartitionByRange(parts, F.desc("id")).sortWithinPartitions(F.desc("id")).withColumn("m", F.monotonically_increasing_id())
+        ids.repartitionByRange(parts, F.desc("id")).sortWithinPartitions(F.desc("id")).withColumn("m", F.monotonically_increasing_id())
     ).select("id", F.shiftright("m", 33).cast("int").alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
     before = counts.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"), F.sum("n").over(Window.partitionBy()).alias("all"))
@@ -78,25 +80,20 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_chars, edited text digest, both fingerprints, likeness to the edited and to the next document)."""
-    raw = docs.select(F.col(key).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    # text and chosen hashes go through one exchange that both branches below read
-    base = raw.withColumn("picked", chosen(F.col("text"))).repartition("id")
-    ring = neighbours(raw.select("id"))
-    need = raw.groupBy("id").agg(F.max(F.floor(F.char_length("text") / 3)).alias("need"))
-    asked = ring.join(need, ring["id"].eqNullSafe(need["id"])).select(ring["id"].alias("asker"), F.col("next_id").alias("asked_id"), "need")
-    heads = base.join(asked, F.col("id").eqNullSafe(F.col("asked_id"))).select(
-        "asker", F.substring("text", F.lit(1), F.col("need").cast("int")).alias("head"), hashes(F.col("picked")).alias("next_hashes"), F.col("text").alias("_text")
-    )
-    distinct_ids, rows = raw.agg(F.countDistinct(F.struct("id")), F.count("*")).first()
-    if distinct_ids < rows:
-        best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("_text")))
+    raw = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = raw.repartition("id")  # one exchange of the texts, which both branches below read
+    third = lambda c: F.floor(F.char_length(c) / 3).cast("int")
+    ids = materialize(raw.groupBy("id").agg(F.max(third("text")).alias("need"), F.count("*").alias("n")))
+    asked = neighbours(ids.select("id")).join(ids.select("id", "need"), "id").select(F.col("id").alias("asker"), F.col("next_id").alias("id"), "need")
+    heads = base.join(asked, "id").select("asker", "need", "text")
+    if not ids.where("n > 1").isEmpty():
+        best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("text")))
         heads = heads.withColumn("_n", best).where("_n = 1")
-    heads = heads.select("asker", "head", "next_hashes")
-    n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    # base and heads are both dealt by the id, so this join adds one exchange, of heads
-    joined = base.join(heads, F.col("id").eqNullSafe(F.col("asker"))).select(
-        F.col("id").alias(key), n.cast("long").alias("n_chars"), "picked", "next_hashes",
-        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"),
+    heads = heads.select(F.col("asker").alias("id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(chosen(F.col("text"))).alias("next_hashes"))
+    # only heads and hashes move again for this join
+    joined = base.join(heads, "id").select(
+        F.when(F.col("id") != NULL_ID, F.col("id")).cast(docs.schema[key].dataType).alias(key), F.char_length("text").cast("long").alias("n_chars"), chosen(F.col("text")).alias("picked"), "next_hashes",
+        F.concat(F.substring("text", F.lit(1), F.char_length("text") - third("text")), F.substring("head", F.lit(1), third("text"))).alias("edited"),
     )
     joined = joined.withColumn("edited_picked", chosen(F.col("edited")))
     own, other = hashes(F.col("picked")), hashes(F.col("edited_picked"))
