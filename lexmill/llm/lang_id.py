@@ -16,7 +16,6 @@ predicted each on its own; extra columns are dropped.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,45 +37,70 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
+def low(k: int) -> int:
+    """A mask of k bytes."""
+    return (1 << 8 * k) - 1
+
+
+def followers(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context of k bytes, next byte, how often), sorted."""
+    grams = [np.zeros(0, dtype=np.int64)]
+    for text in texts:
+        raw = np.frombuffer(text, dtype=np.uint8).astype(np.int64)
+        if len(raw) <= k:
+            continue
+        gram = np.zeros(len(raw) - k, dtype=np.int64)
+        for j in range(k + 1):
+            gram = (gram << 8) | raw[j : len(raw) - k + j]
+        grams.append(gram)
+    keys, n = np.unique(np.concatenate(grams), return_counts=True)
+    return keys >> 8, keys & 255, n
+
+
 class ContextTrees:
     """Code lengths, in bits, of every byte after every kept context, for each language."""
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CONTEXTS):
         self.langs, self.order = sorted(samples), order
-        counts: list[dict[bytes, Counter]] = []
-        seen: Counter = Counter()
-        for lang in self.langs:
-            own: dict[bytes, Counter] = {}
-            for text in samples[lang]:
-                for k in range(order + 1):
-                    for gram, n in Counter(text[i - k : i + 1] for i in range(k, len(text))).items():
-                        own.setdefault(gram[:k], Counter())[gram[k:]] += n
-            for context, after in own.items():
-                seen[context] += sum(after.values())
-            counts.append(own)
-        # a context's suffixes are at least as frequent and shorter, so they are kept with it
-        kept = sorted(seen, key=lambda c: (-seen[c], len(c), c))[: max(1, contexts)]
-        nodes = sorted({c[k:] for c in kept for k in range(len(c) + 1)} | {b""}, key=lambda c: (len(c), c))
-        number = {c: k for k, c in enumerate(nodes)}
-        self.bits = np.empty((len(nodes), 256, len(self.langs)), dtype=np.float32)
-        self.next = np.empty((len(nodes), 256), dtype=np.int32)
-        for k, c in enumerate(nodes):
-            shorter = number[c[1:]] if c else None
-            for lang, own in enumerate(counts):
-                row = self.bits[shorter, :, lang].astype(float) if c else np.full(256, 8.0)
-                after = own.get(c)
-                if after:
-                    total = sum(after.values()) + len(after)
-                    row = row - np.log2(len(after) / total)
-                    for byte, n in after.items():
-                        row[byte[0]] = -np.log2(n / total)
-                self.bits[k, :, lang] = row
-            for byte in range(256):
-                new = c + bytes([byte])
-                new = new[-order:] if order else b""
-                while new not in number:
-                    new = new[1:]
-                self.next[k, byte] = number[new]
+        # a context of k bytes is an int of k bytes; counts[lang][k]: (context, byte, count) arrays by context
+        counts = [[followers(samples[lang], k) for k in range(order + 1)] for lang in self.langs]
+        totals = []
+        for k in range(order + 1):
+            context = np.concatenate([c[k][0] for c in counts])
+            keys, back = np.unique(context, return_inverse=True)
+            totals.append((keys, np.bincount(back, np.concatenate([c[k][2] for c in counts]), len(keys))))
+        # a context's suffixes are at least as frequent, and shorter ones go first, so they are kept with it
+        size = np.concatenate([n for _, n in totals])
+        depth = np.repeat(np.arange(order + 1), [len(n) for _, n in totals])
+        key = np.concatenate([x for x, _ in totals])
+        kept = np.lexsort((key, depth, -size))[: max(1, contexts)]
+        nodes = [np.unique(key[kept[depth[kept] == k]]) for k in range(order + 1)]
+        for k in range(order, 0, -1):
+            nodes[k - 1] = np.unique(np.concatenate([nodes[k - 1], nodes[k] & low(k - 1), [0][: k == 1]])).astype(np.int64)
+        first = np.cumsum([0, *(len(x) for x in nodes)])
+        self.bits = np.full((first[-1], 256, len(self.langs)), 8.0, dtype=np.float32)
+        self.next = np.zeros((first[-1], 256), dtype=np.int32)
+        for k, own in enumerate(nodes):
+            rows = slice(first[k], first[k + 1])
+            if k:
+                self.bits[rows] = self.bits[first[k - 1] + np.searchsorted(nodes[k - 1], own & low(k - 1))]
+            for lang in range(len(self.langs)):
+                context, byte, n = counts[lang][k]
+                at = np.searchsorted(own, context)
+                there = np.flatnonzero((at < len(own)) & (own[np.minimum(at, len(own) - 1)] == context) if len(own) else np.zeros(len(at), bool))
+                at, byte, n = at[there], byte[there], n[there]
+                total, distinct = np.bincount(at, n, len(own)), np.bincount(at, minlength=len(own))
+                seen = distinct > 0
+                escape = np.zeros(len(own))
+                escape[seen] = -np.log2(distinct[seen] / (total + distinct)[seen])
+                self.bits[rows, :, lang] += escape[:, None]
+                self.bits[first[k] + at, byte, lang] = -np.log2(n / (total + distinct)[at])
+            new = (own[:, None] << 8) | np.arange(256)
+            for j in range(min(k + 1, order) + 1):  # the longest kept suffix comes last
+                if len(nodes[j]):
+                    want = new & low(j)
+                    at = np.minimum(np.searchsorted(nodes[j], want), len(nodes[j]) - 1)
+                    self.next[rows] = np.where(nodes[j][at] == want, first[j] + at, self.next[rows])
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (row) in each language; a text's first byte has the empty context."""

@@ -33,6 +33,7 @@ def test_code_lengths_are_those_of_the_trees():
 
 def test_rows(spark):
     rows = [(i, t, lang, 0.5) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20)]
+    rows += [(200 + k, "xyz"[:k], "fr", 0.0) for k in range(4)]
     rows += [(100, None, "en", 0.0), (101, " 12 !", None, 0.0), (None, "the dog", None, 0.0), (102, "the and " * 40000, None, 0.0), (103, "", "en", 0.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     model = li.train(df)
