@@ -377,3 +377,9 @@ def consistency(c: C) -> Column:
 def bge_url(c: C) -> Column:
     """F32: citation text of an official decision, `BGE a III b`."""
     return strip(F.regexp_replace(F.replace(F.upper(c), F.lit("-"), F.lit(" ")), r"^(?:CH )?BGE ", "BGE "))
+
+
+def pieces(c: C, n: int = 16, inner: bool = False) -> Column:
+    """The n characters from each word's start; inner: only of words after white space."""
+    before = r"(?<=\s)" if inner else r"(?<!\S)"
+    return F.filter(F.regexp_extract_all(col(c), F.lit(rf"(?s)(?=({before}\S.{{{n - 1}}}))."), F.lit(1)), lambda x: x != "")

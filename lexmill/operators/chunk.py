@@ -15,27 +15,25 @@ def n_words(c: Column) -> Column:
 def pack(paragraphs: Column, most: int, least: int, glue: str = "\n\n") -> Column:
     """Greedy packing of paragraphs into chunks of at most `most` words; a last chunk under `least` joins its predecessor.
 
-    A single paragraph that is too long stays whole.
+    A single paragraph that is too long stays whole. Only places are folded; texts are joined once.
     """
-    empty = F.expr("cast(array() as array<string>)")
-    start = F.struct(empty.alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-
-    def add(a, p):
-        k = n_words(p)
-        flush = (a["n"] + k > most) & (a["n"] > 0)
-        return F.struct(
-            F.when(flush, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
-            F.when(flush | (a["n"] == 0), p).otherwise(F.concat(a["cur"], F.lit(glue), p)).alias("cur"),
-            F.when(flush, k).otherwise(a["n"] + k).alias("n"),
-        )
+    start = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("n"), F.lit(1).alias("i"))
+
+    def add(a, k):
+        flush = (a["n"] + k > most) & (a["i"] > F.element_at(a["starts"], -1))
+        return F.struct(F.when(flush, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"), F.when(flush, k).otherwise(a["n"] + k).alias("n"), (a["i"] + 1).alias("i"))
 
     def end(a):
-        done, cur, n = a["done"], a["cur"], a["n"]
-        merge = (n < least) & (F.size(done) > 0)
-        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.lit(glue), cur)))
-        return F.when(n == 0, done).when(merge, merged).otherwise(F.concat(done, F.array(cur)))
+        merge = (a["n"] < least) & (F.size(a["starts"]) > 1)
+        return F.when(merge, F.slice(a["starts"], 1, F.greatest(F.size(a["starts"]) - 1, F.lit(1)))).otherwise(a["starts"])
+
+    def join(parts):
+        bounds = F.transform(F.array(F.aggregate(F.transform(parts, lambda p: n_words(p)), start, add, end)), lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(parts) + 1)), lambda x, y: F.struct(x.alias("a"), y.alias("b"))))
+        return F.transform(F.element_at(bounds, 1), lambda x: F.array_join(F.slice(parts, x["a"], x["b"] - x["a"]), glue))
 
-    return F.aggregate(paragraphs, start, add, end)
+    # the paragraphs are bound once, so their split is not repeated for each use
+    joined = F.element_at(F.transform(F.array(paragraphs), lambda p: join(p)), 1)
+    return F.when(F.size(paragraphs) > 0, joined).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def whole_or(c: Column, most: int, packed: Column) -> Column:

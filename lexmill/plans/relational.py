@@ -240,15 +240,20 @@ def j1(s, d):
 
 @query("j4_j5_containment_fallback", "SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def j4(s, d):
-    """Substring containment: items are blocked by a rare piece of theirs, so no pair of unlike texts is made.
+    """Substring containment: items are blocked by a piece of theirs, so no pair of unlike texts is made.
 
-    Each item and each document is keyed by hashes of its first 24-character windows that begin at a
-    word; an item's key is its first such window. Only equal keys meet, and containment is checked.
+    A piece is 16 characters from a word's start. A document is keyed by all its pieces, an item by its
+    first piece after a blank, which every text that contains the item has too. Only equal keys meet, and
+    containment is checked. Items too short for a piece are few and meet all documents by a broadcast.
     """
-    starts = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)(?=((?<![^\s])\S.{15}))."), F.lit(1))
-    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("t"), F.explode(F.array_distinct(F.transform(F.filter(starts("text"), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("k"))
-    items = table(s, d, "benchmark").select("item_id", "text", F.xxhash64(F.get(F.filter(starts("text"), lambda x: x != ""), 0)).alias("k"))
-    return docs.join(F.broadcast(items), "k").where(F.expr("contains(t, text)")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    from lexmill.functions.text import pieces
+
+    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
+    items = table(s, d, "benchmark").select("item_id", "text", F.xxhash64(F.get(pieces("text", inner=True), 0)).alias("k"), (F.size(pieces("text", inner=True)) > 0).alias("long"))
+    keyed = docs.select("doc_id", "t", F.explode(F.array_distinct(F.transform(pieces("t"), lambda x: F.xxhash64(x)))).alias("k"))
+    hits = keyed.join(items.where("long"), "k").where("contains(t, text)").select("item_id", "doc_id")
+    short = docs.join(items.where("not long").select("item_id", "text"), F.expr("contains(t, text)")).select("item_id", "doc_id")
+    return hits.unionByName(short).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("j6_enrich_fallback", "SELECT d.doc_id, coalesce(nullif(b.text, ''), left(d.text, 100)) AS full_content FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id")

@@ -229,17 +229,17 @@ c AS (SELECT *, %s AS n FROM e),
 w AS (
   SELECT doc_id, m, i, n, n AS run, 1 AS chunk FROM c WHERE i = 1
   UNION ALL
-  SELECT c.doc_id, c.m, c.i, c.n, CASE WHEN w.run + c.n > 100 AND w.run > 0 THEN c.n ELSE w.run + c.n END, CASE WHEN w.run + c.n > 100 AND w.run > 0 THEN w.chunk + 1 ELSE w.chunk END
+  SELECT c.doc_id, c.m, c.i, c.n, CASE WHEN w.run + c.n > 100 THEN c.n ELSE w.run + c.n END, CASE WHEN w.run + c.n > 100 THEN w.chunk + 1 ELSE w.chunk END
   FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1),
 g AS (SELECT doc_id, chunk, CAST(sum(n) AS BIGINT) AS n_words FROM w GROUP BY 1, 2)
-SELECT doc_id, chunk - 1 AS chunk_index, n_words FROM g WHERE n_words > 0 OR chunk = 1
+SELECT doc_id, chunk - 1 AS chunk_index, n_words FROM g
 """ % (WORDS.format(c="text"), WORDS.format(c="s"))
 
 
 @query("c1_pack_paragraphs", C1_SQL)
 def c1(s, d):
     packed = chunk.whole_or(F.col("text"), 100, chunk.pack(F.split("text", r"\n\n+|\n"), 100, 0, "\n"))
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(F.when(F.size(packed) > 0, packed).otherwise(F.array("text"))).alias("chunk_index", "c"))
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(packed).alias("chunk_index", "c"))
     return rows.select("doc_id", "chunk_index", chunk.n_words(F.col("c")).alias("n_words"))
 
 

@@ -87,18 +87,15 @@ def brute_pack(paras, most, least):
     out, cur, n = [], [], 0
     for p in paras:
         k = len(p.split())
-        if n + k > most and n > 0:
-            out.append("\n\n".join(cur))
-            cur, n = [p], k
-        elif n == 0:
-            cur, n = [p], k
-        else:
-            cur, n = [*cur, p], n + k
-    if n:
-        if n < least and out:
-            out[-1] += "\n\n" + "\n\n".join(cur)
-        else:
+        if n + k > most and cur:
             out.append("\n\n".join(cur))
+            cur, n = [], 0
+        cur.append(p)
+        n += k
+    if out and n < least:
+        out[-1] = "\n\n".join([out[-1], *cur])
+    else:
+        out.append("\n\n".join(cur))
     return out
 
 
