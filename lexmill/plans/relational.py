@@ -250,8 +250,10 @@ def j4(s, d):
 
     docs = table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
     items = table(s, d, "benchmark").select("item_id", "text", F.xxhash64(F.get(pieces("text", inner=True), 0)).alias("k"), (F.size(pieces("text", inner=True)) > 0).alias("long"))
-    keyed = docs.select("doc_id", "t", F.explode(F.array_distinct(F.transform(pieces("t"), lambda x: F.xxhash64(x)))).alias("k"))
-    hits = keyed.join(items.where("long"), "k").where("contains(t, text)").select("item_id", "doc_id")
+    # keys travel without texts; only candidates fetch theirs
+    keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(pieces("t"), lambda x: F.xxhash64(x)))).alias("k"))
+    candidates = keyed.join(items.where("long").select("k", "item_id", "text"), "k").drop("k")
+    hits = docs.join(candidates, "doc_id").where("contains(t, text)").select("item_id", "doc_id")
     short = docs.join(items.where("not long").select("item_id", "text"), F.expr("contains(t, text)")).select("item_id", "doc_id")
     return hits.unionByName(short).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
