@@ -67,7 +67,8 @@ def shard(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROWS) -> Da
         )
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = min(MAX_RANGES, max(shards * 2, -(-n // range_rows)))
+    range_rows = max(range_rows, -(-n // MAX_RANGES))
+    ranges = max(shards * 2, -(-n // range_rows))
     bounds = splitters(rows, "size", ranges)
     rows = located(rows, bounds)
     stats = {r[0]: (r[1], r[2]) for r in rows.groupBy("range").agg(F.count("*"), F.sum("size")).collect()}  # a row for each range
