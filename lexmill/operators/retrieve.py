@@ -182,16 +182,16 @@ def lane(points: DataFrame, posts: DataFrame, query: list[float], tokens: dict[s
 
 
 def search(lanes: dict[str, DataFrame]) -> DataFrame:
-    """All lanes' rows with their lane, its confidence and the overall one (the least)."""
-    out = summary = None
+    """All lanes' rows with their lane, its confidence and the overall one (the least; an empty lane has none)."""
+    out = None
     for name, rows in lanes.items():
         rows = rows.select("id", "rank", "final_score", F.lit(name).alias("lane"))
-        one = confidence(rows).select(F.lit(name).alias("lane"), "confidence")
         out = rows if out is None else out.unionByName(rows)
-        summary = one if summary is None else summary.unionByName(one)
-    least = summary.agg(F.min_by("confidence", vector.tier_rank(F.col("confidence"))).alias("overall"))  # one row
-    both = summary.withColumn("_one", F.lit(1)).join(least.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return out.join(F.broadcast(both), "lane")  # a row for each lane
+    # windows over the lanes' few rows, so no lane is computed twice
+    own, whole = Window.partitionBy("lane"), Window.partitionBy()
+    out = out.withColumn("confidence", vector.tier(F.max("final_score").over(own), F.var_pop("final_score").over(own)))
+    least = F.min_by("confidence", vector.tier_rank(F.col("confidence"))).over(whole)
+    return out.withColumn("overall", F.when(F.size(F.collect_set("lane").over(whole)) < len(lanes), "NONE").otherwise(least))
 
 
 def assemble(rows: DataFrame, chunks: DataFrame, documents: int = 10, most: int = 50) -> DataFrame:

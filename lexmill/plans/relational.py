@@ -98,7 +98,7 @@ def a11(s, d):
     return table(s, d, "embeddings").groupBy("label").agg(F.round(F.max(x), 6).alias("top_score"), F.round(F.var_pop(x), 6).alias("score_variance"))
 
 
-@query("a13_session_stats", "SELECT conv_id, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, round(sum(length(text) // 4 * 0.000002), 4) AS cost, CAST(sum(length(text) // 4) // count(*) AS BIGINT) AS per_turn FROM conversations GROUP BY conv_id")
+@query("a13_session_stats", "SELECT conv_id, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, CAST(round(sum(length(text) // 4 * 0.000002), 4) AS DOUBLE) AS cost, CAST(sum(length(text) // 4) // count(*) AS BIGINT) AS per_turn FROM conversations GROUP BY conv_id")
 def a13(s, d):
     rows = table(s, d, "conversations").select("conv_id", text.estimate_tokens("text").alias("t"))
     return rows.groupBy("conv_id").agg(F.sum("t").alias("tokens"), F.round(F.sum(F.col("t") * 0.000002), 4).alias("cost"), F.expr("sum(t) div count(*)").alias("per_turn"))

@@ -135,7 +135,7 @@ def f60(s, d):
     return a.join(b, "a_id").select("a_id", F.round(vector.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
-@query("f63_metadata_similarity", "SELECT a.p_partkey, CASE WHEN a.p_name = b.p_name THEN 1.0 WHEN a.p_brand = b.p_brand THEN 0.7 WHEN a.p_type = b.p_type THEN 0.5 WHEN a.p_size = b.p_size THEN 0.3 ELSE 0.0 END AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+@query("f63_metadata_similarity", "SELECT a.p_partkey, CAST(CASE WHEN a.p_name = b.p_name THEN 1.0 WHEN a.p_brand = b.p_brand THEN 0.7 WHEN a.p_type = b.p_type THEN 0.5 WHEN a.p_size = b.p_size THEN 0.3 ELSE 0.0 END AS DOUBLE) AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def f63(s, d):
     a = table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
     b = a.select((F.col("p_partkey") - 1).alias("p_partkey"), *(F.col(c).alias(f"o_{c}") for c in a.columns[1:]))
