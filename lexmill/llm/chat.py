@@ -13,9 +13,9 @@ conversation of its own; repeated rows are turns of their own; other columns are
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,7 @@ TURN = re.compile("|".join([f"{re.escape(a)}{BODY}{re.escape(b)}" for a, b in MA
 PROBES = ("\x01a\x02", "\x03b\x04")
 
 
+@lru_cache(maxsize=4096)
 def escape(text: str) -> str:
     """A backslash before each backslash and each control string."""
     return CONTROL.sub(lambda m: "\\" + m[0], text)
@@ -69,9 +70,13 @@ def parse(formatted: str) -> list[Turn]:
     return out
 
 
-def shared(a: str, b: str, back: bool = False) -> int:
-    """Length of the common prefix, or suffix."""
-    return len(os.path.commonprefix([a[::-1], b[::-1]] if back else [a, b]))
+def shared(a: str, b: str) -> int:
+    """Length of the common prefix, found by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
 
 
 def locate(turns: list[Turn], template: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int, int, int] | None], list[int]]:
@@ -90,7 +95,8 @@ def locate(turns: list[Turn], template: Callable[[list[Turn]], str]) -> tuple[st
             before = now
             continue
         probes = [template([*turns[:k], (turns[k][0], p)]) for p in PROBES]
-        head, tail = shared(*probes), shared(*probes, back=True)
+        own = [p[len(before) :] if p.startswith(before) else "" for p in probes]  # what the turn adds
+        head, tail = len(before) + shared(*own), shared(own[0][::-1], own[1][::-1])
         fits = head >= len(before) and head + tail <= len(now) and now[:head] == probes[0][:head] and now[len(now) - tail :] == probes[0][len(probes[0]) - tail :]
         spans.append((len(before) if k else min(bare, len(before)), len(now), head, len(now) - tail) if fits else None)
         before = now
