@@ -71,22 +71,28 @@ def masks(bits: list[int], radius: int) -> list[int]:
 
 
 def forest(fps: np.ndarray, ids: np.ndarray, others: np.ndarray | None, radius: int, total: int) -> list[tuple[int, int]]:
-    """Spanning forest (id pairs) of the links among distinct fingerprints of one bucket.
+    """The components of the links among distinct fingerprints of one bucket, as stars (least id, id).
 
-    others: second fingerprints; then a link needs at most total differing bits in both.
+    others: second fingerprints; then a link needs at most total differing bits in both. Stars of one
+    group from several buckets mostly share their centre, so few distinct links are left.
     """
-    n, out = len(fps), []
+    n = parts = len(fps)
     label = np.arange(n)
     for k in range(n - 1):
         gap = np.bitwise_count(fps[k + 1 :] ^ fps[k])
         near = gap <= radius
         if others is not None:
             near &= gap + np.bitwise_count(others[k + 1 :] ^ others[k]) <= total
-        for j in np.flatnonzero(near & (label[k + 1 :] != label[k])) + k + 1:
-            if label[j] != label[k]:
-                out.append((int(ids[k]), int(ids[j])))
-                label[label == label[j]] = label[k]
-    return out
+        for old in np.unique(label[k + 1 :][near]):
+            if old != label[k]:
+                label[label == old] = label[k]
+                parts -= 1
+        if parts == 1:
+            break
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    root = least[label]
+    return [(int(r), int(i)) for r, i in zip(root, ids, strict=True) if r != i]
 
 
 def bucket_links(rows: DataFrame, radius: int, total: int, two: bool) -> DataFrame:
@@ -121,21 +127,18 @@ def links(nodes: DataFrame, radius: int = 3, total: int | None = None, bucket: i
     """
     first = masks(list(range(64)), radius)
     two = total is not None
-    rows = nodes.select("id", "fp", "other", F.explode(hashed_masks(F.col("fp"), first)).alias("x")).select(
-        "id", "fp", "other", F.col("x.key").alias("key"), F.col("x.mask").alias("used")
-    )
+    # buckets are found on (id, key) alone; fingerprints are fetched for those that met another
+    rows = nodes.select("id", F.explode(hashed_masks(F.col("fp"), first)).alias("x")).select("id", F.col("x.key").alias("key"), F.col("x.mask").alias("used"))
     found, level = None, 0
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = rows.join(counts, "key")
+        met = materialize(rows.join(counts, "key"))
         # the last level has 8 free bits at most, so its buckets are small whatever the input
         small = met if level == 2 else met.where(F.col("n") <= bucket)
-        part = bucket_links(small, radius, total if two else 64, two)
+        part = bucket_links(small.join(nodes, "id"), radius, total if two else 64, two)
         found = part if found is None else found.unionByName(part)
-        if level == 2:
-            return found
-        hot = materialize(met.where(F.col("n") > bucket).drop("n"))
-        if hot.isEmpty():
+        hot = met.where(F.col("n") > bucket).drop("n")
+        if level == 2 or hot.isEmpty():
             return found
         # each used mask has masks of its own over the bits it leaves out; there are few used masks
         used = sorted({r[0] for r in hot.select("used").distinct().collect()})  # at most (2 ** (radius + 1) - 1) ** level
@@ -145,8 +148,8 @@ def links(nodes: DataFrame, radius: int = 3, total: int | None = None, bucket: i
             again[u] = [signed(m | (u & ((1 << 64) - 1))) for m in masks(free, radius)]
         spark = nodes.sparkSession
         deeper = spark.createDataFrame([(u, m) for u, ms in again.items() for m in ms], "used long, mask long")
-        rows = hot.join(F.broadcast(deeper), "used").select(
-            "id", "fp", "other", F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "mask", "key").alias("key"), F.col("mask").alias("used")
+        rows = hot.join(F.broadcast(deeper), "used").join(nodes, "id").select(
+            "id", F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "mask", "key").alias("key"), F.col("mask").alias("used")
         )
         level += 1
 
@@ -163,7 +166,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, radi
     )
 
 
-def robust_groups(docs: DataFrame, key: str = "doc_id", radius: int = 5, total: int = 16) -> DataFrame:
+def robust_groups(docs: DataFrame, key: str = "doc_id", radius: int = 5, total: int = 16, bucket: int = 16 * BUCKET) -> DataFrame:
     """(key, group) for near copies whose five-word shingles are 0.8 alike or more.
 
     Such copies lie about 10 of 64 bits apart in fingerprints of five-word shingles, more than covering
@@ -174,8 +177,8 @@ def robust_groups(docs: DataFrame, key: str = "doc_id", radius: int = 5, total:
     """
     fps = materialize(fingerprints(docs, key, 1, True, (SEED, SEED + 1)))
     nodes = materialize(fps.groupBy("fp0", "fp1").agg(F.min(key).alias("id")).where("id is not null"))
-    one = links(nodes.select("id", F.col("fp0").alias("fp"), F.col("fp1").alias("other")), radius, total)
-    two = links(nodes.select("id", F.col("fp1").alias("fp"), F.col("fp0").alias("other")), radius, total)
+    one = materialize(links(nodes.select("id", F.col("fp0").alias("fp"), F.col("fp1").alias("other")), radius, total, bucket))
+    two = links(nodes.select("id", F.col("fp1").alias("fp"), F.col("fp0").alias("other")), radius, total, bucket)
     roots = components(one.unionByName(two))
     of = nodes.join(roots, F.col("id") == F.col("node"), "left").select("fp0", "fp1", F.coalesce("root", "id").alias("group"))
     return fps.join(of, ["fp0", "fp1"], "left").select(key, "group")
