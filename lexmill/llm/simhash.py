@@ -154,12 +154,22 @@ def links(nodes: DataFrame, radius: int = 3, total: int | None = None, bucket: i
         level += 1
 
 
+def condensed(found: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: a node's centres are hung below the least of them.
+
+    A node has at most one centre in each bucket it is in, so its set is bounded by the number of masks.
+    """
+    sets = found.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("centres"))
+    below = F.array_union(F.array("node"), F.col("centres"))
+    return sets.select(F.explode(below).alias("a"), F.array_min("centres").alias("b")).where("a != b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(key, fingerprint, component_id) of each row: links are fingerprints within the radius."""
     fps = materialize(fingerprints(docs, key, shingle))
     nodes = materialize(fps.groupBy(F.col("fp0").alias("fp")).agg(F.min(key).alias("id")))
     with_id = nodes.where("id is not null")
-    roots = components(links(with_id.withColumn("other", F.lit(0).cast("long")), radius))
+    roots = components(condensed(links(with_id.withColumn("other", F.lit(0).cast("long")), radius)))
     of = with_id.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return fps.join(of, F.col("fp0") == F.col("fp"), "left").select(
         key, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id"
@@ -179,7 +189,7 @@ def robust_groups(docs: DataFrame, key: str = "doc_id", radius: int = 5, total:
     nodes = materialize(fps.groupBy("fp0", "fp1").agg(F.min(key).alias("id")).where("id is not null"))
     one = materialize(links(nodes.select("id", F.col("fp0").alias("fp"), F.col("fp1").alias("other")), radius, total, bucket))
     two = links(nodes.select("id", F.col("fp1").alias("fp"), F.col("fp0").alias("other")), radius, total, bucket)
-    roots = components(one.unionByName(two))
+    roots = components(condensed(one.unionByName(two)))
     of = nodes.join(roots, F.col("id") == F.col("node"), "left").select("fp0", "fp1", F.coalesce("root", "id").alias("group"))
     return fps.join(of, ["fp0", "fp1"], "left").select(key, "group")
 
