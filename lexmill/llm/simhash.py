@@ -176,22 +176,157 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, radi
     )
 
 
-def robust_groups(docs: DataFrame, key: str = "doc_id", radius: int = 5, total: int = 16, bucket: int = 16 * BUCKET) -> DataFrame:
-    """(key, group) for near copies whose five-word shingles are 0.8 alike or more.
-
-    Such copies lie about 10 of 64 bits apart in fingerprints of five-word shingles, more than covering
-    masks can span, but a word's edit changes only one single word: two fingerprints (two seeds) of the
-    distinct words of such copies differ in about 9 of 128 bits, those of unrelated texts in over 28.
-    A link has at most radius differing bits in one half and at most total in both; the masks over
-    either half cover all links.
+#: The pipeline's near copies: distinct five-word shingles, LIKE[0] of LIKE[1] alike or more.
+SHINGLE = 5
+LIKE = (4, 5)
+#: MinHash bytes of a text: BANDS bands of BAND bytes, of which the first SKETCH are compared inside a bucket.
+BANDS, BAND, SKETCH = 32, 6, 64
+#: Words of one block of texts that are compared in one task.
+BLOCK_WORDS = 1_000_000
+ODD = np.array([xxhash.xxh64_intdigest(b"minhash", k) | 1 for k in range(BANDS * BAND)], dtype=np.uint64)
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of the distinct shingles; a text of fewer words is one shingle, one of no word has none."""
+    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
+    size = min(shingle, len(w))
+    out = np.full(len(w) - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def minhash(shingles: np.ndarray) -> bytes:
+    """A byte for each multiplier, of the least product; zeros for no shingle."""
+    if not len(shingles):
+        return bytes(len(ODD))
+    least = np.full(len(ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (ODD[:, None] * shingles[None, at : at + 1024]).min(axis=1), out=least)
+    least ^= least >> np.uint64(32)
+    return (least * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def minhashes(docs: DataFrame) -> DataFrame:
+    """(node, words, sig) of each row of (node, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_hashes(t) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "words": [len(x) for x in sets], "sig": [minhash(x) for x in sets]})
+
+    return docs.select("node", "text").mapInPandas(run, "node long, words long, sig binary")
+
+
+def spanning(near, n: int) -> np.ndarray:
+    """A label for each of n items; near(k) tells which items item k links to."""
+    label, parts = np.arange(n), n
+    for k in range(n):
+        if parts == 1:
+            break
+        for old in np.unique(label[near(k)]):
+            if old != label[k]:
+                label[label == old] = label[k]
+                parts -= 1
+    return label
+
+
+def centred(label: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Stars (least id, id) of each label."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    return [(int(r), int(i)) for r, i in zip(least[label], ids, strict=True) if r != i]
+
+
+def candidates(nodes: DataFrame, bucket: int) -> DataFrame:
+    """Links (a, b) among nodes (node, sig) that connect all pairs that may be near copies.
+
+    Two texts that are 0.8 alike agree in a band of BAND bytes with 0.26, so in one of BANDS with 0.9999,
+    whatever the edit. Within a bucket half of the sketch must agree (0.8 alike: six deviations above that);
+    a bucket of over bucket nodes is linked as a whole.
     """
-    fps = materialize(fingerprints(docs, key, 1, True, (SEED, SEED + 1)))
-    nodes = materialize(fps.groupBy("fp0", "fp1").agg(F.min(key).alias("id")).where("id is not null"))
-    one = materialize(links(nodes.select("id", F.col("fp0").alias("fp"), F.col("fp1").alias("other")), radius, total, bucket))
-    two = links(nodes.select("id", F.col("fp1").alias("fp"), F.col("fp0").alias("other")), radius, total, bucket)
-    roots = components(condensed(one.unionByName(two)))
-    of = nodes.join(roots, F.col("id") == F.col("node"), "left").select("fp0", "fp1", F.coalesce("root", "id").alias("group"))
-    return fps.join(of, ["fp0", "fp1"], "left").select(key, "group")
+    keys = F.array(*(F.xxhash64(F.substring("sig", 1 + BAND * k, BAND), F.lit(k)) for k in range(BANDS)))
+    rows = nodes.select("node", F.explode(keys).alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
+    met = materialize(rows.join(counts, "key"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for members in batch["members"]:
+                ids = np.array([m["node"] for m in members], dtype=np.int64)
+                sketch = np.frombuffer(b"".join(bytes(m["sketch"]) for m in members), dtype=np.uint8).reshape(len(ids), -1)
+                out += centred(spanning(lambda k, x=sketch: (x == x[k]).sum(axis=1) * 2 >= SKETCH, len(ids)), ids)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    small = met.where(F.col("n") <= bucket).select("node", "key").join(nodes.select("node", F.substring("sig", 1, SKETCH).alias("sketch")), "node")
+    buckets = small.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("members")).select("members")
+    return buckets.mapInPandas(run, "a long, b long").unionByName(met.where((F.col("n") > bucket) & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b")))
+
+
+def exact_links(ids: np.ndarray, texts: list[str | None]) -> list[tuple[int, int]]:
+    """The components of the pairs that are near copies by all their shingles, as stars (least id, id)."""
+    sets = [shingle_hashes(t) for t in texts]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    vocab, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    first = np.cumsum(size) - size
+
+    def near(k: int) -> np.ndarray:
+        own = np.zeros(len(vocab), dtype=bool)
+        own[place[first[k] : first[k] + size[k]]] = True
+        both = np.bincount(owner[own[place]], minlength=len(sets))
+        return both * LIKE[1] >= (size + size[k] - both) * LIKE[0]
+
+    return centred(spanning(near, len(sets)), ids)
+
+
+def verified(docs: DataFrame, groups: DataFrame, block_words: int) -> DataFrame:
+    """Links (a, b) of the true near copies within candidate groups (node, root, id, words).
+
+    docs: (node, id, text). A group of over block_words shingles is dealt into blocks, and each two of them are
+    compared in a task of their own, so no pair is left out and no task holds a whole group.
+    """
+    sizes = groups.groupBy("root").agg(F.ceil(F.sum("words") / block_words).alias("blocks"))
+    placed = groups.join(sizes, "root").select("node", "id", "root", "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("own"))
+    d, g = docs.withColumnsRenamed({"node": "_node", "id": "_id"}), placed
+    texts = d.join(g, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).select("node", "root", "blocks", "own", "text").dropDuplicates(["node"])
+    others = F.filter(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)).cast("int") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") <= 1))
+    pairs = texts.select("node", "root", "own", "text", F.explode(others).alias("x")).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "node", "text")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(exact_links(part["node"].to_numpy(), part["text"].tolist()), columns=["a", "b"], dtype=np.int64)
+
+    return pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def text_hash(text="text"):
+    """Stands for a text; null is the empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def robust_groups(docs: DataFrame, key: str = "doc_id", bucket: int = 16 * BUCKET, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, node, group, group_node) of each row: node is its text's hash, the others the key and text hash that stand for its group.
+
+    Distinct texts link if their five-word shingles are 0.8 alike or more, which is checked on all shingles;
+    groups are the components. The least key stands for a group (null only if all are null), of equal keys the least text hash.
+    """
+    rows = docs.select(F.col(key).alias("id"), text_hash().alias("node"), "text")
+    least = rows.groupBy("node").agg(F.min("id").alias("id"))
+    nodes = materialize(minhashes(rows).dropDuplicates(["node"]))
+    roots = components(condensed(candidates(nodes, bucket)))
+    groups = materialize(roots.join(nodes.select("node", "words"), "node").join(least, "node"))
+    of = components(verified(rows, groups, block_words)).join(groups.select("node", "id"), "node")
+    best = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
+    stand = of.join(best, "root").select("node", F.col("best.id").alias("group"), F.col("best.node").alias("group_node"))
+    own = F.col("group_node").isNull()
+    return rows.select("id", "node").join(least.withColumnRenamed("id", "least"), "node").join(stand, "node", "left").select(
+        F.col("id").alias(key), "node", F.when(own, F.col("least")).otherwise(F.col("group")).alias("group"), F.when(own, F.col("node")).otherwise(F.col("group_node")).alias("group_node")
+    )
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

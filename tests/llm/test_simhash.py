@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from lexmill.llm import simhash as sh
@@ -94,3 +95,31 @@ def test_near_copies_group(spark):
     got = {r.doc_id: r.group for r in sh.robust_groups(spark.createDataFrame(rows, "doc_id long, text string, g int")).collect()}
     assert all(rows[got[i]][2] == rows[i][2] for i in got)
     assert sum(got[i] == 3 * (i // 3) for i in got) >= 0.95 * n
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_truncated_and_extended_copies(spark):
+    rng = random.Random(7)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows = []
+    for g in range(40):
+        w = rng.choices(vocab, k=rng.randint(100, 400))
+        cut, more = int(len(w) * rng.uniform(0.1, 0.18)), int(len(w) * rng.uniform(0.1, 0.2))
+        rows += [(3 * g, " ".join(w)), (3 * g + 1, " ".join(w[:-cut])), (3 * g + 2, " ".join(w + rng.choices(vocab, k=more)))]
+    got = {r.doc_id: r.group for r in sh.robust_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 3 * (i // 3) for i in got} and len(got) == 120
+
+
+def test_minhash_and_exact_check():
+    w = [f"v{i}" for i in range(300)]
+    a = " ".join(w)
+    for n in (250, 248, 239, 240, 200):
+        b = " ".join(w[:n])
+        like = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert bool(sh.exact_links(np.array([1, 2]), [a, b])) == (like >= 0.8)
+        x, y = (np.frombuffer(sh.minhash(sh.shingle_hashes(t)), np.uint8) for t in (a, b))
+        assert abs((x == y).mean() - like) < 0.15
