@@ -114,6 +114,22 @@ def test_truncated_and_extended_copies(spark):
     assert got == {i: 3 * (i // 3) for i in got} and len(got) == 120
 
 
+def test_links_are_checked_by_shingles(spark):
+    rng = random.Random(8)
+    w = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(12):  # the same words in another order each
+        rows.append((i, " ".join(rng.sample(w, 60))))
+    edited = rows[0][1].split()
+    edited[-3:] = ["a", "b", "c"]
+    rows += [(20, " ".join(edited)), (21, None), (22, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i for i in range(12)} | {20: 0, 21: 21, 22: 21}
+    # neither large buckets nor groups of several blocks leave out a pair or add one
+    for kinds in ({}, {"bucket": 1, "block_words": 40}):
+        assert {r.doc_id: r.group for r in sh.robust_groups(df, **kinds).collect()} == want
+
+
 def test_minhash_and_exact_check():
     w = [f"v{i}" for i in range(300)]
     a = " ".join(w)
