@@ -46,3 +46,11 @@ def test_stages(spark, tmp_path):
 def test_repeated_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, "same text here", "en", "s", 5), (1, "same text here", "en", "s", 5), (None, "other", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 1]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rows = [(None, "first text without an id", "en"), (None, "second one, also without", "en"), (None, "first text without an id", "en"), (3, "three is a text of its own", "en")]
+    rows += [(5, "five has two texts, and this is a copy", "en"), (5, "this one is its own", "en"), (2, "five has two texts, and this is a copy", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == sorted([(0, rows[0][1]), (0, rows[1][1]), (3, rows[3][1]), (5, rows[5][1]), (2, rows[6][1])])
