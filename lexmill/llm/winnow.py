@@ -1,9 +1,10 @@
 """Operator 4: document fingerprints by winnowing, with DataFrame functions only.
 
-A text's tokens are its runs of up to TOKEN non-blank characters. Every K successive tokens give a
-hash; of every WINDOW successive hashes the least is chosen, the rightmost of equal ones, and kept
-with its position. So two texts that share K + WINDOW - 1 successive tokens share a chosen hash. A text
-of fewer than K tokens is one gram, one of fewer hashes than WINDOW is one window.
+A text's tokens are its single non-blank characters (code points), so grams begin at every character and
+no script needs blanks. Every K successive tokens give a hash; of every WINDOW successive hashes the least
+is chosen, the rightmost of equal ones, and kept with its position (blanks are not counted). So two texts
+that share K + WINDOW - 1 successive tokens share a chosen hash. A text of fewer than K tokens is one gram,
+one of fewer hashes than WINDOW is one window.
 
 A fingerprint is written as position:hash pairs; likeness is the Jaccard index of the chosen hashes
 (1 if both are empty). Equal texts have equal fingerprints. Null text counts as empty.
@@ -20,32 +21,67 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import materialize, table
 
-TOKEN = 8
-K = 4
-WINDOW = 8
+#: Characters of a token, of a gram and hashes of a window.
+TOKEN = 1
+K = 20
+WINDOW = 44
 LOW = (1 << 31) - 1
 #: Stands for a null doc_id in joins.
 NULL_ID = -(1 << 63)
 
 
-def chosen(text, k: int = K, window: int = WINDOW):
-    """array<long>: hash << 32 | (LOW - position) of each chosen gram, by position."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0))
+def bound(c, f):
+    """f(c), with c computed once by a one-element transform, else it would be computed for every use."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def bare(text):
+    """The text without its blanks."""
+    return F.regexp_replace(text, r"\s+", "")
+
+
+def position(picked):
+    return F.lit(LOW) - picked.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def picks(solid, base=0, k: int = K, window: int = WINDOW):
+    """array<long>: hash << 32 | (LOW - position) of each chosen gram of a text without blanks, by position; base: the first position."""
+    none = F.array().cast("array<long>")
 
     def grams(t):
         last = F.greatest(F.size(t) - k, F.lit(0))
         def one(i):  # noqa: E306
-            h = F.xxhash64(*(F.get(t, i + j) for j in range(k)))
-            return F.shiftrightunsigned(h, 33).cast("long") * F.lit(1 << 32) + (F.lit(LOW) - i).cast("long")
-        return F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<long>"))
+            # the hash of an array is that of its elements in turn
+            return F.shiftrightunsigned(F.xxhash64(F.slice(t, i + 1, k)), 33).cast("long") * F.lit(1 << 32) + (F.lit(LOW) - base - i).cast("long")
+        return F.transform(F.sequence(F.lit(0), last), one)
 
     def least(g):
         last = F.greatest(F.size(g) - window, F.lit(0)) + 1
-        return F.when(F.size(g) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(g, i, window))))).otherwise(g)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(g, i, window))))
+
+    return bound(solid, lambda x: F.when(x == "", none).otherwise(bound(bound(F.split(x, ""), grams), least)))
+
+
+def chosen(text, k: int = K, window: int = WINDOW):
+    """picks() of a text with blanks."""
+    return picks(bare(text), k=k, window=window)
+
+
+def chosen_again(picked, head, tail, k: int = K, window: int = WINDOW):
+    """chosen() of head + tail, where picked are those of a text that begins with head.
+
+    The windows within head are known, so only the last of them and those that follow are computed.
+    """
+    span = k + window - 1
+
+    def joined(x):
+        start = F.greatest(x["n"] - span, F.lit(0))
+        new = picks(F.substring(x["all"], start + 1, F.char_length(x["all"])), start, k, window)
+        # chosen positions only grow from window to window
+        known = lambda y: F.when(x["n"] >= span, F.filter(picked, lambda z: position(z) < position(F.get(y, F.lit(0))))).otherwise(F.array().cast("array<long>"))
+        return bound(new, lambda y: F.concat(known(y), y))
 
-    # each stage's array is bound once by a one-element transform, else it would be computed for every use
-    bind = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
-    return bind(bind(tokens, grams), least)
+    return bound(bare(head), lambda h: bound(F.struct(F.char_length(h).alias("n"), F.concat(h, bare(tail)).alias("all")), joined))
 
 
 def hashes(picked):
@@ -81,21 +117,21 @@ def neighbours(ids: DataFrame) -> DataFrame:
 def edited_pairs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_chars, edited text digest, both fingerprints, likeness to the edited and to the next document)."""
     raw = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = raw.repartition("id")  # one exchange of the texts, which both branches below read
+    base = raw.withColumn("picked", chosen(F.col("text"))).repartition("id")  # one exchange of the texts, which both branches below read
     third = lambda c: F.floor(F.char_length(c) / 3).cast("int")
     ids = materialize(raw.groupBy("id").agg(F.max(third("text")).alias("need"), F.count("*").alias("n")))
     asked = neighbours(ids.select("id")).join(ids.select("id", "need"), "id").select(F.col("id").alias("asker"), F.col("next_id").alias("id"), "need")
-    heads = base.join(asked, "id").select("asker", "need", "text")
+    heads = base.join(asked, "id").select("asker", "need", "text", "picked")
     if not ids.where("n > 1").isEmpty():
         best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("text")))
         heads = heads.withColumn("_n", best).where("_n = 1")
-    heads = heads.select(F.col("asker").alias("id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(chosen(F.col("text"))).alias("next_hashes"))
+    heads = heads.select(F.col("asker").alias("id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("picked")).alias("next_hashes"))
     # only heads and hashes move again for this join
     joined = base.join(heads, "id").select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).cast(docs.schema[key].dataType).alias(key), F.char_length("text").cast("long").alias("n_chars"), chosen(F.col("text")).alias("picked"), "next_hashes",
-        F.concat(F.substring("text", F.lit(1), F.char_length("text") - third("text")), F.substring("head", F.lit(1), third("text"))).alias("edited"),
+        F.when(F.col("id") != NULL_ID, F.col("id")).cast(docs.schema[key].dataType).alias(key), F.char_length("text").cast("long").alias("n_chars"), "picked", "next_hashes",
+        F.substring("text", F.lit(1), F.char_length("text") - third("text")).alias("start"), F.substring("head", F.lit(1), third("text")).alias("end"),
     )
-    joined = joined.withColumn("edited_picked", chosen(F.col("edited")))
+    joined = joined.withColumn("edited", F.concat("start", "end")).withColumn("edited_picked", chosen_again(F.col("picked"), F.col("start"), F.col("end")))
     own, other = hashes(F.col("picked")), hashes(F.col("edited_picked"))
     return joined.select(
         key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("picked")).alias("fingerprint"), written(F.col("edited_picked")).alias("edited_fingerprint"),

@@ -77,3 +77,21 @@ def test_match_guarantee(spark):
     rows = [(i, " ".join(rng.choices(vocab, k=40) + shared + rng.choices(vocab, k=40))) for i in range(30)]
     sets = [{x.hash for x in r.fingerprint} for r in wn.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert all(a & sets[0] for a in sets)
+
+
+def test_insertion_in_unspaced_text(spark):
+    rng = random.Random(6)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000))
+    rows = [(1, text), (2, text[:5] + "x" + text[5:])]
+    a, b = ({x.hash for x in r.fingerprint} for r in wn.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(a & b) >= 0.9 * len(a | b)
+
+
+def test_edited_texts_of_every_length(spark):
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choices("abcdefgh \n中😀", k=i * 3))) for i in range(120)]
+    text = dict(rows)
+    for r in wn.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t, nxt = text[r.doc_id], text[(r.doc_id - 1) % 120]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert r.edited_fingerprint == text_of(brute(edited)) and r.fingerprint == text_of(brute(t))
