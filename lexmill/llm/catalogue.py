@@ -17,7 +17,7 @@ QUERIES = {
     "op10_kneser_ney": kneser_ney.op10,
 }
 ORACLES: dict[str, str] = {
-    "op6_shards": shards.op6,
+    "op6_shards": shards.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op8_decontaminate": fm_index.ORACLE,
 }

@@ -1,6 +1,7 @@
 """Operator 6: shards by sampled splitters, with DataFrame functions only.
 
-Rows are ordered by (text hash, doc_id, row tie), so equal texts lie together. A size-weighted sample
+Rows are ordered by (text hash, doc_id, row tie), so equal texts lie together; the hash is the first
+60 bits of the text's MD5, null standing with the empty text. A size-weighted sample
 of keys (Efraimidis-Spirakis: the least -ln(u) / size) gives quantile boundaries; rows are put into
 ranges between them, and ranges that came out overfull are subdivided by splitters of their own
 sample. Running sums within ranges and range totals give every row its byte offset in the whole
@@ -28,8 +29,6 @@ SAMPLED = 16
 ROW_BYTES = 8
 
 
-
-
 def splitters(rows: DataFrame, weight: str, n: int) -> list:
     """n - 1 boundaries at the quantiles of a size-weighted sample of SAMPLED * n keys (bounded by MAX_RANGES)."""
     u = (F.pmod(F.xxhash64("h", "id", "tie", F.lit("sample")), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
@@ -63,7 +62,7 @@ def shard(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROWS) -> Da
     rows = materialize(
         docs.select(
             "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-            F.xxhash64("text").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.monotonically_increasing_id().alias("tie"),
+            F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.monotonically_increasing_id().alias("tie"),
         )
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -102,3 +101,20 @@ def shard(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROWS) -> Da
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 byte by byte with a table of its polynomial; shares are cut where `shard` cuts them.
+ORACLE = """
+WITH RECURSIVE t(k, b, c) AS (
+  SELECT 0, range, range FROM range(256)
+  UNION ALL SELECT k + 1, b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS l FROM t WHERE k = 8),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, CAST('0x' || left(md5(coalesce(text, '')), 15) AS BIGINT) AS h, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+o AS (
+  SELECT *, row_number() OVER w AS n, CAST(sum(size) OVER w AS HUGEINT) - size AS offs, CAST(sum(size) OVER () AS HUGEINT) AS total
+  FROM d WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, CAST(offs * 24 // total AS INT) AS shard FROM o)
+SELECT doc_id, size, xor(list_reduce(list_transform(x, lambda v: CAST('0x' || v AS BIGINT)), lambda c, v: xor(c >> 8, l[1 + (xor(c, v) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM p, crc
+"""
