@@ -1,17 +1,20 @@
 """Operator 2: language identification by prediction by partial matching.
 
 For each language, bytes are counted after contexts of 0 to ORDER bytes. A byte's code length comes
-from the longest known context; a byte new there pays the escape (method C: as many as there are
-distinct followers) and is coded one byte shorter. Counts are frozen after training, so the longest
-kept suffix of what was read is a state of an automaton, with a code length for each next byte and
-language; texts are read in lock step, cut into pieces that begin ORDER bytes early to settle.
-
-Training reads at most SAMPLE_DOCS labelled rows of each language, SAMPLE_BYTES of each, chosen by
-hash, and keeps at most CONTEXTS contexts; predictions read whole texts. The language with the
-shortest code wins (ties: the alphabetically first); the score is its posterior under equal priors.
+from the longest context known in that language; a byte new there pays the escape (method C: as many
+as there are distinct followers) and is coded one byte shorter. Counts are frozen after training, so
+the longest kept suffix of what was read is a state of an automaton, with a code length for each next
+byte and language; texts are read in lock step, cut into pieces that begin ORDER bytes early to settle.
+
+Training reads about SAMPLE_DOCS labelled rows of each language, chosen by hash, and of each a piece of
+SAMPLE_BYTES from anywhere in its text; each language keeps its CONTEXTS most frequent contexts. Every
+label that occurs is a language. Languages are scored in blocks of BLOCK, whose tables a worker holds
+one block at a time, so memory does not grow with their number. Predictions read whole texts. The
+language with the shortest code wins (ties: the alphabetically first); the score is its posterior
+under equal priors.
 
 Null text, text without a letter and a corpus without labels give `und` and score 0. Rows are
-predicted each on its own; extra columns are dropped.
+predicted each on its own; rows of equal doc_id and text are one training row; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from lexmill.llm.common import table
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 4096
-CONTEXTS = 8192
-#: Languages that a model may have; each costs a megabyte for 1000 contexts.
-LANGUAGES = 64
+#: Contexts of each language; a worker's tables take BLOCK * CONTEXTS * 256 * (BLOCK + 1) * 4 bytes at most.
+CONTEXTS = 4096
+BLOCK = 4
 PIECE = 512
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -57,26 +60,33 @@ def followers(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return keys >> 8, keys & 255, n
 
 
+Counts = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def frequent(texts: list[bytes], order: int = ORDER, contexts: int = CONTEXTS) -> Counts:
+    """For each length k, (context of k bytes, next byte, how often) of one language's most frequent contexts."""
+    counts = [followers(texts, k) for k in range(order + 1)]
+    size, depth, key = [], [], []
+    for k, (context, _, n) in enumerate(counts):
+        keys, back = np.unique(context, return_inverse=True)
+        size.append(np.bincount(back, n, len(keys)))
+        depth.append(np.full(len(keys), k))
+        key.append(keys)
+    size, depth, key = (np.concatenate(x) for x in (size, depth, key))
+    kept = np.lexsort((key, depth, -size))[: max(1, contexts)]
+    return [tuple(x[np.isin(c[0], key[kept[depth[kept] == k]])] for x in c) for k, c in enumerate(counts)]
+
+
 class ContextTrees:
-    """Code lengths, in bits, of every byte after every kept context, for each language."""
-
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CONTEXTS):
-        self.langs, self.order = sorted(samples), order
-        # a context of k bytes is an int of k bytes; counts[lang][k]: (context, byte, count) arrays by context
-        counts = [[followers(samples[lang], k) for k in range(order + 1)] for lang in self.langs]
-        totals = []
-        for k in range(order + 1):
-            context = np.concatenate([c[k][0] for c in counts])
-            keys, back = np.unique(context, return_inverse=True)
-            totals.append((keys, np.bincount(back, np.concatenate([c[k][2] for c in counts]), len(keys))))
-        # a context's suffixes are at least as frequent, and shorter ones go first, so they are kept with it
-        size = np.concatenate([n for _, n in totals])
-        depth = np.repeat(np.arange(order + 1), [len(n) for _, n in totals])
-        key = np.concatenate([x for x, _ in totals])
-        kept = np.lexsort((key, depth, -size))[: max(1, contexts)]
-        nodes = [np.unique(key[kept[depth[kept] == k]]) for k in range(order + 1)]
-        for k in range(order, 0, -1):
-            nodes[k - 1] = np.unique(np.concatenate([nodes[k - 1], nodes[k] & low(k - 1), [0][: k == 1]])).astype(np.int64)
+    """Code lengths, in bits, of every byte after every context that any of the languages keeps."""
+
+    def __init__(self, models: dict[str, Counts], order: int = ORDER):
+        self.langs, self.order = sorted(models), order
+        # a context of k bytes is an int of k bytes
+        counts = [models[lang] for lang in self.langs]
+        nodes = [np.unique(np.concatenate([np.zeros(int(k == 0), np.int64), *(c[k][0] for c in counts)])) for k in range(order + 1)]
+        for k in range(order, 0, -1):  # a kept context's suffixes are states, too
+            nodes[k - 1] = np.unique(np.concatenate([nodes[k - 1], nodes[k] & low(k - 1)]))
         first = np.cumsum([0, *(len(x) for x in nodes)])
         self.bits = np.full((first[-1], 256, len(self.langs)), 8.0, dtype=np.float32)
         self.next = np.zeros((first[-1], 256), dtype=np.int32)
@@ -135,45 +145,77 @@ class ContextTrees:
         return out
 
 
-def train(labelled: DataFrame) -> ContextTrees | None:
-    """From (doc_id, text, lang) rows; the sample is bounded by SAMPLE_DOCS, SAMPLE_BYTES and LANGUAGES."""
-    rows = labelled.where("text is not null and lang is not null and text != ''")
-    pick = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", pick).where(F.col("n") <= SAMPLE_DOCS).select("lang", "doc_id", "n")
-    frequent = {r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    chosen = ids.where(F.col("lang").isin(*frequent)).select("lang", "doc_id").distinct() if frequent else ids.limit(0)
-    # at most LANGUAGES * SAMPLE_DOCS small rows: broadcast
-    sample = rows.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(
-        F.broadcast(chosen.withColumnsRenamed({"lang": "l", "doc_id": "d"})), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    )
-    sample = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").limit(LANGUAGES * SAMPLE_DOCS)
-    samples: dict[str, list[bytes]] = {}
-    for lang, text in sample.select("lang", "text").collect():
-        samples.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES])
-    return ContextTrees(samples) if samples else None
-
-
-def predict(docs: DataFrame, model: ContextTrees | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def sampled(labelled: DataFrame) -> DataFrame:
+    """(lang, piece) of the training sample: of each language the rows of the least hashes, at most SAMPLE_DOCS.
+
+    Rows above a share of each language, by its number of rows, are left out before any are exchanged, so
+    a frequent language brings no more rows to a task than a rare one.
+    """
+    rows = labelled.where("text is not null and lang is not null and text != ''").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).alias("h"))
+    rate = rows.groupBy("lang").agg((F.lit(2.0 * SAMPLE_DOCS + 64) / F.count("*")).alias("rate"))
+    room = F.greatest(F.char_length("text") - SAMPLE_BYTES, F.lit(0)) + 1
+    piece = F.substring("text", (F.pmod("h", room) + 1).cast("int"), F.lit(SAMPLE_BYTES))
+    near = rows.join(rate, "lang").where(F.col("h") < F.col("rate") * float(1 << 53))
+    once = near.groupBy("lang", "h").agg(F.min(piece).alias("piece"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
+    return once.withColumn("n", place).where(F.col("n") <= SAMPLE_DOCS).select("lang", "piece")
+
+
+def train(labelled: DataFrame) -> list[dict[str, Counts]]:
+    """Models in blocks of languages, from (doc_id, text, lang) rows. Each language is counted in one task on its bounded sample."""
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        counts = frequent([t.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES] for t in sorted(part["piece"])])
+        blob = [[x.astype("<i8").tobytes() for x in c] for c in counts]
+        return pd.DataFrame({"lang": part["lang"].iloc[:1], "counts": [blob]})
+
+    fitted = sampled(labelled).groupBy("lang").applyInPandas(fit, "lang string, counts array<array<binary>>")
+    # a language's counts are bounded by CONTEXTS * 256 entries
+    models = {lang: [tuple(np.frombuffer(bytes(x), "<i8") for x in c) for c in counts] for lang, counts in fitted.collect()}
+    langs = sorted(models)
+    return [{lang: models[lang] for lang in langs[k : k + BLOCK]} for k in range(0, len(langs), BLOCK)]
+
+
+class Scorer:
+    """Code lengths in all languages; the tables of one block are held at a time."""
+
+    def __init__(self, blocks: list[dict[str, Counts]]):
+        self.blocks, self.held = blocks, (-1, None)
+        self.langs = [lang for b in blocks for lang in sorted(b)]
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        out = []
+        for k, block in enumerate(self.blocks):
+            if self.held[0] != k:
+                self.held = (-1, None)
+                self.held = (k, ContextTrees(block))
+            out.append(self.held[1].code_lengths(texts))
+        return np.concatenate(out, axis=1)
+
+
+def predict(docs: DataFrame, model: list[dict[str, Counts]], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry (other names than those that follow) and (lang_pred, score, bits_per_byte) of each row."""
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = "text" if "text" in carry else "_text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
+        scorer = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
+            # tables of one block stay; with more blocks each batch goes through all of them once
+            step = 2000 if len(scorer.blocks) < 2 else max(1, len(batch))
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
                 texts = part[source].tolist()
                 out = part[list(carry)].copy()
-                known = np.array([trees is not None and t is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
+                known = np.array([bool(scorer.blocks) and t is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
                 pred, score, rate = np.full(len(part), UNKNOWN, dtype=object), np.zeros(len(part)), np.zeros(len(part))
                 if known.any():
                     raw = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known, strict=True) if k]
-                    bits = trees.code_lengths(raw)
+                    bits = scorer.code_lengths(raw)
                     best = bits.argmin(axis=1)
                     least = bits[np.arange(len(raw)), best]
-                    pred[known] = np.array(trees.langs, dtype=object)[best]
+                    pred[known] = np.array(scorer.langs, dtype=object)[best]
                     score[known] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                     rate[known] = least / np.array([len(t) for t in raw])
                 out["lang_pred"], out["score"], out["bits_per_byte"] = pred, score, rate

@@ -9,7 +9,7 @@ from lexmill.llm import lang_id as li
 def test_code_lengths_are_those_of_the_trees():
     rng = random.Random(1)
     samples = {"x": [bytes(rng.choices(b"abc ", k=300))], "y": [bytes(rng.choices(b"bcd ", k=300))]}
-    trees = li.ContextTrees(samples, order=3)
+    trees = li.ContextTrees({k: li.frequent(v, 3, 10**6) for k, v in samples.items()}, order=3)
 
     def bits(lang, context, byte):
         text = samples[lang][0]
@@ -40,11 +40,27 @@ def test_rows(spark):
     got = {r.doc_id: r for r in li.predict(df, model).collect()}
     assert got[100].lang_pred == got[101].lang_pred == got[103].lang_pred == "und" and got[102].lang_pred == got[None].lang_pred == "en"
     assert all(got[i].lang_pred == rows[i][2] and 0.5 < got[i].score <= 1 for i in range(40))
-    assert li.train(df.limit(0)) is None
-    assert {r.lang_pred for r in li.predict(df, None).collect()} == {"und"}
+    assert li.train(df.limit(0)) == []
+    assert {r.lang_pred for r in li.predict(df, []).collect()} == {"und"}
     assert li.predict(df.limit(0), model).count() == 0
 
 
+def test_many_languages(spark):
+    """More languages than a block holds, one far more frequent than the others, each with letters of its own."""
+    word = lambda k: chr(0x4E00 + 16 * k) + chr(0x4E01 + 16 * k)
+    rows = [(None, f"{word(k)} {word(k) * (j % 7)} a" + " b" * (j % 11), f"l{k:02d}") for k in range(19) for j in range(3 if k else 3000)]
+    df = spark.createDataFrame(rows + [(None, word(0), "l00")] * 2000, "doc_id long, text string, lang string")
+    model = li.train(df)
+    assert [len(b) for b in model] == [4, 4, 4, 4, 3] and li.sampled(df).where("lang = 'l00'").count() <= li.SAMPLE_DOCS
+    ask = spark.createDataFrame([(k, word(k) * 5) for k in range(19)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in li.predict(ask, model).collect()} == {k: f"l{k:02d}" for k in range(19)}
+
+
+def test_sample_is_from_whole_texts(spark):
+    df = spark.createDataFrame([(i, "x" * 5 * li.SAMPLE_BYTES + "y" * 5 * li.SAMPLE_BYTES, "l") for i in range(50)], "doc_id long, text string, lang string")
+    assert {r.piece[0] for r in li.sampled(df).collect()} == {"x", "y"}
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
