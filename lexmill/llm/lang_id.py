@@ -149,13 +149,14 @@ def sampled(labelled: DataFrame) -> DataFrame:
     """(lang, piece) of the training sample: of each language the rows of the least hashes, at most SAMPLE_DOCS.
 
     Rows above a share of each language, by its number of rows, are left out before any are exchanged, so
-    a frequent language brings no more rows to a task than a rare one.
+    a frequent language brings no more rows to a task than a rare one. The shares, a row for each language, are
+    broadcast: the driver holds each language's whole model anyway.
     """
     rows = labelled.where("text is not null and lang is not null and text != ''").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).alias("h"))
     rate = rows.groupBy("lang").agg((F.lit(2.0 * SAMPLE_DOCS + 64) / F.count("*")).alias("rate"))
     room = F.greatest(F.char_length("text") - SAMPLE_BYTES, F.lit(0)) + 1
     piece = F.substring("text", (F.pmod("h", room) + 1).cast("int"), F.lit(SAMPLE_BYTES))
-    near = rows.join(rate, "lang").where(F.col("h") < F.col("rate") * float(1 << 53))
+    near = rows.join(F.broadcast(rate), "lang").where(F.col("h") < F.col("rate") * float(1 << 53))
     once = near.groupBy("lang", "h").agg(F.min(piece).alias("piece"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     return once.withColumn("n", place).where(F.col("n") <= SAMPLE_DOCS).select("lang", "piece")
