@@ -1,4 +1,8 @@
-"""Retrieval: dense, sparse and hybrid top-k, MMR, reranking, dedupe, lanes."""
+"""Retrieval: dense, sparse and hybrid top-k, MMR, reranking, dedupe, lanes.
+
+One query is a literal (`dense`, `sparse`, `hybrid`); a set of queries is a DataFrame (`dense_many` and so on),
+whose results carry query_id. The steps after retrieval take `by`: the column that tells queries apart.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import vector, vocab
+from lexmill.operators import many
 from lexmill.operators.filters import active_only, compile_filter, is_ordinance
 
 
@@ -57,19 +62,74 @@ def hybrid(points: DataFrame, posts: DataFrame, query: list[float], tokens: dict
     return kept.join(F.broadcast(fused), "id")  # fused has k rows
 
 
-def dedupe(rows: DataFrame, key: str, k: int, order: str = "rank") -> DataFrame:
+def payload(points: DataFrame, ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """The points' and the queries' other columns beside ranked rows; vectors were not carried through the top-k."""
+    return points.join(ranked, "id").join(queries, "query_id")
+
+
+def dense_many(points: DataFrame, queries: DataFrame, k: int = 50, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
+    """R1/R3 for each of queries (query_id, query_dense, ...), with payload."""
+    return payload(points, many.dense(points, queries, k, filters, threshold), queries)
+
+
+def hybrid_many(points: DataFrame, posts: DataFrame, queries: DataFrame, asked: DataFrame, k: int, filters: dict | None = None) -> DataFrame:
+    """R2/T1 for each of queries; asked: their (query_id, token, weight)."""
+    kept = points.where(compile_filter(filters))
+    arm = posts if not filters else posts.join(kept.select("id"), "id", "left_semi")
+    fused = many.fuse([many.dense(kept, queries, 2 * k), many.sparse(arm, asked, 2 * k)], k, vector.rrf)
+    return payload(kept, fused, queries)
+
+
+def within(by: str | None, *more: str):
+    """A window over a query's rows."""
+    return Window.partitionBy(*([by] if by else []), *more)
+
+
+def first_rows(rows: DataFrame, k: int, by: str | None, *order) -> DataFrame:
+    """The first k rows of each query, with their rank from 1; of one query by a sort that keeps k rows a task."""
+    if by is None:
+        return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return rows.withColumn("_n", F.row_number().over(within(by).orderBy(*order))).where(F.col("_n") <= k).withColumn("rank", F.col("_n")).drop("_n")
+
+
+def dedupe(rows: DataFrame, key: str, k: int, by: str | None = None) -> DataFrame:
     """The best row of each document, then the first k documents, ranked anew."""
-    w = Window.partitionBy(key).orderBy(order)
-    best = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(order).limit(k)
-    return best.withColumn(order, F.row_number().over(Window.orderBy(order)))
+    best = rows.withColumn("_first", F.row_number().over(within(by, key).orderBy("rank"))).where("_first = 1").drop("_first")
+    return first_rows(best, k, by, "rank")
+
 
+def shown(rows: DataFrame, key: str, words: str, most: int = 15, by: str | None = None) -> DataFrame:
+    """Rows in order unless their key or their text key was shown before, at most `most`, ranked anew.
+
+    The rule depends on what was accepted, so it runs over one query's candidates, which the top-k bounds.
+    """
+    group = by or "_one"
+    rows = rows if by else rows.withColumn("_one", F.lit(0))
 
-def boost(rows: DataFrame, canton: str | None) -> DataFrame:
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("rank", kind="stable")
+        keys, texts, kept = set(), set(), []
+        for place, (k, t) in enumerate(zip(own[key], own[words], strict=True)):
+            if len(kept) == most:
+                break
+            if k not in keys and t not in texts:
+                keys.add(k)
+                texts.add(t)
+                kept.append(place)
+        own = own.iloc[kept].copy()
+        own["rank"] = np.arange(1, len(own) + 1)
+        return own
+
+    out = rows.groupBy(group).applyInPandas(run, rows.schema)
+    return out if by else out.drop("_one")
+
+
+def boost(rows: DataFrame, canton: str | None, by: str | None = None) -> DataFrame:
     """Boosted score, and a stable rank by it."""
     if canton is None:
         return rows
     rows = rows.withColumn("score", vector.boosted(F.col("score"), F.col("canton"), F.col("source"), canton))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "rank")))
+    return rows.withColumn("rank", F.row_number().over(within(by).orderBy(F.desc("score"), "rank")))
 
 
 def similarity_matrix(rows: pd.DataFrame, embedded: bool) -> np.ndarray:
@@ -102,19 +162,20 @@ def pick(relevance: np.ndarray, alike: np.ndarray, k: int, lam: float) -> list[i
     return taken
 
 
-def mmr(rows: DataFrame, k: int = 20, lam: float = 0.7, query: list[float] | None = None, group: str | None = None) -> DataFrame:
-    """Maximal marginal relevance within each group (a query's candidates, at most some hundreds), ranked anew.
+def mmr(rows: DataFrame, k: int = 20, lam: float = 0.7, query: list[float] | str | None = None, by: str | None = None) -> DataFrame:
+    """Maximal marginal relevance within each query's candidates (at most some hundreds), ranked anew.
 
-    With a query and a `dense` column relevance and likeness are cosines, else score and metadata likeness.
+    With a query (a vector, or the column that holds it) and a `dense` column relevance and likeness are cosines,
+    else score and metadata likeness.
     """
     embedded = query is not None and "dense" in rows.columns
-    key = group or "_one"
-    rows = rows if group else rows.withColumn("_one", F.lit(0))
+    key = by or "_one"
+    rows = rows if by else rows.withColumn("_one", F.lit(0))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("rank", kind="stable").reset_index(drop=True)
         if embedded:
-            x, q = np.array(own["dense"].tolist(), dtype=float), np.array(query, dtype=float)
+            x, q = np.array(own["dense"].tolist(), dtype=float), np.array(own[query].iloc[0] if isinstance(query, str) else query, dtype=float)
             size = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
             relevance = np.divide(x @ q, size, out=np.zeros(len(x)), where=size > 0)
         else:
@@ -124,39 +185,39 @@ def mmr(rows: DataFrame, k: int = 20, lam: float = 0.7, query: list[float] | Non
         return out
 
     out = rows.groupBy(key).applyInPandas(run, rows.schema)
-    return out if group else out.drop("_one")
+    return out if by else out.drop("_one")
 
 
-def overlap_score(query: str, body: Column) -> Column:
+def overlap_score(query: str | Column, body: Column) -> Column:
     """R5's default scorer in place of a cross-encoder: the share of the query's words that the text has."""
-    words = sorted({w for w in query.lower().split() if w})
+    asked = F.lit(query) if isinstance(query, str) else query
+    words = F.array_distinct(F.filter(F.split(F.lower(asked), r"\s+"), lambda w: w != ""))
     have = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    return F.size(F.array_intersect(have, F.array(*map(F.lit, words)))) / F.lit(float(max(1, len(words))))
+    return F.size(F.array_intersect(have, words)) / F.greatest(F.size(words), F.lit(1)).cast("double")
 
 
-def rerank(rows: DataFrame, query: str, k: int, now_year: int, scorer: Callable[[str, Column], Column] = overlap_score, threshold: float | None = None, body: str = "text") -> DataFrame:
+def rerank(rows: DataFrame, query: str | Column, k: int, now_year: int, scorer: Callable[[str | Column, Column], Column] = overlap_score, threshold: float | None = None, body: str = "text", by: str | None = None) -> DataFrame:
     """Pair scores plus a tenth of recency, best k; adds base_score, recency_score, final_score."""
     rows = rows.withColumn("base_score", scorer(query, F.col(body))).withColumn("recency_score", vector.recency(F.coalesce("year", F.lit(vocab.FINAL["default_year"])), now_year))
     rows = rows.withColumn("final_score", F.col("base_score") + vocab.FINAL["recency_weight"] * F.col("recency_score"))
     if threshold is not None:
         rows = rows.where(F.col("final_score") >= threshold)
-    best = rows.orderBy(F.desc("final_score"), "rank").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "rank")))
+    return first_rows(rows, k, by, F.desc("final_score"), "rank")
 
 
-def confidence(rows: DataFrame) -> DataFrame:
-    """One row (n, top_score, score_variance, confidence)."""
-    stats = rows.agg(F.count("*").alias("n"), F.max("final_score").alias("top_score"), F.var_pop("final_score").alias("score_variance"))
+def confidence(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """One row (n, top_score, score_variance, confidence), or one for each query that has rows."""
+    stats = rows.groupBy(*([by] if by else [])).agg(F.count("*").alias("n"), F.max("final_score").alias("top_score"), F.var_pop("final_score").alias("score_variance"))
     return stats.withColumn("confidence", vector.tier(F.col("top_score"), F.col("score_variance")))
 
 
-def split_laws(rows: DataFrame, laws: int = 15, ordinances: int = 10, name: str = "sr_name") -> DataFrame:
+def split_laws(rows: DataFrame, laws: int = 15, ordinances: int = 10, name: str = "sr_name", by: str | None = None) -> DataFrame:
     """The first laws, then the first ordinances."""
     flag = is_ordinance(F.col(name))
-    w = Window.partitionBy("is_ordinance").orderBy("rank")
+    w = within(by, "is_ordinance").orderBy("rank")
     kept = rows.withColumn("is_ordinance", flag).withColumn("_n", F.row_number().over(w))
     kept = kept.where(F.col("_n") <= F.when(F.col("is_ordinance"), ordinances).otherwise(laws)).drop("_n")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy("is_ordinance", "rank")))
+    return kept.withColumn("rank", F.row_number().over(within(by).orderBy("is_ordinance", "rank")))
 
 
 def correct_names(rows: DataFrame, dim: DataFrame, language: str = "de") -> DataFrame:
@@ -169,37 +230,50 @@ def correct_names(rows: DataFrame, dim: DataFrame, language: str = "de") -> Data
 
 def lane(points: DataFrame, posts: DataFrame, query: list[float], tokens: dict[str, float], question: str, now_year: int, kind: str = "library", top_k: int = 10, filters: dict | None = None, canton: str | None = None, active: DataFrame | None = None) -> DataFrame:
     """Hybrid candidates, boost (statutes), MMR by metadata, reranking, best row of each document, active laws."""
+    rows = hybrid(points, posts, query, tokens, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
+    return refined(rows, question, now_year, kind, top_k, canton, active)
+
+
+def lane_many(points: DataFrame, posts: DataFrame, queries: DataFrame, asked: DataFrame, now_year: int, kind: str = "library", top_k: int = 10, filters: dict | None = None, canton: str | None = None, active: DataFrame | None = None) -> DataFrame:
+    """R7-R9 for each of queries (query_id, query_dense, query_text); asked: their (query_id, token, weight)."""
+    rows = hybrid_many(points, posts, queries, asked, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
+    return refined(rows.drop("query_dense"), F.col("query_text"), now_year, kind, top_k, canton, active, "query_id")
+
+
+def refined(rows: DataFrame, question: str | Column, now_year: int, kind: str, top_k: int, canton: str | None, active: DataFrame | None, by: str | None = None) -> DataFrame:
+    """What lanes do with their candidates."""
     size = vocab.LANES[kind]
     statutes = kind != "library"
-    rows = hybrid(points, posts, query, tokens, size["hybrid"], None if statutes else filters)
     if statutes:
         ordinance = is_ordinance(F.col("sr_name"))
-        rows = boost(rows.where(ordinance if kind == "ordinances" else ~ordinance), canton)
-    rows = mmr(rows, size["mmr"], vocab.FINAL["mmr_lambda"])
-    rows = rerank(rows, question, size["rerank"], now_year)
-    rows = dedupe(rows, "doc_key", size.get("top", top_k))
+        rows = boost(rows.where(ordinance if kind == "ordinances" else ~ordinance), canton, by)
+    rows = mmr(rows, size["mmr"], vocab.FINAL["mmr_lambda"], by=by)
+    rows = rerank(rows, question, size["rerank"], now_year, by=by)
+    rows = dedupe(rows, "doc_key", size.get("top", top_k), by)
     return active_only(rows, active) if statutes else rows
 
 
-def search(lanes: dict[str, DataFrame]) -> DataFrame:
+def search(lanes: dict[str, DataFrame], by: str | None = None) -> DataFrame:
     """All lanes' rows with their lane, its confidence and the overall one (the least; an empty lane has none)."""
     out = None
     for name, rows in lanes.items():
-        rows = rows.select("id", "rank", "final_score", F.lit(name).alias("lane"))
+        rows = rows.select(*([by] if by else []), "id", "rank", "final_score", F.lit(name).alias("lane"))
         out = rows if out is None else out.unionByName(rows)
     # windows over the lanes' few rows, so no lane is computed twice
-    own, whole = Window.partitionBy("lane"), Window.partitionBy()
+    own, whole = within(by, "lane"), within(by)
     out = out.withColumn("confidence", vector.tier(F.max("final_score").over(own), F.var_pop("final_score").over(own)))
     least = F.min_by("confidence", vector.tier_rank(F.col("confidence"))).over(whole)
     return out.withColumn("overall", F.when(F.size(F.collect_set("lane").over(whole)) < len(lanes), "NONE").otherwise(least))
 
 
-def assemble(rows: DataFrame, chunks: DataFrame, documents: int = 10, most: int = 50) -> DataFrame:
+def assemble(rows: DataFrame, chunks: DataFrame, documents: int = 10, most: int = 50, by: str | None = None) -> DataFrame:
     """The text of the first documents' chunks in order, (doc_key, doc_rank, n_chunks, context)."""
-    first = rows.groupBy("doc_key").agg(F.min("rank").alias("doc_rank")).orderBy("doc_rank").limit(documents)
-    w = Window.partitionBy("doc_key").orderBy("chunk_index")
-    own = chunks.join(F.broadcast(first), "doc_key").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    keys = [by] if by else []
+    first = first_rows(rows.groupBy(*keys, "doc_key").agg(F.min("rank").alias("rank")), documents, by, "rank", "doc_key")
+    # the first chunks of a document are the same for every query, so only those are multiplied
+    own = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("doc_key").orderBy("chunk_index"))).where(F.col("_n") <= most)
+    own = own.join(first.withColumnRenamed("rank", "doc_rank"), "doc_key")
     line = F.concat(F.lit("["), F.upper("chunk_type"), F.lit("]\n"), F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", line.alias("line"))))
-    return own.groupBy("doc_key", "doc_rank").agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n\n").alias("context"))
+    return own.groupBy(*keys, "doc_key", "doc_rank").agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n\n").alias("context"))
 

@@ -88,20 +88,20 @@ def s11(s, d):
     return readers.ids(table(s, d, "labels"), "doc_id")
 
 
-@query("s1_s3_json_sources", "SELECT doc_id AS n, lang AS language FROM documents WHERE doc_id < 200")
+@query("s1_s3_json_sources", "SELECT doc_id AS n, lang AS language FROM documents")
 def s1(s, d):
     """Articles written as JSON and read with the explicit schema."""
     path = folder(s)
-    docs = table(s, d, "documents").where("doc_id < 200").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"))
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"))
     docs.write.json(path)
     return s.read.schema(readers.ARTICLE).option("mode", "DROPMALFORMED").json(path).select(F.col("id").cast("long").alias("n"), "language")
 
 
-@query("s8_s9_s24_uploads", "SELECT doc_id, left(sha256(text || chr(10)), 16) AS file_hash FROM documents WHERE doc_id < 20")
+@query("s8_s9_s24_uploads", "SELECT doc_id, left(sha256(text || chr(10)), 16) AS file_hash FROM documents")
 def s8(s, d):
     path = folder(s)
-    docs = table(s, d, "documents").where("doc_id < 20")
-    docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("value")).repartition(20, "name").write.partitionBy("name").text(path)
+    docs = table(s, d, "documents")
+    docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").text(path)
     got = s.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return got.select(F.regexp_extract("path", r"name=doc(\d+)/", 1).cast("long").alias("doc_id"), text.file_hash(F.col("content")).alias("file_hash"))
 
@@ -123,9 +123,9 @@ def p19(s, d):
     return table(s, d, "part").where(F.length("p_name").between(2, 20) & ~F.col("p_name").rlike("^[0-9]+$") & (F.col("p_brand") != "") & (F.col("p_type") != "")).select("p_partkey")
 
 
-@query("p20_optional_predicate", "SELECT doc_id FROM documents WHERE source = 'src2' ORDER BY doc_id LIMIT 5")
+@query("p20_optional_predicate", "SELECT doc_id FROM documents WHERE source = 'src2'")
 def p20(s, d):
-    return table(s, d, "documents").where("source = 'src2'").select("doc_id").orderBy("doc_id").limit(5)
+    return table(s, d, "documents").where("source = 'src2'").select("doc_id")
 
 
 @query("j15_results_to_chunks", "WITH f AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_partkey = 7 ORDER BY 1 LIMIT 10) SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem SEMI JOIN f ON l_orderkey = k QUALIFY n <= 50")
@@ -157,40 +157,16 @@ def w12(s, d):
     return table(s, d, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 2").select("conv_id", "turn", F.substring("text", 1, 500).alias("content"))
 
 
-@query("w15_presentation_rank")
-def w15(s, d):
-    """Rows are shown in order unless both their id key and their text key were shown before; at most 15.
-
-    The rule depends on what was accepted, so it runs over the ranked candidates of one result, which
-    are bounded by the search's top-k.
-    """
-    import pandas as pd
-
-    rows = table(s, d, "documents").orderBy("doc_id").limit(200).select("doc_id", (F.col("doc_id") % 20).alias("key"), F.lower(F.substring(text.squeeze("text"), 1, 150)).alias("t"))
-
-    def shown(batch: pd.DataFrame) -> pd.DataFrame:
-        keys, texts, out = set(), set(), []
-        for r in batch.sort_values("doc_id").itertuples():
-            if r.key in keys or r.t in texts or len(out) == 15:
-                continue
-            keys.add(r.key)
-            texts.add(r.t)
-            out.append((r.doc_id, len(out) + 1))
-        return pd.DataFrame(out, columns=["doc_id", "rank"])
-
-    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(shown, "doc_id long, rank long")
-
-
 @query("f22_f23_judges")
 def f22(s, d):
     rows = [("Besetzung: Bundesrichter Müller, Präsident, Meier und Kunz, Gerichtsschreiber Hug.",), ("composta dai giudici Rossi, Bianchi e Verdi\nsegretario",), ("nichts",)]
     return s.createDataFrame(rows, "t string").select(text.judges("t").alias("judges"))
 
 
-@query("f33_f36_formats", "SELECT doc_id, '## Decision ' || doc_id || chr(10) || chr(10) || 'Language: ' || lang || chr(10) || chr(10) || left(text, 50) AS block FROM documents")
+@query("f33_f36_formats", "SELECT doc_id, '## Decision ' || doc_id || chr(10) || chr(10) || 'Language: ' || lang || chr(10) || chr(10) || text AS block FROM documents")
 def f33(s, d):
     n = F.col("doc_id").cast("string")
-    return table(s, d, "documents").select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("## Decision "), n), F.concat(F.lit("Language: "), F.col("lang")), F.substring("text", 1, 50)).alias("block"))
+    return table(s, d, "documents").select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("## Decision "), n), F.concat(F.lit("Language: "), F.col("lang")), F.col("text")).alias("block"))
 
 
 @query("f52_f54_dates", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month_start, o_orderdate + INTERVAL 24 HOUR AS expires FROM orders")

@@ -6,11 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
-from lexmill.operators import chunk, retrieve
+from lexmill.operators import chunk, many, retrieve
 from lexmill.plans.registry import query, table
 
 NOW = 2026
-QUESTION = "the and retitioning of der die le"
 
 
 def points(s, d):
@@ -24,108 +23,125 @@ def points(s, d):
     )
 
 
-def query_vector(s, d):
-    return [float(x) for x in table(s, d, "embeddings").where("vec_id = 0").first().embedding]
+def asked(s, d):
+    """The query set: every point whose id is divisible by 50."""
+    return points(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("query_dense"), F.col("text").alias("query_text"))
 
 
 P = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS dense, label, text, lang, source, 'D' || (vec_id % 97) AS doc_key, CASE WHEN vec_id % 4 = 0 THEN 'TI' ELSE 'ZH' END AS canton, 1990 + vec_id % 37 AS year FROM embeddings JOIN documents ON vec_id = doc_id)"
-Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
-COS = f"list_cosine_similarity(dense, {Q})"
-RANK = "row_number() OVER (ORDER BY score DESC, id)"
+COS = f"SELECT p.*, q.id AS query_id, q.text AS query_text, round(list_cosine_similarity(p.dense, q.dense), 9) AS score FROM {P} p, {P} q WHERE q.id % 50 = 0"
+RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+
+
+def best(n, more="", rows=COS):
+    """SQL of the n best rows of each query with their rank."""
+    return f"(SELECT * FROM (SELECT *, {RANK} AS rank FROM ({rows} {more})) WHERE rank <= {n})"
 
 
 def shown(rows, *more):
-    return rows.select("id", "rank", F.round("score", 6).alias("score"), *more)
+    return rows.select("query_id", "id", "rank", F.round("score", 6).alias("score"), *more)
 
 
-@query("r1_dense_topk", f"SELECT id, {RANK} AS rank, round(score, 6) AS score FROM (SELECT id, {COS} AS score FROM {P} ORDER BY score DESC, id LIMIT 10)")
+@query("r1_dense_topk", f"SELECT query_id, id, rank, round(score, 6) AS score FROM {best(10)}")
 def r1(s, d):
-    return shown(retrieve.dense(points(s, d), query_vector(s, d), 10))
+    return shown(many.dense(points(s, d), asked(s, d), 10))
 
 
-@query("r1_p1_dense_filtered", f"SELECT id, {RANK} AS rank, round(score, 6) AS score FROM (SELECT id, {COS} AS score FROM {P} WHERE lang = 'de' AND year >= 2000 ORDER BY score DESC, id LIMIT 10)")
+@query("r1_p1_dense_filtered", f"SELECT query_id, id, rank, round(score, 6) AS score FROM {best(10, "AND p.lang = 'de' AND p.year >= 2000")}")
 def r1f(s, d):
-    return shown(retrieve.dense(points(s, d), query_vector(s, d), 10, {"lang": "de", "year_range": {"min": 2000}}))
+    return shown(many.dense(points(s, d), asked(s, d), 10, {"lang": "de", "year_range": {"min": 2000}}))
 
 
-@query("r3_p3_threshold", f"SELECT id, {RANK} AS rank, round(score, 6) AS score FROM (SELECT id, {COS} AS score FROM {P} WHERE {COS} >= 0.2 ORDER BY score DESC, id LIMIT 50)")
+@query("r3_p3_threshold", f"SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, {RANK} AS rank FROM ({COS}) WHERE score >= 0.2) WHERE rank <= 50")
 def r3(s, d):
-    return shown(retrieve.dense(points(s, d), query_vector(s, d), 50, threshold=0.2))
+    return shown(many.dense(points(s, d), asked(s, d), 50, threshold=0.2))
 
 
-TOKENS = {w: 1.0 + k for k, w in enumerate(QUESTION.split())}
-WEIGHTS = "(VALUES " + ", ".join(f"('{w}', {x})" for w, x in TOKENS.items()) + ") q(token, w)"
 POSTS = r"(SELECT id, token, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents) GROUP BY 1, 2)"
+SUMS = f"SELECT q.id AS query_id, p.id, sum(p.weight * q.weight) AS score FROM {POSTS} p JOIN {POSTS} q USING (token) WHERE q.id % 50 = 0 GROUP BY 1, 2"
 
 
 def posts(s, d):
     return retrieve.postings(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("j12_w1_sparse_topk", f"SELECT id, {RANK} AS rank, round(score, 6) AS score FROM (SELECT id, sum(weight * w) AS score FROM {POSTS} JOIN {WEIGHTS} USING (token) GROUP BY id ORDER BY score DESC, id LIMIT 20)")
+def asked_tokens(s, d):
+    """The tokens of the query set's texts."""
+    return retrieve.postings(table(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"), "query_id")
+
+
+@query("j12_w1_sparse_topk", f"SELECT query_id, id, rank, round(score, 6) AS score FROM {best(20, rows=SUMS)}")
 def j12(s, d):
-    return shown(retrieve.sparse(posts(s, d), TOKENS, 20))
+    return shown(many.sparse(posts(s, d), asked_tokens(s, d), 20))
 
 
 FUSED = f"""
-WITH a AS (SELECT id, {RANK} AS rank FROM (SELECT id, {COS} AS score FROM {P} ORDER BY score DESC, id LIMIT 40)),
-b AS (SELECT id, {RANK} AS rank FROM (SELECT id, sum(weight * w) AS score FROM {POSTS} JOIN {WEIGHTS} USING (token) GROUP BY id ORDER BY score DESC, id LIMIT 40)),
-f AS (SELECT id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 20)
-SELECT id, {RANK} AS rank, round(score, 6) AS score FROM f SEMI JOIN {P} p USING (id)
+WITH a AS {best(40)}, b AS {best(40, rows=SUMS)},
+f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, id, rank FROM a UNION ALL SELECT query_id, id, rank FROM b) GROUP BY 1, 2),
+r AS (SELECT *, {RANK} AS rank FROM f)
+SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 20 AND id IN (SELECT id FROM {P}) AND query_id IN (SELECT id FROM {P})
 """
 
 
-@query("r2_j14_hybrid_rrf", FUSED.replace("SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM f SEMI JOIN", "SELECT id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f) SEMI JOIN"))
+@query("r2_j14_hybrid_rrf", FUSED)
 def r2(s, d):
-    return shown(retrieve.hybrid(points(s, d), posts(s, d), query_vector(s, d), TOKENS, 20))
+    return shown(retrieve.hybrid_many(points(s, d), posts(s, d), asked(s, d), asked_tokens(s, d), 20))
 
 
-@query("w2_dedupe", f"WITH r AS (SELECT id, doc_key, {RANK} AS rank FROM (SELECT id, doc_key, {COS} AS score FROM {P} ORDER BY score DESC, id LIMIT 200)), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY rank) = 1 ORDER BY rank LIMIT 30) SELECT id, doc_key, row_number() OVER (ORDER BY rank) AS rank FROM b")
+@query("w2_dedupe", f"WITH b AS (SELECT * FROM {best(200)} QUALIFY row_number() OVER (PARTITION BY query_id, doc_key ORDER BY rank) = 1) SELECT query_id, id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 30")
 def w2(s, d):
-    rows = retrieve.dense(points(s, d), query_vector(s, d), 200)
-    return retrieve.dedupe(rows, "doc_key", 30).select("id", "doc_key", "rank")
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 200)
+    return retrieve.dedupe(rows, "doc_key", 30, "query_id").select("query_id", "id", "doc_key", "rank")
 
 
-@query("w3_w4_first_of_group", f"WITH r AS (SELECT id, doc_key, label, {RANK} AS rank FROM (SELECT id, doc_key, label, {COS} AS score FROM {P} ORDER BY score DESC, id LIMIT 200)) SELECT label, min(rank) AS first_rank, dense_rank() OVER (ORDER BY min(rank)) AS group_no FROM r GROUP BY label")
+@query("w3_w4_first_of_group", f"SELECT query_id, label, min(rank) AS first_rank, dense_rank() OVER (PARTITION BY query_id ORDER BY min(rank)) AS group_no FROM {best(200)} GROUP BY query_id, label")
 def w4(s, d):
-    rows = retrieve.dense(points(s, d), query_vector(s, d), 200)
-    groups = rows.withColumn("label", F.substring("sr_number", 4, 9).cast("int")).groupBy("label").agg(F.min("rank").alias("first_rank"))
-    return groups.withColumn("group_no", F.dense_rank().over(Window.orderBy("first_rank")))
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 200)
+    groups = rows.groupBy("query_id", F.substring("sr_number", 4, 9).cast("int").alias("label")).agg(F.min("rank").alias("first_rank"))
+    return groups.withColumn("group_no", F.dense_rank().over(Window.partitionBy("query_id").orderBy("first_rank")))
 
 
-@query("f65_t2_context_boost", f"WITH r AS (SELECT id, canton, score, {RANK} AS rank FROM (SELECT id, canton, {COS} AS score FROM {P} ORDER BY score DESC, id LIMIT 100)), b AS (SELECT id, CASE WHEN canton = 'TI' THEN score * 3.5 ELSE score END AS score, rank FROM r) SELECT id, row_number() OVER (ORDER BY score DESC, rank) AS rank, round(score, 6) AS score FROM b")
+@query("w15_presentation_rank")
+def w15(s, d):
+    """Both keys of each query's candidates: the document's, and the first 150 characters of its text."""
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 200).withColumn("words", F.lower(F.substring(text.squeeze("text"), 1, 150)))
+    return retrieve.shown(rows.select("query_id", "id", "rank", "doc_key", "words"), "doc_key", "words", 15, "query_id").select("query_id", "id", "rank")
+
+
+@query("f65_t2_context_boost", f"WITH b AS (SELECT query_id, id, CASE WHEN canton = 'TI' THEN score * 3.5 ELSE score END AS score, rank FROM {best(100)}) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, round(score, 6) AS score FROM b")
 def f65(s, d):
-    return shown(retrieve.boost(retrieve.dense(points(s, d), query_vector(s, d), 100), "TI"))
+    return shown(retrieve.boost(retrieve.dense_many(points(s, d), asked(s, d), 100), "TI", "query_id"))
 
 
 @query("r4_mmr_metadata")
 def r4(s, d):
-    rows = retrieve.dense(points(s, d), query_vector(s, d), 100)
-    return retrieve.mmr(rows, 20, 0.7).select("id", "rank")
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 100).drop("dense", "query_dense", "text", "query_text")
+    return retrieve.mmr(rows, 20, 0.7, by="query_id").select("query_id", "id", "rank")
 
 
 @query("r4_mmr_embedding")
 def r4e(s, d):
-    v = query_vector(s, d)
-    return retrieve.mmr(retrieve.dense(points(s, d), v, 100), 20, 0.3, v).select("id", "rank")
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 100).select("query_id", "id", "rank", "dense", "query_dense")
+    return retrieve.mmr(rows, 20, 0.3, "query_dense", "query_id").select("query_id", "id", "rank")
 
 
 RERANKED = f"""
-WITH r AS (SELECT id, text, year, {RANK} AS rank FROM (SELECT id, text, year, {COS} AS score FROM {P} ORDER BY score DESC, id LIMIT 100)),
-b AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), ['the', 'and', 'retitioning', 'of', 'der', 'die', 'le'])) / 7.0 + 0.1 * ((greatest(1900, least(2026, year)) - 1900) / 126.0) AS final_score FROM r)
+WITH w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda x: x <> '')) AS asked FROM {best(100)}),
+b AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), asked)) / CAST(greatest(len(asked), 1) AS DOUBLE) + 0.1 * ((greatest(1900, least(2026, year)) - 1900) / 126.0) AS final_score FROM w),
+t AS (SELECT query_id, id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, rank) AS rank FROM b)
 """
 
 
-@query("r5_t3_rerank", RERANKED + "SELECT id, round(final_score, 6) AS final_score, row_number() OVER (ORDER BY final_score DESC, rank) AS rank FROM b ORDER BY final_score DESC, rank LIMIT 15")
+@query("r5_t3_rerank", RERANKED + "SELECT query_id, id, round(final_score, 6) AS final_score, rank FROM t WHERE rank <= 15")
 def r5(s, d):
-    rows = retrieve.dense(points(s, d), query_vector(s, d), 100)
-    return retrieve.rerank(rows, QUESTION, 15, NOW).select("id", F.round("final_score", 6).alias("final_score"), "rank")
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 100)
+    return retrieve.rerank(rows, F.col("query_text"), 15, NOW, by="query_id").select("query_id", "id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
-@query("r6_f67_confidence", RERANKED + ", t AS (SELECT final_score FROM b ORDER BY final_score DESC, rank LIMIT 15) SELECT count(*) AS n, round(max(final_score), 6) AS top_score, round(var_pop(final_score), 6) AS score_variance, CASE WHEN max(final_score) > 0.75 AND var_pop(final_score) < 0.1 THEN 'HIGH' WHEN max(final_score) > 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM t")
+@query("r6_f67_confidence", RERANKED + "SELECT query_id, count(*) AS n, round(max(final_score), 6) AS top_score, round(var_pop(final_score), 6) AS score_variance, CASE WHEN max(final_score) > 0.75 AND var_pop(final_score) < 0.1 THEN 'HIGH' WHEN max(final_score) > 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM t WHERE rank <= 15 GROUP BY query_id")
 def r6(s, d):
-    rows = retrieve.rerank(retrieve.dense(points(s, d), query_vector(s, d), 100), QUESTION, 15, NOW)
-    return retrieve.confidence(rows).select("n", F.round("top_score", 6).alias("top_score"), F.round("score_variance", 6).alias("score_variance"), "confidence")
+    rows = retrieve.rerank(retrieve.dense_many(points(s, d), asked(s, d), 100), F.col("query_text"), 15, NOW, by="query_id")
+    return retrieve.confidence(rows, "query_id").select("query_id", "n", F.round("top_score", 6).alias("top_score"), F.round("score_variance", 6).alias("score_variance"), "confidence")
 
 
 @query("f60_cosine_pairs", "SELECT a.vec_id AS a_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -146,26 +162,29 @@ def f63(s, d):
 
 @query("r7_library_lane")
 def r7(s, d):
-    rows = retrieve.lane(points(s, d), posts(s, d), query_vector(s, d), TOKENS, QUESTION, NOW, "library", 10, {"lang": ["de", "fr", "en"]})
-    return rows.select("id", "doc_key", "rank", F.round("final_score", 6).alias("final_score"))
+    rows = retrieve.lane_many(points(s, d), posts(s, d), asked(s, d), asked_tokens(s, d), NOW, "library", 10, {"lang": ["de", "fr", "en"]})
+    return rows.select("query_id", "id", "doc_key", "rank", F.round("final_score", 6).alias("final_score"))
 
 
 @query("r11_search")
 def r11(s, d):
-    """The library lane, statutes and ordinances in one ranked result with confidences."""
-    p, x, v = points(s, d), posts(s, d), query_vector(s, d)
+    """The library lane, statutes and ordinances of each query in one ranked result with confidences."""
+    p, x, q, w = points(s, d), posts(s, d), asked(s, d), asked_tokens(s, d)
     active = table(s, d, "labels").select(F.concat(F.lit("SR "), (F.col("doc_id") % 10).cast("string")).alias("sr_number"))
-    canton = text.query_canton(F.lit("licenza edilizia in Ticino"))
-    place = s.range(1).select(canton.alias("c")).first().c
-    lanes = {k: retrieve.lane(p, x, v, TOKENS, QUESTION, NOW, k, 10, None, place, active) for k in ("library", "laws", "ordinances")}
-    return retrieve.search(lanes).withColumn("final_score", F.round("final_score", 6))
+    place = s.range(1).select(text.query_canton(F.lit("licenza edilizia in Ticino")).alias("c")).first().c
+    lanes = {k: retrieve.lane_many(p, x, q, w, NOW, k, 10, None, place, active) for k in ("library", "laws", "ordinances")}
+    return retrieve.search(lanes, "query_id").withColumn("final_score", F.round("final_score", 6))
+
+
+DOSSIERS = f"SELECT * FROM {best(250, "AND p.canton = 'TI'")} UNION ALL SELECT * FROM {best(250, "AND p.canton = 'ZH'")}"
 
 
-@query("r10_dossier_search", f"WITH u AS (SELECT id, 'user' AS scope, {COS} AS score FROM {P} WHERE canton = 'TI' ORDER BY score DESC, id LIMIT 250), f AS (SELECT id, 'firm' AS scope, {COS} AS score FROM {P} WHERE canton = 'ZH' ORDER BY score DESC, id LIMIT 250) SELECT id, scope, {RANK} AS rank FROM (SELECT * FROM u UNION ALL SELECT * FROM f ORDER BY score DESC, id LIMIT 500)")
+@query("r10_dossier_search", f"SELECT query_id, id, CASE canton WHEN 'TI' THEN 'user' ELSE 'firm' END AS scope, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({DOSSIERS}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 500")
 def r10(s, d):
-    p, v = points(s, d), query_vector(s, d)
-    one = lambda canton, scope: retrieve.dense(p, v, 250, {"canton": canton}).withColumn("scope", F.lit(scope))
-    return retrieve.top(one("TI", "user").unionByName(one("ZH", "firm")).drop("rank"), 500).select("id", "scope", "rank")
+    p, q = points(s, d), asked(s, d)
+    one = lambda canton, scope: many.dense(p, q, 250, {"canton": canton}).withColumn("scope", F.lit(scope))
+    both = one("TI", "user").unionByName(one("ZH", "firm"))
+    return retrieve.first_rows(both, 500, "query_id", F.desc("score"), "id").select("query_id", "id", "scope", "rank")
 
 
 @query("r14_add_document")
@@ -178,9 +197,9 @@ def r14(s, d):
 
 @query("r15_context")
 def r15(s, d):
-    rows = retrieve.dense(points(s, d), query_vector(s, d), 100)
-    docs = table(s, d, "documents").select(F.concat(F.lit("D"), (F.col("doc_id") % 97).cast("string")).alias("doc_key"), F.col("doc_id").alias("chunk_index"), F.lit("facts").alias("chunk_type"), F.substring("text", 1, 200).alias("text"))
-    return retrieve.assemble(rows, docs)
+    rows = many.dense(points(s, d), asked(s, d), 100).withColumn("doc_key", F.concat(F.lit("D"), (F.col("id") % 97).cast("string")))
+    docs = table(s, d, "documents").select(F.concat(F.lit("D"), (F.col("doc_id") % 97).cast("string")).alias("doc_key"), F.col("doc_id").alias("chunk_index"), F.lit("facts").alias("chunk_type"), "text")
+    return retrieve.assemble(rows, docs, by="query_id")
 
 
 @query("r16_sparse_encoder", f"SELECT id, token, weight FROM {POSTS}")
@@ -188,8 +207,8 @@ def r16(s, d):
     return posts(s, d)
 
 
-@query("t4_t5_merge_collections", f"SELECT id, {RANK} AS rank FROM (SELECT id, score FROM (SELECT id, {COS} AS score FROM {P} WHERE lang = 'de' ORDER BY score DESC, id LIMIT 20) UNION ALL SELECT id, score FROM (SELECT id, {COS} AS score FROM {P} WHERE lang = 'fr' ORDER BY score DESC, id LIMIT 20) ORDER BY score DESC, id LIMIT 25)")
+@query("t4_t5_merge_collections", f"WITH u AS (SELECT * FROM {best(20, "AND p.lang = 'de'")} UNION ALL SELECT * FROM {best(20, "AND p.lang = 'fr'")}) SELECT query_id, id, {RANK} AS rank FROM u QUALIFY {RANK} <= 25")
 def t5(s, d):
-    p, v = points(s, d), query_vector(s, d)
-    both = retrieve.dense(p, v, 20, {"lang": "de"}).unionByName(retrieve.dense(p, v, 20, {"lang": "fr"}))
-    return retrieve.top(both.drop("rank"), 25).select("id", "rank")
+    p, q = points(s, d), asked(s, d)
+    both = many.dense(p, q, 20, {"lang": "de"}).unionByName(many.dense(p, q, 20, {"lang": "fr"}))
+    return retrieve.first_rows(both, 25, "query_id", F.desc("score"), "id").select("query_id", "id", "rank")

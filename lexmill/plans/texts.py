@@ -67,14 +67,13 @@ def f3(s, d):
 
 
 def count_of(words):
-    return " + ".join(f"CAST(contains(lower(left(text, 2000)), {sql(w)}) AS INT)" for w in words)
+    return " + ".join(f"CAST(contains(lower(text), {sql(w)}) AS INT)" for w in words)
 
 
-@query("f4_query_context", f"SELECT doc_id, CASE WHEN it > fr AND it > de AND it >= 2 THEN 'it' WHEN fr > it AND fr > de AND fr >= 2 THEN 'fr' WHEN de > 0 THEN 'de' END AS language, {case({k: [k] for k in vocab.CANTONS}, 'lower(left(text, 2000))')} AS place FROM (SELECT *, {count_of(vocab.MARKERS['it'])} AS it, {count_of(vocab.MARKERS['fr'])} AS fr, {count_of(vocab.MARKERS['de'])} AS de FROM documents)")
+@query("f4_query_context", f"SELECT doc_id, CASE WHEN it > fr AND it > de AND it >= 2 THEN 'it' WHEN fr > it AND fr > de AND fr >= 2 THEN 'fr' WHEN de > 0 THEN 'de' END AS language, {case({k: [k] for k in vocab.CANTONS}, 'lower(text)')} AS place FROM (SELECT *, {count_of(vocab.MARKERS['it'])} AS it, {count_of(vocab.MARKERS['fr'])} AS fr, {count_of(vocab.MARKERS['de'])} AS de FROM documents)")
 def f4(s, d):
-    q = F.substring("text", 1, 2000)  # a question's length
-    place = text.first_key(F.lower(q), {k: [k] for k in vocab.CANTONS})
-    return table(s, d, "documents").select("doc_id", text.query_language(q).alias("language"), place.alias("place"))
+    place = text.first_key(F.lower("text"), {k: [k] for k in vocab.CANTONS})
+    return table(s, d, "documents").select("doc_id", text.query_language("text").alias("language"), place.alias("place"))
 
 
 @query("f8_f9_clean_values")
@@ -82,9 +81,9 @@ def f8(s, d):
     return table(s, d, "documents").select("doc_id", text.clean_federal("text").alias("federal"), text.join_lines("text").alias("ticino"))
 
 
-@query("f10_clean_law", r"SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\d+\s*$', '', 'gm'), '  +', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), chr(10)) AS cleaned FROM documents WHERE NOT contains(text, 'Art.')")
+@query("f10_clean_law", r"SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\d+\s*$', '', 'gm'), '(Art\.\s*\d{1,4}[a-z]?(?:bis|ter|quater|quinquies)?)(\d{3,})', '\1', 'g'), '  +', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), chr(10)) AS cleaned FROM documents")
 def f10(s, d):
-    return table(s, d, "documents").where(~F.col("text").contains("Art.")).select("doc_id", text.clean_law("text").alias("cleaned"))
+    return table(s, d, "documents").select("doc_id", text.clean_law("text").alias("cleaned"))
 
 
 @query("f11_f12_law_text")
@@ -129,9 +128,19 @@ def f18(s, d):
     return rows.select("lang", text.legal_citations("text", ["OR", "StGB", "LAA"]).alias("laws"), text.case_citations("text").alias("cases"), text.outcome("text").alias("outcome"), text.lower_court("text").alias("lower_court"), text.date_of("text").alias("date"), text.case_id("text").alias("case_id"), text.sections("text", "lang").alias("sections"))
 
 
-@query("f19_case_citations", r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\b([A-Za-z0-9]+[\-_.][0-9]+/[0-9]{4})\b', 1), lambda x: upper(x)))) AS cases FROM documents WHERE NOT regexp_matches(text, '(?i)BGE|ATF|DTF')")
+OFFICIAL = r"(?i)(?:BGE|ATF|DTF)\s+(\d+)\s+([IV]+)\s+(\d+)"
+F19_SQL = rf"""
+WITH c AS (
+  SELECT doc_id, list_zip(regexp_extract_all(text, '{OFFICIAL}', 1), regexp_extract_all(text, '{OFFICIAL}', 2), regexp_extract_all(text, '{OFFICIAL}', 3)) AS official,
+    regexp_extract_all(text, '(?i)(?:BVGE|ATAF)\s+(\d{{4}}/\d+)', 1) AS admin, regexp_extract_all(text, '(?i)\b([A-Z0-9]+[\-_.]\d+/\d{{4}})\b', 1) AS files
+  FROM documents)
+SELECT doc_id, list_sort(list_distinct(list_transform(official, lambda x: concat_ws(' ', 'BGE', x[1], x[2], x[3])) || list_transform(admin, lambda x: 'BVGE ' || x) || list_transform(files, lambda x: upper(x)))) AS cases FROM c
+"""
+
+
+@query("f19_case_citations", F19_SQL)
 def f19(s, d):
-    return table(s, d, "documents").where(~F.col("text").rlike("(?i)BGE|ATF|DTF")).select("doc_id", text.case_citations("text").alias("cases"))
+    return table(s, d, "documents").select("doc_id", text.case_citations("text").alias("cases"))
 
 
 @query("f21_outcome", f"SELECT doc_id, {case(vocab.OUTCOMES, 'lower(right(text, 3000))', sql('unknown'))} AS outcome FROM documents")
@@ -144,10 +153,24 @@ def f28(s, d):
     return table(s, d, "pages").select("url", text.court("url").alias("court"), text.source_of("url").alias("source"))
 
 
-@query("f37_context_around", f"WITH q AS (SELECT doc_id, {SQUEEZED} AS s FROM documents WHERE length(text) > 700), r AS (SELECT *, substring(s, 301, 40) AS q FROM q), p AS (SELECT *, instr(lower(s), lower(trim(q))) AS at_, length(trim(q)) AS n FROM r) SELECT doc_id, CASE WHEN at_ > 0 THEN (CASE WHEN greatest(at_ - 200, 1) > 1 THEN '...' ELSE '' END) || substring(s, greatest(at_ - 200, 1), least(at_ + n + 200, length(s) + 1) - greatest(at_ - 200, 1)) || (CASE WHEN least(at_ + n + 200, length(s) + 1) <= length(s) THEN '...' ELSE '' END) ELSE '' END AS context FROM p")
+F37_SQL = f"""
+WITH q AS (SELECT doc_id, {SQUEEZED} AS s FROM documents),
+r AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN substring(s, length(s) // 2 + 1, 40) WHEN 1 THEN substring(s, length(s) // 2 + 1, 60) || ' #' ELSE '# ' || left(s, 10) END AS quote FROM q),
+t AS (SELECT *, trim(regexp_replace(quote, ' +', ' ', 'g')) AS q FROM r),
+u AS (SELECT *, length(q) AS n, CASE WHEN instr(lower(s), lower(q)) > 0 THEN instr(lower(s), lower(q)) ELSE instr(lower(s), lower(left(q, 50))) END AS hit FROM t),
+p AS (SELECT *, greatest(hit - 200, 1) AS a, least(hit + n + 200, length(s) + 1) AS e FROM u)
+SELECT doc_id, CASE WHEN n > 0 AND hit > 0 THEN (CASE WHEN a > 1 THEN '...' ELSE '' END) || substring(s, a, e - a) || (CASE WHEN e <= length(s) THEN '...' ELSE '' END) ELSE '' END AS context FROM p
+"""
+
+
+@query("f37_context_around", F37_SQL)
 def f37(s, d):
-    docs = table(s, d, "documents").where(F.length("text") > 700)
-    return docs.select("doc_id", text.context_around(F.col("text"), F.substring(text.squeeze("text"), 301, 40)).alias("context"))
+    """Each text with a quote from its middle: exact, with a changed end, or absent."""
+    docs = table(s, d, "documents").withColumn("s", text.squeeze("text"))
+    middle = lambda n: F.substring("s", F.floor(F.length("s") / 2).cast("int") + 1, F.lit(n))
+    which = F.col("doc_id") % 3
+    quote = F.when(which == 0, middle(40)).when(which == 1, F.concat(middle(60), F.lit(" #"))).otherwise(F.concat(F.lit("# "), F.substring("s", 1, 10)))
+    return docs.select("doc_id", text.context_around(F.col("text"), quote).alias("context"))
 
 
 @query("f38_f41_names_and_prompts", "SELECT s_suppkey, left(regexp_replace(s_name, '[^A-Za-z0-9]', '_', 'g'), 50) || '_20240131.xlsx' AS file, '- ' || s_name || ' (one of: a, b): x' AS prompt FROM supplier")
@@ -155,9 +178,16 @@ def f38(s, d):
     return table(s, d, "supplier").select("s_suppkey", text.file_name("s_name", F.lit("2024-01-31").cast("date")).alias("file"), text.prompt_field("s_name", F.lit("enum"), F.lit("x"), F.array(F.lit("a"), F.lit("b"))).alias("prompt"))
 
 
-@query("f50_date", r"WITH m AS (SELECT doc_id, regexp_extract(text, '(\d{1,2})\.?\s+(\d{1,2})\.?\s+(\d{4})', ['d', 'm', 'y']) AS g FROM documents WHERE NOT regexp_matches(text, '\d{1,2}\.?\s+[a-zA-Zäöüéà]+\.?\s+\d{4}')) SELECT doc_id, CASE WHEN g.y <> '' THEN g.y || '-' || lpad(g.m, 2, '0') || '-' || lpad(g.d, 2, '0') END AS date FROM m")
+MONTH_SQL = "CASE " + " ".join(f"WHEN lower(g.m) IN ({', '.join(map(sql, names))}) THEN '{k:02d}'" for k, names in enumerate(vocab.MONTHS, 1)) + r" WHEN regexp_matches(g.m, '^\d+$') THEN lpad(g.m, 2, '0') END"
+F50_SQL = rf"""
+WITH m AS (SELECT doc_id, regexp_extract(text, '(\d{{1,2}})\.?\s+(\d{{1,2}}|[a-zA-Zäöüéà]+)\.?\s+(\d{{4}})', ['d', 'm', 'y']) AS g FROM documents)
+SELECT doc_id, CASE WHEN g.y <> '' THEN g.y || '-' || {MONTH_SQL} || '-' || lpad(g.d, 2, '0') END AS date FROM m
+"""
+
+
+@query("f50_date", F50_SQL)
 def f50(s, d):
-    return table(s, d, "documents").where(~F.col("text").rlike(r"\d{1,2}\.?\s+[a-zA-Zäöüéà]+\.?\s+\d{4}")).select("doc_id", text.date_of("text").alias("date"))
+    return table(s, d, "documents").select("doc_id", text.date_of("text").alias("date"))
 
 
 @query("f51_f55_years", "SELECT * FROM (VALUES (1, 2023), (2, 2022), (3, 2021), (4, 2020), (5, 2000), (6, 2019)) t(id, year)")
@@ -166,10 +196,17 @@ def f51(s, d):
     return literals(s, rows, "id int, m int, y int, dt string, dd string").select("id", text.year_of("m", "y", "dt", "dd", 2026).alias("year"))
 
 
-@query("f68_f70_budget", "SELECT doc_id, length(text) // 4 AS tokens, CASE WHEN length(text) <= 600 THEN text ELSE left(text, 600) || chr(10) || chr(10) || '[...]' END AS context FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND NOT contains(text, chr(10) || '## ')")
+HEAD, GAP = "chr(10) || '## '", "chr(10) || chr(10)"
+F70_SQL = f"""
+WITH c AS (SELECT *, left(text, 600) AS c FROM documents),
+l AS (SELECT *, CASE WHEN contains(c, {HEAD}) THEN 600 - instr(reverse(c), reverse({HEAD})) - 3 ELSE 0 END AS h, CASE WHEN contains(c, {GAP}) THEN 600 - instr(reverse(c), {GAP}) - 1 ELSE 0 END AS g FROM c)
+SELECT doc_id, length(text) // 4 AS tokens, CASE WHEN length(text) <= 600 THEN text ELSE left(c, CASE WHEN h > 300 THEN h WHEN g > 420 THEN g ELSE 600 END) || chr(10) || chr(10) || '[...]' END AS context FROM l
+"""
+
+
+@query("f68_f70_budget", F70_SQL)
 def f70(s, d):
-    docs = table(s, d, "documents").where(~F.col("text").contains("\n\n") & ~F.col("text").contains("\n## "))
-    return docs.select("doc_id", text.estimate_tokens("text").alias("tokens"), text.truncate_context("text", 600).alias("context"))
+    return table(s, d, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"), text.truncate_context("text", 600).alias("context"))
 
 
 @query("f81_f82_fenced_json", "SELECT * FROM (VALUES (1, 'MIXED'), (2, 'DIVERGENT'), (3, 'CONSISTENT')) t(id, verdict)")
@@ -245,7 +282,7 @@ def c1(s, d):
 
 @query("c2_c3_chunk_decision")
 def c3(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("regeste"), F.col("text").alias("reasoning"))
+    docs = table(s, d, "documents").select("doc_id", F.coalesce(text.regeste("text"), F.lit("")).alias("regeste"), F.col("text").alias("reasoning"))
     return chunk.chunk_sections(docs, "doc_id", ["regeste", "reasoning"], 200, 50)
 
 
@@ -270,13 +307,13 @@ def c6(s, d):
     return articles.articles(rows, "sr", "text")
 
 
-@query("w8_w9_line_spans", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, i AS line_no, lead(i, 1, i + 1) OVER (PARTITION BY doc_id ORDER BY i) AS end_line, left(lead(line) OVER (PARTITION BY doc_id ORDER BY i), 20) AS ahead FROM l")
+@query("w8_w9_line_spans", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, i AS line_no, lead(i, 1, i + 1) OVER (PARTITION BY doc_id ORDER BY i) AS end_line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS ahead FROM l")
 def w8(s, d):
     from pyspark.sql import Window
 
     rows = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    return rows.select("doc_id", "line_no", F.coalesce(F.lead("line_no").over(w), F.col("line_no") + 1).alias("end_line"), F.substring(F.lead("line").over(w), 1, 20).alias("ahead"))
+    return rows.select("doc_id", "line_no", F.coalesce(F.lead("line_no").over(w), F.col("line_no") + 1).alias("end_line"), F.lead("line").over(w).alias("ahead"))
 
 
 PLAIN = [("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("CREDIT_CARD", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"), ("SWISS_AHV", r"\b756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}\b")]
