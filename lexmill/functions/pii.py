@@ -11,16 +11,17 @@ from lexmill.functions import vocab
 KEPT = {"DATE_TIME"}
 
 
-def patterns(types: list[str] | None = None, least: float = 0.7) -> list[tuple[str, str, float]]:
-    return [p for p in vocab.PII if (types is None or p[0] in types) and p[2] >= least]
+def patterns(types: list[str] | None = None, least: float = 0.7, more: tuple[tuple[str, str, float], ...] = ()) -> list[tuple[str, str, float]]:
+    """V3: the recognisers (entity type, pattern, score) in use; more: the caller's own."""
+    return [p for p in (*vocab.PII, *more) if (types is None or p[0] in types) and p[2] >= least]
 
 
-def detect(df: DataFrame, key: str, text: str, types: list[str] | None = None, least: float = 0.7) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, types: list[str] | None = None, least: float = 0.7, more: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:
     """(key, entity_type, text, score) for each match of each pattern; one row each."""
     def hits(t, p, s):
         return F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda m: F.struct(F.lit(t).alias("entity_type"), m.alias("text"), F.lit(s).alias("score")))
 
-    found = [hits(*x) for x in patterns(types, least)]
+    found = [hits(*x) for x in patterns(types, least, more)]
     return df.select(key, F.explode(F.concat(*found)).alias("x")).select(key, "x.*")
 
 
@@ -58,3 +59,9 @@ def has_pii(c: Column, types: list[str] | None = None) -> Column:
 def summary(df: DataFrame, key: str, text: str, types: list[str] | None = None) -> DataFrame:
     """(entity_type, n)."""
     return detect(df, key, text, types).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+def kept_types(c: Column, allowed: list[str], types: list[str] | None = None) -> Column:
+    """The sorted entity types in a text, without the allowed ones."""
+    found = F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(t)) for t, p, _ in patterns(types))))
+    return F.array_sort(F.array_except(found, F.array(*map(F.lit, allowed)).cast("array<string>")))

@@ -391,3 +391,70 @@ def judges(c: C) -> Column:
     plain = F.regexp_replace(bench, r"(?iu)\b(?:Bundesrichter(?:in)?(?:nen)?|Richter(?:in)?|Juges?|Giudic[ei]|MM\.|Mmes?|Präsident(?:in)?|président(?:e)?|presidente|Gerichtsschreiber(?:in)?.*|greffi(?:er|ère).*|segretari[oa].*|Vorsitz)\b", "")
     names = F.transform(F.split(plain, r"(?iu)[,;\n]|\s+(?:et|und|e)\s+"), lambda x: strip(F.regexp_replace(x, r"[.\s]+$", "")))
     return F.slice(F.array_distinct(F.filter(names, lambda x: x.rlike(r"^\p{Lu}[\p{L}'\- .]{1,40}$"))), 1, 6)
+
+
+def shown_text(regeste: C, facts: C, reasoning: C, preview: C, most: int = 250) -> Column:
+    """the headnote unless it is a court's header, else the beginning of the facts, of the reasoning without its header, or the preview."""
+    filled = lambda c: F.coalesce(col(c), F.lit("")) != ""
+    own = filled(regeste) & ~reduce(lambda a, b: a | b, (col(regeste).startswith(w) for w in vocab.COURT_HEADERS))
+    body = F.regexp_replace(reasoning, r"^(?:Erwägungen|Considérant|Diritto|Considerando)[^\n]*\n?", "")
+    best = F.when(own, col(regeste)).when(filled(facts), F.substring(facts, 1, 500)).when(filled(reasoning), F.substring(body, 1, 500))
+    t = first_filled(best, regeste, facts, reasoning, preview)
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
+
+
+def logged_name(c: C, folder: C) -> Column:
+    """escapes of code points undone, the folder put before a bare name."""
+    told = strip(c)
+    plain = F.when(told.contains("\\u"), F.coalesce(F.from_json(F.concat(F.lit('{"x":"'), told, F.lit('"}')), "x string")["x"], told)).otherwise(told)
+    return F.when(plain.contains("/"), plain).otherwise(F.concat_ws("/", col(folder), plain))
+
+
+def year_window(last_run: C, today: C, first: int, last: int) -> tuple[Column, Column]:
+    """first and last year to fetch: all at the first run, else two years after at most 30 days, else five."""
+    back = F.when(F.datediff(col(today), col(last_run)) <= 30, 2).otherwise(5)
+    return F.when(col(last_run).isNull(), F.lit(first)).otherwise(F.greatest(F.lit(first), last - back)), F.lit(last)
+
+
+def prompt_budget(context: C, others: C, limit: int = 12000) -> Column:
+    """the context, cut to the tokens that system prompt, history and question leave when all are over the limit."""
+    room = F.greatest(limit - col(others), F.lit(0))
+    return F.when(estimate_tokens(context) + col(others) > limit, F.substring(col(context), F.lit(1), (room * 4).cast("int"))).otherwise(col(context))
+
+
+def encrypted(c: C, key: C) -> Column:
+    """base64 of the text's AES-GCM cipher; the key has 16, 24 or 32 bytes and is the caller's."""
+    return F.base64(F.aes_encrypt(F.encode(col(c), "UTF-8"), col(key), F.lit("GCM")))
+
+
+def decrypted(c: C, key: C) -> Column:
+    """null where the key or the cipher text is wrong."""
+    return F.try_aes_decrypt(F.unbase64(col(c)), col(key), F.lit("GCM")).cast("string")
+
+
+def law_line(rank: C | None, abbreviation: C, article: C, title: C, sr: C, language: C, body: C) -> Column:
+    """a law's heading, numbered if there is a rank, and its text."""
+    number = F.concat(col(rank).cast("string"), F.lit(". ")) if rank is not None else F.lit("")
+    titled = F.when(F.coalesce(col(title), F.lit("")) != "", F.concat(F.lit(" - "), col(title))).otherwise("")
+    return F.concat(F.lit("### "), number, col(abbreviation), F.lit(" Art. "), col(article), titled, F.lit(" (SR "), col(sr), F.lit(", "), F.upper(col(language)), F.lit(")\n\n"), col(body))
+
+
+def decision_line(decision: C, year: C, court_name: C, language: C, body: C) -> Column:
+    """a decision's heading and text; official decisions are cited with blanks."""
+    base = normalize_decision_id(decision)
+    cited = F.when(base.contains("BGE"), F.concat(F.lit("BGE "), F.replace(F.replace(base, F.lit("BGE-"), F.lit("")), F.lit("-"), F.lit(" ")))).otherwise(base)
+    when = F.when(col(year).isNotNull(), F.concat(F.lit(" ("), col(year).cast("string"), F.lit(")"))).otherwise("")
+    where = F.when(F.coalesce(col(court_name), F.lit("")) != "", F.concat(F.lit(" - "), col(court_name))).otherwise("")
+    return F.concat(F.lit("### "), cited, when, where, F.lit(" ["), F.upper(col(language)), F.lit("]\n\n"), col(body))
+
+
+def law_card(rank: C, abbreviation: C, article: C, sr: C, language: C, score: C, body: C) -> Column:
+    """A law as shown in a result list, its text cut at 300 characters."""
+    cut = F.when(F.length(body) > 300, F.concat(F.substring(body, 1, 300), F.lit("..."))).otherwise(col(body))
+    return F.concat(F.lit("**"), col(rank).cast("string"), F.lit(". "), col(abbreviation), F.lit(" Art. "), col(article), F.lit("**\nSR "), col(sr), F.lit(" • `"), F.upper(col(language)), F.lit("` • Score: "), F.format_number(col(score), 2), F.lit("\n\n> "), cut, F.lit("\n"))
+
+
+def consistency_label(verdict: C, sure: C) -> Column:
+    """The lamp and words for a verdict and its confidence; unknown ones count as mixed and medium."""
+    pick = lambda table, c, default: F.coalesce(*(F.when(col(c) == k, F.lit(v)) for k, v in table.items()), F.lit(table[default]))
+    return F.concat(pick(vocab.VERDICTS, verdict, "MIXED"), F.lit(" ("), pick(vocab.CONFIDENCES, sure, "medium"), F.lit(")"))

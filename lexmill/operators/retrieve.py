@@ -145,6 +145,11 @@ def similarity_matrix(rows: pd.DataFrame, embedded: bool) -> np.ndarray:
     return out
 
 
+def mmr_score(relevance, most_alike, lam: float = vocab.FINAL["mmr_lambda"]):
+    """F64, for columns and arrays."""
+    return lam * relevance - (1 - lam) * most_alike
+
+
 def pick(relevance: np.ndarray, alike: np.ndarray, k: int, lam: float) -> list[int]:
     """Greedy: the first, then each time the greatest relevance less likeness to those taken; ties go to the earlier."""
     n = len(relevance)
@@ -154,7 +159,7 @@ def pick(relevance: np.ndarray, alike: np.ndarray, k: int, lam: float) -> list[i
     free = np.ones(n, dtype=bool)
     free[0] = False
     while len(taken) < k:
-        score = np.where(free, lam * relevance - (1 - lam) * most, -np.inf)
+        score = np.where(free, mmr_score(relevance, most, lam), -np.inf)
         best = int(score.argmax())
         taken.append(best)
         free[best] = False

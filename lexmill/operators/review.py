@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
@@ -48,3 +48,26 @@ def cells(answers: DataFrame, fields: DataFrame, pages: DataFrame) -> DataFrame:
 def page_at(positions: DataFrame, pages: DataFrame) -> DataFrame:
     """The page whose [char_start, char_end) holds the position, within each document."""
     return positions.join(pages, "doc").where("char_start <= pos and pos < char_end").select("doc", "pos", "page")
+
+
+def context(cells: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc, context) of long cells (doc, field, value): one line for each value that is not null, in the fields' order.
+
+    Truth values are Yes and No. Fields (name, display_name, position, kind) are a preset's: few, so they are broadcast.
+    """
+    told = F.when(F.col("kind") == "boolean", F.when(F.lower("value").isin("true", "1", "yes"), "Yes").otherwise("No")).otherwise(F.col("value"))
+    rows = cells.where("value is not null").join(F.broadcast(fields.select(F.col("name").alias("field"), "display_name", "position", "kind")), "field")
+    line = F.concat(F.lit("- **"), F.col("display_name"), F.lit("**: "), told)
+    parts = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("context"))
+
+
+def as_map(cells: DataFrame) -> DataFrame:
+    """(doc, fields) with the cells of a document as a map."""
+    return cells.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+
+
+def history(messages: DataFrame, key: str, order: str, most: int = 10) -> DataFrame:
+    """The last messages of each conversation."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,51 @@ def missing(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def pivoted(cells: DataFrame, row: str, field: str, value: str, fields: list[str]) -> DataFrame:
     """Long review cells to a wide table; cells that are missing are null."""
     return cells.groupBy(row).pivot(field, fields).agg(F.first(value))
+
+
+def written(rows: DataFrame, path: str, **counts: Column) -> dict:
+    """V6/K3: rows written as Parquet, and counts taken on the way, without a second pass."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("rows"), *(c.alias(n) for n, c in counts.items())).write.mode("append").parquet(path)
+    return seen.get
+
+
+def base_ids(chunks: DataFrame, column: str = "id") -> DataFrame:
+    """M2: the distinct ids that the chunks' ids (`<id>_chunk_<n>`) begin with."""
+    return chunks.select(F.regexp_replace(column, r"(?s)^(.*)_chunk_.*$", "$1").alias("id")).distinct()
+
+
+def next_number(files: DataFrame, column: str = "path") -> DataFrame:
+    """M2: one row, one more than the greatest number in `embeddings_<number>`, else 0."""
+    number = F.regexp_extract(column, r"embeddings_(\d+)", 1).try_cast("int")
+    return files.agg((F.coalesce(F.max(number), F.lit(-1)) + 1).alias("next_number"))
+
+
+def widened(spark, path: str) -> DataFrame:
+    """A folder whose later files have more columns than earlier ones; rows without a column have null."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def preferred(rows: DataFrame, key: str, value: str, status: str) -> DataFrame:
+    """Of each key the value of the least status; ties go to the least value."""
+    return rows.groupBy(key).agg(F.min_by(value, F.struct(status, value)).alias(value))
+
+
+def dimension(own: DataFrame, *others: DataFrame) -> DataFrame:
+    """The union of code sets."""
+    for x in others:
+        own = own.unionByName(x)
+    return own.distinct()
+
+
+def recent(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """Newest first; ties by key."""
+    return rows.orderBy(F.desc(by), key)
+
+
+def first_of_each(rows: DataFrame, key: str, order: str, value: str, most: int) -> DataFrame:
+    """At most `most` values of each key, in order; a group is cut before it is gathered."""
+    w = Window.partitionBy(key).orderBy(order, value)
+    kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    parts = F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v"))))
+    return kept.groupBy(key).agg(F.transform(parts, lambda x: x["v"]).alias(f"{value}s"))
