@@ -309,8 +309,8 @@ def text_hash(text="text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def robust_groups(docs: DataFrame, key: str = "doc_id", bucket: int = 16 * BUCKET, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(key, node, group, group_node) of each row: node is its text's hash, the others the key and text hash that stand for its group.
+def representatives(docs: DataFrame, key: str = "doc_id", bucket: int = 16 * BUCKET, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(node, id, group, group_node) of each distinct text: its hash, its least key, and the key and text hash that stand for its group.
 
     Distinct texts link if their five-word shingles are 0.8 alike or more, which is checked on all shingles;
     groups are the components. The least key stands for a group (null only if all are null), of equal keys the least text hash.
@@ -324,10 +324,16 @@ def robust_groups(docs: DataFrame, key: str = "doc_id", bucket: int = 16 * BUCKE
     best = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     stand = of.join(best, "root").select("node", F.col("best.id").alias("group"), F.col("best.node").alias("group_node"))
     own = F.col("group_node").isNull()
-    return rows.select("id", "node").join(least.withColumnRenamed("id", "least"), "node").join(stand, "node", "left").select(
-        F.col("id").alias(key), "node", F.when(own, F.col("least")).otherwise(F.col("group")).alias("group"), F.when(own, F.col("node")).otherwise(F.col("group_node")).alias("group_node")
+    return least.join(stand, "node", "left").select(
+        "node", "id", F.when(own, F.col("id")).otherwise(F.col("group")).alias("group"), F.when(own, F.col("node")).otherwise(F.col("group_node")).alias("group_node")
     )
 
 
+def robust_groups(docs: DataFrame, key: str = "doc_id", bucket: int = 16 * BUCKET, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, node, group, group_node) of each row, by representatives()."""
+    rows = docs.select(key, text_hash().alias("node"))
+    return rows.join(representatives(docs, key, bucket, block_words).drop("id"), "node").select(key, "node", "group", "group_node")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
