@@ -18,13 +18,16 @@ are chosen. With no training row every token has probability one. Repeated rows
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,7 @@ from lexmill.llm.common import materialize, shared_dir, table
 ORDER = 3
 BLOCK_TOKENS = 2_000_000
 #: Training text, in characters, for each part of the model.
-PART_CHARS = 16_000_000
+PART_CHARS = 10_000_000
 #: A word with more than this share of the tokens may be spread over parts, so there are at most 100,000 such words.
 SPREAD_SHARE = 1e-5
 #: Characters that the shares of words are estimated from, and for each part; they only decide where n-grams go.
@@ -54,6 +57,13 @@ OPEN = 400
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n<s>", b"\n</s>"))  # no word has a line feed
 
 
+def trim() -> None:
+    """Freed memory goes back to the system; else workers that wait for their next task keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def mix(a: np.ndarray, b) -> np.ndarray:
     """A 64-bit hash of pairs of hashes."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
@@ -386,6 +396,8 @@ def train(docs: DataFrame, order: int = ORDER, part_chars: int = PART_CHARS) ->
                 for at in range(0, len(h3), BLOCK_TOKENS):  # more than one only for very long texts
                     part = slice(at, at + BLOCK_TOKENS)
                     yield pd.DataFrame(block(h1[part], h2[part], h3[part]), columns=["part", "words", "blob"])
+                del h1, h2, h3
+        trim()
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         p, got = int(part["part"].iloc[0]), []
@@ -394,16 +406,19 @@ def train(docs: DataFrame, order: int = ORDER, part_chars: int = PART_CHARS) ->
             m, contexts, f, followers, last, n = unpacked(blob)
             got.append((words[m], contexts, words[f] if order == 3 else np.zeros(len(f), np.uint64), followers, words[last], n))
         middle, contexts, first, followers, last, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got, words, m, f
         words, of = np.unique(middle, return_inverse=True)
         key = under(np.repeat(of, contexts), first)
         by = ordered(key, first)
         at = runs(key[by], first[by])
         context, of = key[by][at], np.empty(len(key), dtype=np.int64)
         of[by] = np.repeat(np.arange(len(at)), sizes(at, len(by)))
+        del middle, first
         key = under(np.repeat(of, followers), last)
         by = ordered(key, last)
         at = runs(key[by], last[by])
         key, last, n = key[by][at], last[by][at], sums(n[by], at)
+        del of, by
         of_context = (key >> np.uint64(32)).astype(np.int64)
         of_word = (context >> np.uint64(32)).astype(np.int64)
         begin = starts(of_context, len(context))
@@ -431,6 +446,8 @@ def train(docs: DataFrame, order: int = ORDER, part_chars: int = PART_CHARS) ->
             hot = np.empty(int(spread.sum()), PAIR)
             hot["middle"], hot["last"], hot["n"] = words[of_word[spread]], last[spread], ahead[spread]
             rows += sent(hot, hot["last"], "pair")
+        del arrays, pair, key, context, last, times
+        trim()
         return pd.DataFrame([*rows, (-1, "", b"", coc, count_of_counts(ahead[own]).tolist())], columns=["part", "kind", "blob", "grams", "pairs"])
 
     def sent(rows: np.ndarray, key: np.ndarray, kind: str) -> list[tuple]:
@@ -487,18 +504,22 @@ COLUMNS = ["n", "v", "pairs", "grams", "bigrams", "words", "spread"]
 
 def bisect(a: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each x, its place in its own sorted range a[low:high], -1 where it is not there."""
-    low, top = low.copy(), high.copy()
-    left = np.flatnonzero(low < top)
-    while len(left):
-        mid = (low[left] + top[left]) >> 1
-        less = a[mid] < x[left]
-        low[left[less]] = mid[less] + 1
-        top[left[~less]] = mid[~less]
-        left = left[low[left] < top[left]]
-    there = np.flatnonzero(low < high)
-    out = np.full(len(x), -1)
-    hit = there[a[low[there]] == x[there]]
-    out[hit] = low[hit]
+    out, size = np.full(len(x), -1), high - low
+    least = 0
+    for most in (1, 8, 64, 1024, 1 << 62):  # ranges of about one size take equally many steps
+        own = np.flatnonzero((size > least) & (size <= most))
+        least = most
+        if not len(own):
+            continue
+        at, left, want = low[own], size[own], x[own]
+        for _ in range(int(left.max() - 1).bit_length()):
+            half = left >> 1  # none if one is left
+            at += half * (a[at + half - 1] < want)
+            left -= half
+        at += a[at] < want
+        there = np.flatnonzero(at < high[own])
+        there = there[a[at[there]] == want[there]]
+        out[own[there]] = at[there]
     return out
 
 
@@ -638,6 +659,7 @@ def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) ->
             out["score"] = np.add.reduceat(logs, begin)
             out["perplexity"] = 10 ** np.minimum(-out["score"] / out["n_tokens"], 300)
             yield out
+        trim()
 
     return docs.select(*carry, "text").mapInPandas(run, f"{head}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
