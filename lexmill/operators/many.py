@@ -1,4 +1,4 @@
-"""Top-k of many queries at once: a query set against all rows, in blocks.
+"""Many queries at once: a query set against all rows, in blocks (R1-R3, J12-J14), and many strings in all texts.
 
 Queries are dealt into blocks of bounded size, which are broadcast one after another; rows stay where they lie.
 A task keeps the k best rows of each query of the block, so it sends at most k rows a query, and a window over
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -177,3 +178,38 @@ def fuse(lists: list[DataFrame], k: int, score) -> DataFrame:
     """J14 for many queries: (query_id, id, score, rank) of ranked lists; score: a rank's share."""
     rows = reduce(DataFrame.unionByName, [x.select("query_id", "id", score(F.col("rank")).alias("share")) for x in lists])
     return ranked([rows.groupBy("query_id", "id").agg(F.round(F.sum("share"), 12).alias("score"))], k)
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """J4/J5 for items of any length: (item_id, id) where the text of (id, text) contains that of (item_id, text).
+
+    Items go in blocks of about BLOCK characters, each an automaton that reads every text once. Null texts contain
+    nothing and are in nothing; an empty item is in every text.
+    """
+    told = items.where("text is not null").select("item_id", "text")
+    n = max(1, -(-(told.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // BLOCK))
+    kinds = f"item_id {items.schema['item_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}"
+    rows = docs.where("text is not null").select("id", "text")
+
+    def one(block: DataFrame) -> DataFrame:
+        of: dict[str, list] = {}
+        for r in block.collect():  # about BLOCK characters
+            of.setdefault(r.text, []).append(r.item_id)
+        shared = docs.sparkSession.sparkContext.broadcast(of)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine = ahocorasick.Automaton()
+            for text in shared.value:
+                if text:
+                    machine.add_word(text, text)
+            machine.make_automaton()
+            for batch in batches:
+                out = []
+                for key, text in zip(batch["id"], batch["text"], strict=True):
+                    found = {w for _, w in machine.iter(text)} if len(machine) else set()
+                    out += [(i, key) for w in (*found, *([""] if "" in shared.value else [])) for i in shared.value[w]]
+                yield pd.DataFrame(out, columns=["item_id", "id"])
+
+        return rows.mapInPandas(run, kinds)
+
+    return reduce(DataFrame.unionByName, [one(told.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)) for k in range(n)])

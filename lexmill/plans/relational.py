@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
-from lexmill.operators import filters, tables
+from lexmill.operators import filters, many, tables
 from lexmill.plans.registry import query, table
 
 AS_OF = "1998-03-15"
@@ -244,7 +244,7 @@ def j4(s, d):
 
     A piece is 16 characters from a word's start. A document is keyed by all its pieces, an item by its
     first piece after a blank, which every text that contains the item has too. Only equal keys meet, and
-    containment is checked. Items too short for a piece are few and meet all documents by a broadcast.
+    containment is checked. Items too short for a piece are sought by automata, in blocks.
     """
     from lexmill.functions.text import pieces
 
@@ -254,7 +254,7 @@ def j4(s, d):
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(pieces("t"), lambda x: F.xxhash64(x)))).alias("k"))
     candidates = keyed.join(items.where("long").select("k", "item_id", "text"), "k").drop("k")
     hits = docs.join(candidates, "doc_id").where("contains(t, text)").select("item_id", "doc_id")
-    short = docs.join(items.where("not long").select("item_id", "text"), F.expr("contains(t, text)")).select("item_id", "doc_id")
+    short = many.containing(docs.select(F.col("doc_id").alias("id"), F.col("t").alias("text")), items.where("not long")).select("item_id", F.col("id").alias("doc_id"))
     return hits.unionByName(short).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 

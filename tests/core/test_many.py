@@ -110,3 +110,14 @@ def test_shown_and_assembled(data):
         for n, key in enumerate(first, 1):
             own = [r for r in rows if r[6] == key][:3]
             assert out[query, n].context == "\n\n".join(f"[FACTS]\n{r[2]}" for r in own) and out[query, n].doc_key == key
+
+
+@pytest.mark.parametrize("block", [1 << 22, 4])
+def test_containing(spark, monkeypatch, block):
+    monkeypatch.setattr(many, "BLOCK", block)
+    texts = [(1, "abcabc"), (2, "bc\nx"), (3, ""), (4, None), (None, "cab")]
+    items = [("a", "abc"), ("b", "bc"), ("b2", "bc"), ("e", ""), ("n", None), ("z", "zz")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    got = {(r.item_id, r.id) for r in many.containing(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {(i, d) for i, w in items for d, t in texts if w is not None and t is not None and w in t}
+    assert many.containing(docs, docs.limit(0).withColumnRenamed("id", "item_id")).count() == 0
