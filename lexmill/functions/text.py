@@ -458,3 +458,26 @@ def consistency_label(verdict: C, sure: C) -> Column:
     """The lamp and words for a verdict and its confidence; unknown ones count as mixed and medium."""
     pick = lambda table, c, default: F.coalesce(*(F.when(col(c) == k, F.lit(v)) for k, v in table.items()), F.lit(table[default]))
     return F.concat(pick(vocab.VERDICTS, verdict, "MIXED"), F.lit(" ("), pick(vocab.CONFIDENCES, sure, "medium"), F.lit(")"))
+
+
+def cantonal_sections(c: C) -> Column:
+    """struct of facts, reasoning, decision. One header for facts and law makes all of it reasoning; without one for
+    facts they are what stands before the law; without any the text up to the decision is reasoning."""
+    c = col(c)
+    f, r, both, d = (header_place(c, [vocab.CANTONAL_HEADERS[k]]) for k in ("facts", "reasoning", "both", "decision"))
+    end = F.coalesce(d, F.length(c))
+    cut = lambda a, b: strip(F.substring(c, a + 1, F.greatest(b - a, F.lit(0))))
+    start = F.coalesce(both, r, F.lit(0))
+    facts = F.when(both.isNotNull() | r.isNull(), "").otherwise(cut(F.coalesce(f, F.lit(0)), r))
+    return F.struct(facts.alias("facts"), cut(start, end).alias("reasoning"), F.when(d.isNotNull(), cut(end, F.length(c))).otherwise("").alias("decision"))
+
+
+def cantonal_court(c: C) -> Column:
+    """F28, cantonal: by the file name."""
+    return first_key(c, vocab.CANTONAL_COURTS, "CH_TI")
+
+
+def cantonal_lower_court(c: C) -> Column:
+    """F24, cantonal: the first of the phrases' names with 6 to 199 characters."""
+    names = [strip(found(c, rf"(?iu)(?:{p})(.+?)(?:\.|,|\n)")) for p in vocab.CANTONAL_APPEALS]
+    return F.coalesce(*(F.when(F.length(n).between(6, 199), n) for n in names))

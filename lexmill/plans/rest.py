@@ -99,6 +99,14 @@ def v2_decisions(s, d):
     return got.select("id", "date", "year", "language", "court", "outcome", F.size("metadata.citations.cases").alias("cases"), F.size("metadata.citations.laws").alias("laws"), F.length("content.reasoning").alias("reasoning"))
 
 
+@query("f27_cantonal_decisions")
+def f27(s, d):
+    """Every document by the cantonal rules."""
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("TI_TRAC_"), F.col("doc_id").cast("string")).alias("file_name"), "text")
+    got = parsers.parse(rows, "cantonal decision")
+    return got.select("id", "date", "court", "outcome", *(F.length(f"content.{k}").alias(k) for k in ("facts", "reasoning", "decision")))
+
+
 @query("m5_parse_status", "SELECT source, CASE WHEN coalesce(length(trim(text)), 0) = 0 THEN 'error' WHEN length(trim(text)) < 50 THEN 'skipped' ELSE 'success' END AS status, count(*) AS n FROM documents GROUP BY ALL")
 def m5(s, d):
     return parsers.attempted(table(s, d, "documents"), 50).groupBy("source", "status").agg(F.count("*").alias("n"))

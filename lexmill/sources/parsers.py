@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions import text
+from lexmill.functions import text, vocab
 from lexmill.operators import articles
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -31,20 +31,33 @@ def parse(rows: DataFrame, name: str) -> DataFrame:
     return PARSERS[name](rows)
 
 
+def head(rows: DataFrame) -> DataFrame:
+    """(id, file_name, text, language, date); null text is empty."""
+    body = F.coalesce("text", F.lit(""))
+    return rows.select("id", "file_name", body.alias("text"), text.document_language(body).alias("language"), text.date_of(body).alias("date"))
+
+
+def metadata(lower_court):
+    cited = F.struct(text.case_citations("text").alias("cases"), text.legal_citations("text", vocab.CODES).alias("laws"))
+    return F.struct(text.judges("text").alias("judges"), cited.alias("citations"), lower_court.alias("lower_court")).alias("metadata")
+
+
 @parser("decision")
-def decision(rows: DataFrame, codes: tuple[str, ...] = ("OR", "ZGB", "StGB", "StPO", "ZPO", "BV", "CO", "CC", "CP", "LAA")) -> DataFrame:
+def decision(rows: DataFrame) -> DataFrame:
     """D1 from plain text: language, date, outcome, courts, citations and sections. Null text parses as empty."""
-    body = F.coalesce("text", F.lit(""))
-    rows = rows.select("id", "file_name", body.alias("text"), text.document_language(body).alias("language"), text.date_of(body).alias("date"))
-    return rows.select(
-        "id", "file_name", "date", F.substring("date", 1, 4).try_cast("int").alias("year"), "language", text.court("file_name").alias("court"), text.outcome("text").alias("outcome"),
-        F.struct(
-            text.judges("text").alias("judges"),
-            F.struct(text.case_citations("text").alias("cases"), text.legal_citations("text", list(codes)).alias("laws")).alias("citations"),
-            text.lower_court("text").alias("lower_court"),
-        ).alias("metadata"),
-        text.sections("text", "language").alias("content"),
-    )
+    year = F.substring("date", 1, 4).try_cast("int").alias("year")
+    return head(rows).select("id", "file_name", "date", year, "language", text.court("file_name").alias("court"), text.outcome("text").alias("outcome"), metadata(text.lower_court("text")), text.sections("text", "language").alias("content"))
+
+
+@parser("cantonal decision")
+def cantonal(rows: DataFrame) -> DataFrame:
+    """As decision(), by the headers, courts and phrases of cantonal judgments; their language is Italian."""
+    year = F.substring("date", 1, 4).try_cast("int").alias("year")
+    rows = head(rows).withColumn("_s", text.cantonal_sections("text"))
+    part = lambda c, name: F.nullif(text.join_lines(c), F.lit("")).alias(name)
+    content = F.struct(part(text.regeste("text"), "regeste"), *(part(F.col(f"_s.{k}"), k) for k in ("facts", "reasoning", "decision")))
+    lower = F.coalesce(text.lower_court("text"), text.cantonal_lower_court("text"))
+    return rows.select("id", "file_name", "date", year, F.lit("it").alias("language"), text.cantonal_court("file_name").alias("court"), text.outcome("text").alias("outcome"), metadata(lower), content.alias("content"))
 
 
 @parser("law")

@@ -41,3 +41,22 @@ def test_upkeep(spark, tmp_path):
     cells = spark.createDataFrame([("d", "b", "true"), ("d", "a", None), ("d", "c", "z"), ("d", "unknown", "1")], "doc string, field string, value string")
     fields = spark.createDataFrame([("a", "A", 1, "string"), ("b", "B", 2, "boolean"), ("c", "C", 0, "string")], "name string, display_name string, position int, kind string")
     assert review.context(cells, fields).first().context == "- **C**: z\n- **B**: Yes"
+
+
+CANTONAL = [
+    ("Testa\nFatti:\nuno\nDiritto:\ndue\nPer questi motivi\ntre", ("Fatti:\nuno", "Diritto:\ndue", "Per questi motivi\ntre")),
+    ("Testa\nIn fatto e in diritto\ndue\nDispositivo\ntre", ("", "In fatto e in diritto\ndue", "Dispositivo\ntre")),
+    ("uno\nConsiderato\ndue", ("uno", "Considerato\ndue", "")),
+    ("solo testo\ndecide:\ntre", ("", "solo testo", "decide:\ntre")),
+    ("", ("", "", "")),
+]
+
+
+def test_cantonal_sections(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CANTONAL)], "k int, t string")
+    got = {r.k: tuple(r.s) for r in rows.select("k", text.cantonal_sections("t").alias("s")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(CANTONAL)}
+    one_ = spark.createDataFrame([("a", "TI_TRAC_1", CANTONAL[0][0] + "\nricorso contro la decisione di Lugano, ecc."), ("b", "TI_X", None)], "id string, file_name string, text string")
+    out = {r.id: r for r in parsers.parse(one_, "cantonal decision").collect()}
+    assert (out["a"].court, out["a"].language, out["a"].content.facts, out["a"].metadata.lower_court) == ("CH_TI_TRAC", "it", "Fatti: uno", "Lugano")
+    assert out["b"].court == "CH_TI" and out["b"].content.reasoning is None
