@@ -268,40 +268,91 @@ def candidates(nodes: DataFrame, bucket: int) -> DataFrame:
     return buckets.mapInPandas(run, "a long, b long").unionByName(met.where((F.col("n") > bucket) & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b")))
 
 
+class Shingled:
+    """Texts as sets of shingles; near(k) tells which of them are near copies of text k by all their shingles."""
+
+    def __init__(self, texts: list[str | None]):
+        sets = [shingle_hashes(t) for t in texts]
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(sets)), self.size)
+        self.vocab, self.place = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        self.first = np.cumsum(self.size) - self.size
+
+    def near(self, k: int) -> np.ndarray:
+        own = np.zeros(len(self.vocab), dtype=bool)
+        own[self.place[self.first[k] : self.first[k] + self.size[k]]] = True
+        both = np.bincount(self.owner[own[self.place]], minlength=len(self.size))
+        return both * LIKE[1] >= (self.size + self.size[k] - both) * LIKE[0]
+
+
 def exact_links(ids: np.ndarray, texts: list[str | None]) -> list[tuple[int, int]]:
-    """The components of the pairs that are near copies by all their shingles, as stars (least id, id)."""
-    sets = [shingle_hashes(t) for t in texts]
-    size = np.array([len(x) for x in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    vocab, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
-    first = np.cumsum(size) - size
+    """The components of the pairs that are near copies, as stars (least id, id)."""
+    return centred(spanning(Shingled(texts).near, len(ids)), ids)
 
-    def near(k: int) -> np.ndarray:
-        own = np.zeros(len(vocab), dtype=bool)
-        own[place[first[k] : first[k] + size[k]]] = True
-        both = np.bincount(owner[own[place]], minlength=len(sets))
-        return both * LIKE[1] >= (size + size[k] - both) * LIKE[0]
 
-    return centred(spanning(near, len(sets)), ids)
+def joining_links(ids: np.ndarray, texts: list[str | None], asked: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) of asked texts to others that join what has different labels; one for each two labels that meet."""
+    shingled, out = Shingled(texts), []
+    label = np.unique(labels, return_inverse=True)[1]
+    for k in np.flatnonzero(asked):
+        near = np.flatnonzero(shingled.near(k))
+        for old in np.unique(label[near]):
+            if old != label[k]:
+                out.append((int(ids[k]), int(ids[near[label[near] == old][0]])))
+                label[label == old] = label[k]
+    return out
 
 
 def verified(docs: DataFrame, groups: DataFrame, block_words: int) -> DataFrame:
-    """Links (a, b) of the true near copies within candidate groups (node, root, id, words).
+    """Links (a, b) that connect the true near copies within candidate groups (node, root, id, words).
 
-    docs: (node, id, text). A group of over block_words shingles is dealt into blocks, and each two of them are
-    compared in a task of their own, so no pair is left out and no task holds a whole group.
+    docs: (node, id, text). A group of over block_words shingles is dealt into blocks. First each block is compared
+    in itself and with the root's text; then what is not connected to the root, by blocks, with every block. So no
+    pair of texts that are not connected yet is left out, no task holds a whole group, and a group of copies of one
+    text costs work in proportion to its size.
     """
-    sizes = groups.groupBy("root").agg(F.ceil(F.sum("words") / block_words).alias("blocks"))
-    placed = groups.join(sizes, "root").select("node", "id", "root", "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("own"))
-    d, g = docs.withColumnsRenamed({"node": "_node", "id": "_id"}), placed
-    texts = d.join(g, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).select("node", "root", "blocks", "own", "text").dropDuplicates(["node"])
-    others = F.filter(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)).cast("int") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") <= 1))
-    pairs = texts.select("node", "root", "own", "text", F.explode(others).alias("x")).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "node", "text")
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.sum("words") / block_words), F.lit(1)).cast("int").alias("blocks"))
+    placed = materialize(groups.join(sizes, "root").select("node", "id", "root", "words", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own")))
+
+    def texts(of: DataFrame) -> DataFrame:
+        """of with the text of each of its nodes (which have an id each)."""
+        d = docs.withColumnsRenamed({"node": "_node", "id": "_id"})
+        return d.join(of, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["node"]).drop("_node", "_id")
+
+    def spread(rows: DataFrame, column: str, over: str) -> DataFrame:
+        """Each row for every number under `over`."""
+        return rows.withColumn(column, F.explode(F.sequence(F.lit(0), F.col(over) - 1)))
+
+    own = texts(placed).select("root", "own", "node", "text")
+    roots = spread(texts(placed.where((F.col("node") == F.col("root")) & (F.col("blocks") > 1))), "block", "blocks").where("block != own")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(exact_links(part["node"].to_numpy(), part["text"].tolist()), columns=["a", "b"], dtype=np.int64)
 
-    return pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+    first = own.unionByName(roots.select("root", F.col("block").alias("own"), "node", "text")).groupBy("root", "own").applyInPandas(compare, "a long, b long")
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return first
+    first = materialize(first)
+    of = components(first)
+    label = large.join(of.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = materialize(label.join(label.where(F.col("node") == F.col("root")).select("root", F.col("label").alias("main")), "root"))
+    apart = label.where(F.col("label") != F.col("main"))
+    if apart.isEmpty():
+        return first
+    parts = apart.groupBy("root").agg(F.greatest(F.ceil(F.sum("words") / block_words), F.lit(1)).cast("int").alias("parts"))
+    label = label.join(parts, "root")
+    asked = spread(texts(label.where(F.col("label") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))), "block", "blocks")
+    others = spread(texts(label), "part", "parts").withColumn("block", F.col("own"))
+    fields = ["root", "block", "part", "node", "label", "text"]
+    both = asked.select(*fields, F.lit(True).alias("asked")).unionByName(others.select(*fields, F.lit(False).alias("asked")))
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("asked", ascending=False, kind="stable").drop_duplicates("node")
+        found = joining_links(part["node"].to_numpy(), part["text"].tolist(), part["asked"].to_numpy(), part["label"].to_numpy())
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return first.unionByName(both.groupBy("root", "block", "part").applyInPandas(join, "a long, b long"))
 
 
 def text_hash(text="text"):

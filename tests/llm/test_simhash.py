@@ -3,6 +3,8 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from lexmill.llm import simhash as sh
 
 
@@ -139,3 +141,42 @@ def test_minhash_and_exact_check():
         assert bool(sh.exact_links(np.array([1, 2]), [a, b])) == (like >= 0.8)
         x, y = (np.frombuffer(sh.minhash(sh.shingle_hashes(t)), np.uint8) for t in (a, b))
         assert abs((x == y).mean() - like) < 0.15
+
+
+def test_chains_over_blocks(spark):
+    """Groups of many blocks in which most texts are near the root only by way of others."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(4000)]
+    texts = []
+    for _ in range(3):
+        w = rng.choices(vocab, k=120)
+        for step in range(25):
+            texts.append(" ".join(w))
+            for p in rng.sample(range(120), 2 if step != 12 else 40):  # the chain is cut in the middle
+                w[p] = rng.choice(vocab)
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) >= 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = df.select(sh.text_hash().alias("node"), F.col("doc_id").alias("id"), "text")
+    one = nodes.agg(F.min("node")).first()[0]
+    group = nodes.select("node", F.lit(one).alias("root"), "id", F.lit(116).alias("words"))  # all in one candidate group
+    for block_words in (10**6, 1200, 300):
+        links = sh.verified(nodes, group, block_words)
+        of = {r.node: r.root for r in sh.components(links).collect()}
+        node = {r.id: r.node for r in nodes.collect()}
+        same = {}
+        for i in want:
+            same.setdefault(of.get(node[i], node[i]), set()).add(i)
+        assert sorted(map(min, same.values())) == sorted(set(want.values())) and all(want[i] == min(s) for s in same.values() for i in s)
