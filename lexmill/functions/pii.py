@@ -12,7 +12,7 @@ KEPT = {"DATE_TIME"}
 
 
 def patterns(types: list[str] | None = None, least: float = 0.7, more: tuple[tuple[str, str, float], ...] = ()) -> list[tuple[str, str, float]]:
-    """V3: the recognisers (entity type, pattern, score) in use; more: the caller's own."""
+    """The recognisers (entity type, pattern, score) in use; more: the caller's own, such as an NER's lists."""
     return [p for p in (*vocab.PII, *more) if (types is None or p[0] in types) and p[2] >= least]
 
 

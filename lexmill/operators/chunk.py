@@ -13,7 +13,7 @@ def n_words(c: Column) -> Column:
 
 
 def pack(paragraphs: Column, most: int, least: int, glue: str = "\n\n") -> Column:
-    """Greedy packing of paragraphs into chunks of at most `most` words; a last chunk under `least` joins its predecessor.
+    """Greedy packing of paragraphs into chunks of at most `most` words; a last chunk under `least` joins its predecessor.
 
     A single paragraph that is too long stays whole. Only places are folded; texts are joined once.
     """

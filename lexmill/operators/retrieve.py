@@ -234,7 +234,7 @@ def correct_names(rows: DataFrame, dim: DataFrame, language: str = "de") -> Data
 
 
 def lane(points: DataFrame, posts: DataFrame, query: list[float], tokens: dict[str, float], question: str, now_year: int, kind: str = "library", top_k: int = 10, filters: dict | None = None, canton: str | None = None, active: DataFrame | None = None) -> DataFrame:
-    """Hybrid candidates, boost (statutes), MMR by metadata, reranking, best row of each document, active laws."""
+    """R7, R8 (laws), R9 (ordinances): hybrid candidates, boost (statutes), MMR by metadata, reranking, best row of each document, active laws."""
     rows = hybrid(points, posts, query, tokens, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
     return refined(rows, question, now_year, kind, top_k, canton, active)
 

@@ -51,7 +51,7 @@ def t12(s, d):
     return rows.groupBy("file").agg(F.count("*").alias("n")).orderBy("file")
 
 
-@query("u2_r13_multilingual", f"SELECT query_id, id, rank FROM {best(15)}")
+@query("r13_multilingual", f"SELECT query_id, id, rank FROM {best(15)}")
 def r13(s, d):
     """A multilingual question uses the dense arm alone."""
     return many.dense(points(s, d), asked(s, d), 15).select("query_id", "id", "rank")

@@ -181,6 +181,7 @@ DOSSIERS = f"SELECT * FROM {best(250, "AND p.canton = 'TI'")} UNION ALL SELECT *
 
 @query("r10_dossier_search", f"SELECT query_id, id, CASE canton WHEN 'TI' THEN 'user' ELSE 'firm' END AS scope, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({DOSSIERS}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 500")
 def r10(s, d):
+    """The user's and the firm's results in one list."""
     p, q = points(s, d), asked(s, d)
     one = lambda canton, scope: many.dense(p, q, 250, {"canton": canton}).withColumn("scope", F.lit(scope))
     both = one("TI", "user").unionByName(one("ZH", "firm"))

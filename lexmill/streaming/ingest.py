@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, files: int = 500) -> None:
-    """ST1-ST3: Parquet files not seen yet, in micro-batches, to a Parquet sink; resumes at the checkpoint."""
+    """ST1, ST2, ST3: Parquet files not seen yet, in micro-batches, to a Parquet sink; resumes at the checkpoint."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
