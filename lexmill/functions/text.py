@@ -481,3 +481,17 @@ def cantonal_lower_court(c: C) -> Column:
     """F24, cantonal: the first of the phrases' names with 6 to 199 characters."""
     names = [strip(found(c, rf"(?iu)(?:{p})(.+?)(?:\.|,|\n)")) for p in vocab.CANTONAL_APPEALS]
     return F.coalesce(*(F.when(F.length(n).between(6, 199), n) for n in names))
+
+
+def presentation_id(c: C) -> Column:
+    """An id without its chunk, official decisions as BGE-a-B-c, others in upper case with single hyphens."""
+    bare = F.substring_index(col(c), "_chunk_", 1)
+    bare = F.regexp_extract(bare, r"(?is)^(.*?)(?:\s+chunk\s+\d+.*)?$", 1)
+    official = r"(?i)BGE[-\s]*(\d+)[-\s]*([IVX]+)[-\s]*(\d+)"
+    cited = F.concat(F.lit("BGE-"), F.regexp_extract(bare, official, 1), F.lit("-"), F.upper(F.regexp_extract(bare, official, 2)), F.lit("-"), F.regexp_extract(bare, official, 3))
+    return F.when(bare.rlike(official), cited).otherwise(F.regexp_replace(strip(F.upper(bare)), r"[\s_-]+", "-"))
+
+
+def presentation_text(c: C) -> Column:
+    """The first 150 characters with single blanks; empty for none."""
+    return squeeze(F.substring(F.coalesce(col(c), F.lit("")), 1, 150))

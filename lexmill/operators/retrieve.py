@@ -99,7 +99,7 @@ def dedupe(rows: DataFrame, key: str, k: int, by: str | None = None) -> DataFram
 
 
 def shown(rows: DataFrame, key: str, words: str, most: int = 15, by: str | None = None) -> DataFrame:
-    """Rows in order unless their key or their text key was shown before, at most `most`, ranked anew.
+    """Rows in order unless their key or their text key (if not empty) was shown before, at most `most`, ranked anew.
 
     The rule depends on what was accepted, so it runs over one query's candidates, which the top-k bounds.
     """
@@ -114,7 +114,8 @@ def shown(rows: DataFrame, key: str, words: str, most: int = 15, by: str | None
                 break
             if k not in keys and t not in texts:
                 keys.add(k)
-                texts.add(t)
+                if t:
+                    texts.add(t)
                 kept.append(place)
         own = own.iloc[kept].copy()
         own["rank"] = np.arange(1, len(own) + 1)

@@ -103,9 +103,10 @@ def w4(s, d):
 
 @query("w15_presentation_rank")
 def w15(s, d):
-    """Both keys of each query's candidates: the document's, and the first 150 characters of its text."""
-    rows = retrieve.dense_many(points(s, d), asked(s, d), 200).withColumn("words", F.lower(F.substring(text.squeeze("text"), 1, 150)))
-    return retrieve.shown(rows.select("query_id", "id", "rank", "doc_key", "words"), "doc_key", "words", 15, "query_id").select("query_id", "id", "rank")
+    """Each query's candidates with valid ids, by their documents and the first 150 characters of their texts."""
+    rows = retrieve.dense_many(points(s, d), asked(s, d), 200).withColumn("decision", F.concat(F.lit("ch_bger "), "doc_key", F.lit("_chunk_"), F.col("id").cast("string")))
+    rows = rows.where(text.display_id_ok("decision")).select("query_id", "id", "rank", text.presentation_id("decision").alias("key"), text.presentation_text("text").alias("words"))
+    return retrieve.shown(rows, "key", "words", 15, "query_id").select("query_id", "id", "rank")
 
 
 @query("f65_t2_context_boost", f"WITH b AS (SELECT query_id, id, CASE WHEN canton = 'TI' THEN score * 3.5 ELSE score END AS score, rank FROM {best(100)}) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, round(score, 6) AS score FROM b")

@@ -60,3 +60,11 @@ def test_cantonal_sections(spark):
     out = {r.id: r for r in parsers.parse(one_, "cantonal decision").collect()}
     assert (out["a"].court, out["a"].language, out["a"].content.facts, out["a"].metadata.lower_court) == ("CH_TI_TRAC", "it", "Fatti: uno", "Lugano")
     assert out["b"].court == "CH_TI" and out["b"].content.reasoning is None
+
+
+def test_presentation(spark):
+    ids = {"BGE 140 iii 348_chunk_2": "BGE-140-III-348", "bge-102-Ia-35": "BGE-102-IA-35", " ch_ti  a--1 Chunk 7": "CH-TI-A-1", "5A-190-2013": "5A-190-2013"}
+    rows = spark.createDataFrame([(k,) for k in ids], "i string")
+    assert {r.i: r.x for r in rows.select("i", text.presentation_id("i").alias("x")).collect()} == ids
+    assert one(spark, text.presentation_text(F.lit(" a \n b" + "c" * 200))) == "a b" + "c" * 144
+    assert one(spark, text.presentation_text(F.lit(None).cast("string"))) == ""
