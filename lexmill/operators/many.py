@@ -13,7 +13,7 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.filters import compile_filter
@@ -127,34 +127,45 @@ def dense(points: DataFrame, queries: DataFrame, k: int = 50, filters: dict | No
     return ranked([one(b) for b in blocks(asked, asked.agg(F.sum(F.size("query_dense"))))], k)
 
 
-def sparse(posts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """J12 for many queries: (query_id, id, score, rank) by the sum of products of (id, token, weight) and (query_id, token, weight).
+def vectors(posts: DataFrame) -> DataFrame:
+    """(id, t, w): the tokens' 64-bit hashes and the weights of each row of postings (id, token, weight), gathered by an exchange."""
+    pair = F.struct(F.xxhash64("token").alias("t"), F.col("weight").cast("double").alias("w"))
+    return posts.groupBy("id").agg(F.collect_list(pair).alias("x")).select("id", F.col("x.t").alias("t"), F.col("x.w").alias("w"))
+
+
+def word_vectors(docs: DataFrame, words: Column) -> DataFrame:
+    """(id, t, w) of texts' words where they lie: each occurrence stands for itself with weight 1 (a null w), so nothing is exchanged."""
+    return docs.select("id", F.transform(words, lambda x: F.xxhash64(x)).alias("t"), F.lit(None).cast("array<double>").alias("w"))
+
 
-    Only rows that share a token are candidates. Tokens are compared by 64-bit hashes; each row's are gathered first.
+def sparse(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """J12 for many queries: (query_id, id, score, rank) by the sum of products of vectors (id, t, w) and (query_id, token, weight).
+
+    Only rows that share a token are candidates. A token may come more than once in a vector; its weights add up.
     """
-    pair = F.struct(F.xxhash64("token").alias("t"), F.col("weight").cast("double").alias("w"))
-    rows = posts.groupBy("id").agg(F.collect_list(pair).alias("x")).select("id", F.col("x.t").alias("t"), F.col("x.w").alias("w"))
     tokens = asked.select("query_id", F.xxhash64("token").alias("t"), F.col("weight").cast("double").alias("w"))
     kind = asked.schema["query_id"].dataType.simpleString()
 
     def one(block: DataFrame) -> DataFrame:
-        got = block.toPandas()  # about BLOCK tokens
-        ids = sorted(set(got["query_id"].tolist()), key=lambda x: (x is None, x))
+        got = block.collect()  # about BLOCK tokens
+        ids = sorted({r.query_id for r in got}, key=lambda x: (x is None, x))
         place = {x: n for n, x in enumerate(ids)}
-        token = got["t"].to_numpy(dtype=np.int64)
+        token = np.array([r.t for r in got], dtype=np.int64)
         order = np.argsort(token, kind="stable")
-        query = np.array([place[x] for x in got["query_id"].tolist()], dtype=np.int64)[order]
-        shared = posts.sparkSession.sparkContext.broadcast((token[order], query, got["w"].to_numpy(dtype=np.float64)[order]))
+        query = np.array([place[r.query_id] for r in got], dtype=np.int64)[order]
+        shared = rows.sparkSession.sparkContext.broadcast((token[order], query, np.array([r.w for r in got], dtype=np.float64)[order]))
 
         def score(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
             token, query, weight = shared.value
-            size = batch["t"].map(len).to_numpy(dtype=np.int64)
+            known = np.unique(token)
+            tokens_of = [np.zeros(0, np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in batch["t"]]  # a null text has none
+            size = np.array([len(x) for x in tokens_of], dtype=np.int64)
             step = max(1, TILE // max(1, len(ids)))
             for at in range(0, len(batch), step):
                 n = size[at : at + step]
-                own = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in batch["t"].iloc[at : at + step])])
-                mine = np.concatenate([np.zeros(0), *(np.asarray(x, dtype=np.float64) for x in batch["w"].iloc[at : at + step])])
-                row = np.repeat(np.arange(len(n)), n)
+                own = np.concatenate([np.zeros(0, np.int64), *tokens_of[at : at + step]])
+                mine = np.concatenate([np.zeros(0), *(np.ones(m) if x is None else np.asarray(x, dtype=np.float64) for x, m in zip(batch["w"].iloc[at : at + step], n, strict=True))])
+                own, row, mine = summed(own, np.repeat(np.arange(len(n)), n), mine, known)
                 first, end = np.searchsorted(token, own, side="left"), np.searchsorted(token, own, side="right")
                 met = np.concatenate([[0], np.cumsum(end - first)])
                 total, shares = np.zeros(len(ids) * len(n)), np.zeros(len(ids) * len(n), dtype=bool)
@@ -174,6 +185,17 @@ def sparse(posts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return ranked([one(b) for b in blocks(tokens, tokens.agg(F.count("*")))], k)
 
 
+def summed(token: np.ndarray, row: np.ndarray, weight: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known tokens by token and row, the weights of equal ones added up."""
+    at = np.searchsorted(known, token)
+    there = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == token) if len(known) else np.zeros(0, np.int64)
+    key = at[there] * (int(row.max(initial=0)) + 1) + row[there]
+    keys, back = np.unique(key, return_inverse=True)
+    first = np.zeros(len(keys), dtype=np.int64)
+    first[back] = there
+    return token[first], row[first], np.bincount(back, weight[there], len(keys))
+
+
 def fuse(lists: list[DataFrame], k: int, score) -> DataFrame:
     """J14 for many queries: (query_id, id, score, rank) of ranked lists; score: a rank's share."""
     rows = reduce(DataFrame.unionByName, [x.select("query_id", "id", score(F.col("rank")).alias("share")) for x in lists])

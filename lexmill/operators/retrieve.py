@@ -72,10 +72,15 @@ def dense_many(points: DataFrame, queries: DataFrame, k: int = 50, filters: dict
     return payload(points, many.dense(points, queries, k, filters, threshold), queries)
 
 
-def hybrid_many(points: DataFrame, posts: DataFrame, queries: DataFrame, asked: DataFrame, k: int, filters: dict | None = None) -> DataFrame:
-    """R2/T1 for each of queries; asked: their (query_id, token, weight)."""
+def word_vectors(docs: DataFrame, body: str = "text") -> DataFrame:
+    """postings() as vectors for `many.sparse`, without an exchange."""
+    return many.word_vectors(docs, F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def hybrid_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, k: int, filters: dict | None = None) -> DataFrame:
+    """R2/T1 for each of queries; vectors: the points' (id, t, w), asked: the queries' (query_id, token, weight)."""
     kept = points.where(compile_filter(filters))
-    arm = posts if not filters else posts.join(kept.select("id"), "id", "left_semi")
+    arm = vectors if not filters else vectors.join(kept.select("id"), "id", "left_semi")
     fused = many.fuse([many.dense(kept, queries, 2 * k), many.sparse(arm, asked, 2 * k)], k, vector.rrf)
     return payload(kept, fused, queries)
 
@@ -240,9 +245,9 @@ def lane(points: DataFrame, posts: DataFrame, query: list[float], tokens: dict[s
     return refined(rows, question, now_year, kind, top_k, canton, active)
 
 
-def lane_many(points: DataFrame, posts: DataFrame, queries: DataFrame, asked: DataFrame, now_year: int, kind: str = "library", top_k: int = 10, filters: dict | None = None, canton: str | None = None, active: DataFrame | None = None) -> DataFrame:
+def lane_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, now_year: int, kind: str = "library", top_k: int = 10, filters: dict | None = None, canton: str | None = None, active: DataFrame | None = None) -> DataFrame:
     """R7-R9 for each of queries (query_id, query_dense, query_text); asked: their (query_id, token, weight)."""
-    rows = hybrid_many(points, posts, queries, asked, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
+    rows = hybrid_many(points, vectors, queries, asked, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
     return refined(rows.drop("query_dense"), F.col("query_text"), now_year, kind, top_k, canton, active, "query_id")
 
 

@@ -22,3 +22,22 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Below this size a core, a table is dealt over all cores: a small file is read by one task, however long its rows take.
+CORE_BYTES = 8 << 20
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan's rows over all cores if the table is small for them; larger tables have a split for each core and stay where they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, key) if size < cores * CORE_BYTES else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")

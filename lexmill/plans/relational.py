@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
 from lexmill.operators import filters, many, tables
-from lexmill.plans.registry import query, table
+from lexmill.plans.registry import documents, query, table
 
 AS_OF = "1998-03-15"
 
@@ -248,7 +248,7 @@ def j4(s, d):
     """
     from lexmill.functions.text import pieces
 
-    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
+    docs = documents(s, d).select("doc_id", F.col("text").alias("t"))
     items = table(s, d, "benchmark").select("item_id", "text", F.xxhash64(F.get(pieces("text", inner=True), 0)).alias("k"), (F.size(pieces("text", inner=True)) > 0).alias("long"))
     # keys travel without texts; only candidates fetch theirs
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(pieces("t"), lambda x: F.xxhash64(x)))).alias("k"))

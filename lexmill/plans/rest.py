@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import pii, text, vocab
 from lexmill.operators import filters, many, retrieve, review, tables
-from lexmill.plans.registry import query, table
+from lexmill.plans.registry import documents, query, table
 from lexmill.plans.retrieval import asked, best, points
 from lexmill.sources import parsers, readers
 from lexmill.sources.shared import shared_dir
@@ -63,12 +63,12 @@ SEEN = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS t FROM documents WHERE regex
 @query("u6_entity_difference", f"SELECT doc_id, coalesce(list_sort(list(t) FILTER (t <> 'CREDIT_CARD')), []) AS types FROM ({SEEN}) GROUP BY doc_id UNION ALL SELECT doc_id, CASE WHEN text IS NOT NULL THEN [] END FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({SEEN}))")
 def u6(s, d):
     types = ["EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV"]
-    return table(s, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), pii.kept_types(F.col("text"), ["CREDIT_CARD"], types)).alias("types"))
+    return documents(s, d).select("doc_id", F.when(F.col("text").isNotNull(), pii.kept_types(F.col("text"), ["CREDIT_CARD"], types)).alias("types"))
 
 
 @query("v3_own_recogniser", r"SELECT doc_id, 'CASE_NUMBER' AS entity_type, unnest(regexp_extract_all(text, '\b[A-Z]{2,4}-\d{3,}\b')) AS text FROM documents")
 def v3(s, d):
-    return pii.detect(table(s, d, "documents"), "doc_id", "text", ["CASE_NUMBER"], more=(("CASE_NUMBER", r"\b[A-Z]{2,4}-\d{3,}\b", 0.9),)).select("doc_id", "entity_type", "text")
+    return pii.detect(documents(s, d), "doc_id", "text", ["CASE_NUMBER"], more=(("CASE_NUMBER", r"\b[A-Z]{2,4}-\d{3,}\b", 0.9),)).select("doc_id", "entity_type", "text")
 
 
 @query("v6_counted_write", "SELECT count(*) AS rows, count(*) FILTER (text IS NULL) AS empty, CAST(coalesce(max(length(text)), 0) AS BIGINT) AS longest FROM documents")
@@ -94,7 +94,7 @@ def v2(s, d):
 @query("v2_parse_decisions")
 def v2_decisions(s, d):
     """Every document as a decision of the common schema."""
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("CH_"), "source", F.lit("_"), F.col("doc_id").cast("string")).alias("file_name"), "text")
+    rows = documents(s, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("CH_"), "source", F.lit("_"), F.col("doc_id").cast("string")).alias("file_name"), "text")
     got = parsers.parse(rows, "decision")
     return got.select("id", "date", "year", "language", "court", "outcome", F.size("metadata.citations.cases").alias("cases"), F.size("metadata.citations.laws").alias("laws"), F.length("content.reasoning").alias("reasoning"))
 
@@ -102,7 +102,7 @@ def v2_decisions(s, d):
 @query("f27_cantonal_decisions")
 def f27(s, d):
     """Every document by the cantonal rules."""
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("TI_TRAC_"), F.col("doc_id").cast("string")).alias("file_name"), "text")
+    rows = documents(s, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("TI_TRAC_"), F.col("doc_id").cast("string")).alias("file_name"), "text")
     got = parsers.parse(rows, "cantonal decision")
     return got.select("id", "date", "court", "outcome", *(F.length(f"content.{k}").alias(k) for k in ("facts", "reasoning", "decision")))
 
@@ -267,7 +267,7 @@ def m16(s, d):
 
 @query("m18_x8_masked_for_logs", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{2}', '[REDACTED:SWISS_AHV]', 'g'), '{0}', '[REDACTED:EMAIL_ADDRESS]', 'g'), '{1}', '[REDACTED:CREDIT_CARD]', 'g') AS masked FROM documents".format(*(p for t in ("EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV") for p in [next(x[1] for x in vocab.PII if x[0] == t)])))
 def m18(s, d):
-    return table(s, d, "documents").select("doc_id", pii.scrub(F.col("text"), "[REDACTED:{entity_type}]", ["EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV"]).alias("masked"))
+    return documents(s, d).select("doc_id", pii.scrub(F.col("text"), "[REDACTED:{entity_type}]", ["EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV"]).alias("masked"))
 
 
 @query("s12_chunks_of_decision", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) <= 50")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
 from lexmill.operators import chunk, many, retrieve
-from lexmill.plans.registry import query, table
+from lexmill.plans.registry import documents, query, table
 
 NOW = 2026
 
@@ -62,7 +62,11 @@ SUMS = f"SELECT q.id AS query_id, p.id, sum(p.weight * q.weight) AS score FROM {
 
 
 def posts(s, d):
-    return retrieve.postings(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return retrieve.postings(documents(s, d).select(F.col("doc_id").alias("id"), "text"))
+
+
+def vectors(s, d):
+    return retrieve.word_vectors(documents(s, d).select(F.col("doc_id").alias("id"), "text"))
 
 
 def asked_tokens(s, d):
@@ -72,7 +76,7 @@ def asked_tokens(s, d):
 
 @query("j12_w1_sparse_topk", f"SELECT query_id, id, rank, round(score, 6) AS score FROM {best(20, rows=SUMS)}")
 def j12(s, d):
-    return shown(many.sparse(posts(s, d), asked_tokens(s, d), 20))
+    return shown(many.sparse(vectors(s, d), asked_tokens(s, d), 20))
 
 
 FUSED = f"""
@@ -85,7 +89,7 @@ SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 20 AND
 
 @query("r2_j14_hybrid_rrf", FUSED)
 def r2(s, d):
-    return shown(retrieve.hybrid_many(points(s, d), posts(s, d), asked(s, d), asked_tokens(s, d), 20))
+    return shown(retrieve.hybrid_many(points(s, d), vectors(s, d), asked(s, d), asked_tokens(s, d), 20))
 
 
 @query("w2_dedupe", f"WITH b AS (SELECT * FROM {best(200)} QUALIFY row_number() OVER (PARTITION BY query_id, doc_key ORDER BY rank) = 1) SELECT query_id, id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 30")
@@ -163,14 +167,14 @@ def f63(s, d):
 
 @query("r7_library_lane")
 def r7(s, d):
-    rows = retrieve.lane_many(points(s, d), posts(s, d), asked(s, d), asked_tokens(s, d), NOW, "library", 10, {"lang": ["de", "fr", "en"]})
+    rows = retrieve.lane_many(points(s, d), vectors(s, d), asked(s, d), asked_tokens(s, d), NOW, "library", 10, {"lang": ["de", "fr", "en"]})
     return rows.select("query_id", "id", "doc_key", "rank", F.round("final_score", 6).alias("final_score"))
 
 
 @query("r11_search")
 def r11(s, d):
     """The library lane, statutes and ordinances of each query in one ranked result with confidences."""
-    p, x, q, w = points(s, d), posts(s, d), asked(s, d), asked_tokens(s, d)
+    p, x, q, w = points(s, d), vectors(s, d), asked(s, d), asked_tokens(s, d)
     active = table(s, d, "labels").select(F.concat(F.lit("SR "), (F.col("doc_id") % 10).cast("string")).alias("sr_number"))
     place = s.range(1).select(text.query_canton(F.lit("licenza edilizia in Ticino")).alias("c")).first().c
     lanes = {k: retrieve.lane_many(p, x, q, w, NOW, k, 10, None, place, active) for k in ("library", "laws", "ordinances")}
@@ -192,7 +196,7 @@ def r10(s, d):
 @query("r14_add_document")
 def r14(s, d):
     """Chunks of documents with their hash ids and encoder input, as points to upsert."""
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(chunk.chunk_dossier(F.col("text"))).alias("chunk_index", "text"))
+    rows = documents(s, d).select("doc_id", F.posexplode(chunk.chunk_dossier(F.col("text"))).alias("chunk_index", "text"))
     key = F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string"))
     return rows.select(text.uuid5_url(key).alias("id"), key.alias("_original_id"), "doc_id", "chunk_index", F.length("text").alias("n_chars"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import pii, text, vocab
 from lexmill.operators import articles, chunk
-from lexmill.plans.registry import query, table
+from lexmill.plans.registry import documents, pages, query, table
 
 
 def sql(x: str) -> str:
@@ -31,17 +31,17 @@ LAST_BLANK = "(length({c}) - instr(reverse({c}), ' '))"
 
 @query("f5_preview_batch", f"WITH p AS (SELECT doc_id, {SQUEEZED} AS s FROM documents), q AS (SELECT *, left(s, 500) AS c FROM p) SELECT doc_id, CASE WHEN length(s) <= 500 THEN s WHEN contains(c, ' ') AND {LAST_BLANK.format(c='c')} > 250 THEN left(c, {LAST_BLANK.format(c='c')}) || '...' ELSE c || '...' END AS preview FROM q")
 def f5(s, d):
-    return table(s, d, "documents").select("doc_id", text.preview_batch("text").alias("preview"))
+    return documents(s, d).select("doc_id", text.preview_batch("text").alias("preview"))
 
 
 @query("f6_preview_decision", f"WITH q AS (SELECT doc_id, left({SQUEEZED}, 200) AS c FROM documents) SELECT doc_id, CASE WHEN length(c) < 200 THEN c WHEN contains(c, ' ') THEN left(c, {LAST_BLANK.format(c='c')}) || '...' ELSE c || '...' END AS preview FROM q")
 def f6(s, d):
-    return table(s, d, "documents").select("doc_id", text.preview_decision("text").alias("preview"))
+    return documents(s, d).select("doc_id", text.preview_decision("text").alias("preview"))
 
 
 @query("f7_preview_law", f"SELECT doc_id, left({SQUEEZED}, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS preview FROM documents")
 def f7(s, d):
-    return table(s, d, "documents").select("doc_id", text.preview_law("text").alias("preview"))
+    return documents(s, d).select("doc_id", text.preview_law("text").alias("preview"))
 
 
 IDS = ["BGE-102-IA-35_chunk_2", "BGer 001 1C-346-2008 2009-02-20 chunk 2", "  a  b ", "", "X_chunk_1_chunk_2", "Chunk 7", "é--–- --x"]
@@ -73,17 +73,17 @@ def count_of(words):
 @query("f4_query_context", f"SELECT doc_id, CASE WHEN it > fr AND it > de AND it >= 2 THEN 'it' WHEN fr > it AND fr > de AND fr >= 2 THEN 'fr' WHEN de > 0 THEN 'de' END AS language, {case({k: [k] for k in vocab.CANTONS}, 'lower(text)')} AS place FROM (SELECT *, {count_of(vocab.MARKERS['it'])} AS it, {count_of(vocab.MARKERS['fr'])} AS fr, {count_of(vocab.MARKERS['de'])} AS de FROM documents)")
 def f4(s, d):
     place = text.first_key(F.lower("text"), {k: [k] for k in vocab.CANTONS})
-    return table(s, d, "documents").select("doc_id", text.query_language("text").alias("language"), place.alias("place"))
+    return documents(s, d).select("doc_id", text.query_language("text").alias("language"), place.alias("place"))
 
 
 @query("f8_f9_clean_values")
 def f8(s, d):
-    return table(s, d, "documents").select("doc_id", text.clean_federal("text").alias("federal"), text.join_lines("text").alias("ticino"))
+    return documents(s, d).select("doc_id", text.clean_federal("text").alias("federal"), text.join_lines("text").alias("ticino"))
 
 
 @query("f10_clean_law", r"SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\d+\s*$', '', 'gm'), '(Art\.\s*\d{1,4}[a-z]?(?:bis|ter|quater|quinquies)?)(\d{3,})', '\1', 'g'), '  +', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), chr(10)) AS cleaned FROM documents")
 def f10(s, d):
-    return table(s, d, "documents").select("doc_id", text.clean_law("text").alias("cleaned"))
+    return documents(s, d).select("doc_id", text.clean_law("text").alias("cleaned"))
 
 
 @query("f11_f12_law_text")
@@ -99,7 +99,7 @@ def f13(s, d):
 
 @query("f14_domain", f"SELECT doc_id, {case(vocab.DOMAINS, 'lower(text)', sql('general'))} AS domain FROM documents")
 def f14(s, d):
-    return table(s, d, "documents").select("doc_id", text.domain("text").alias("domain"))
+    return documents(s, d).select("doc_id", text.domain("text").alias("domain"))
 
 
 @query("f15_hierarchy_path", "SELECT p_partkey, concat_ws(' > ', p_name, CASE WHEN p_size < 20 THEN p_type END, p_brand, 'Art. ' || p_size) AS path FROM part")
@@ -140,12 +140,12 @@ SELECT doc_id, list_sort(list_distinct(list_transform(official, lambda x: concat
 
 @query("f19_case_citations", F19_SQL)
 def f19(s, d):
-    return table(s, d, "documents").select("doc_id", text.case_citations("text").alias("cases"))
+    return documents(s, d).select("doc_id", text.case_citations("text").alias("cases"))
 
 
 @query("f21_outcome", f"SELECT doc_id, {case(vocab.OUTCOMES, 'lower(right(text, 3000))', sql('unknown'))} AS outcome FROM documents")
 def f21(s, d):
-    return table(s, d, "documents").select("doc_id", text.outcome("text").alias("outcome"))
+    return documents(s, d).select("doc_id", text.outcome("text").alias("outcome"))
 
 
 @query("f28_f30_names", "SELECT url, CASE WHEN contains(upper(url), 'BGE') OR contains(upper(url), 'ATF') THEN 'CH_BGE' WHEN contains(upper(url), 'BGER') THEN 'CH_BGer' WHEN contains(upper(url), 'BVGE') OR contains(upper(url), 'ATAF') THEN 'CH_BVGE' WHEN contains(upper(url), 'BSTG') OR contains(upper(url), 'TPF') THEN 'CH_BStGer' ELSE 'CH_FED' END AS court, CASE WHEN starts_with(url, 'CH_TI') OR contains(url, 'TI_') THEN 'ticino' ELSE 'federal' END AS source FROM pages")
@@ -166,7 +166,7 @@ SELECT doc_id, CASE WHEN n > 0 AND hit > 0 THEN (CASE WHEN a > 1 THEN '...' ELSE
 @query("f37_context_around", F37_SQL)
 def f37(s, d):
     """Each text with a quote from its middle: exact, with a changed end, or absent."""
-    docs = table(s, d, "documents").withColumn("s", text.squeeze("text"))
+    docs = documents(s, d).withColumn("s", text.squeeze("text"))
     middle = lambda n: F.substring("s", F.floor(F.length("s") / 2).cast("int") + 1, F.lit(n))
     which = F.col("doc_id") % 3
     quote = F.when(which == 0, middle(40)).when(which == 1, F.concat(middle(60), F.lit(" #"))).otherwise(F.concat(F.lit("# "), F.substring("s", 1, 10)))
@@ -187,7 +187,7 @@ SELECT doc_id, CASE WHEN g.y <> '' THEN g.y || '-' || {MONTH_SQL} || '-' || lpad
 
 @query("f50_date", F50_SQL)
 def f50(s, d):
-    return table(s, d, "documents").select("doc_id", text.date_of("text").alias("date"))
+    return documents(s, d).select("doc_id", text.date_of("text").alias("date"))
 
 
 @query("f51_f55_years", "SELECT * FROM (VALUES (1, 2023), (2, 2022), (3, 2021), (4, 2020), (5, 2000), (6, 2019)) t(id, year)")
@@ -206,7 +206,7 @@ SELECT doc_id, length(text) // 4 AS tokens, CASE WHEN length(text) <= 600 THEN t
 
 @query("f68_f70_budget", F70_SQL)
 def f70(s, d):
-    return table(s, d, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"), text.truncate_context("text", 600).alias("context"))
+    return documents(s, d).select("doc_id", text.estimate_tokens("text").alias("tokens"), text.truncate_context("text", 600).alias("context"))
 
 
 @query("f81_f82_fenced_json", "SELECT * FROM (VALUES (1, 'MIXED'), (2, 'DIVERGENT'), (3, 'CONSISTENT')) t(id, verdict)")
@@ -217,7 +217,7 @@ def f81(s, d):
 
 @query("f84_f85_ids_and_hashes", "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents")
 def f85(s, d):
-    return table(s, d, "documents").select("doc_id", text.file_hash(F.encode("text", "UTF-8")).alias("hash"))
+    return documents(s, d).select("doc_id", text.file_hash(F.encode("text", "UTF-8")).alias("hash"))
 
 
 @query("f86_sparse_vectors", "SELECT event_id, CAST(user_id AS INT) AS token, value AS weight FROM events WHERE value > 5")
@@ -239,12 +239,12 @@ def p14(s, d):
 
 @query("a23_document_language", "WITH w AS (SELECT doc_id, regexp_extract_all(left(lower(text), 5000), '[\\p{L}\\p{N}_]+') AS w FROM documents), n AS (SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(map(sql, v))}))) AS {k}" for k, v in vocab.STOP_WORDS.items()) + " FROM w) SELECT doc_id, CASE WHEN fr > de AND fr >= it THEN 'fr' WHEN it > de AND it > fr THEN 'it' ELSE 'de' END AS language FROM n")
 def a23(s, d):
-    return table(s, d, "documents").select("doc_id", text.document_language("text").alias("language"))
+    return documents(s, d).select("doc_id", text.document_language("text").alias("language"))
 
 
 @query("s4_s5_html_to_text")
 def s4(s, d):
-    return table(s, d, "pages").select("page_id", text.html_to_text("html").alias("text"))
+    return pages(s, d).select("page_id", text.html_to_text("html").alias("text"))
 
 
 @query("s19_logged_files", r"SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"/([A-Za-z]+)\"', 1)) AS file FROM pages")
@@ -276,24 +276,24 @@ SELECT doc_id, chunk - 1 AS chunk_index, n_words FROM g
 @query("c1_pack_paragraphs", C1_SQL)
 def c1(s, d):
     packed = chunk.whole_or(F.col("text"), 100, chunk.pack(F.split("text", r"\n\n+|\n"), 100, 0, "\n"))
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(packed).alias("chunk_index", "c"))
+    rows = documents(s, d).select("doc_id", F.posexplode(packed).alias("chunk_index", "c"))
     return rows.select("doc_id", "chunk_index", chunk.n_words(F.col("c")).alias("n_words"))
 
 
 @query("c2_c3_chunk_decision")
 def c3(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.coalesce(text.regeste("text"), F.lit("")).alias("regeste"), F.col("text").alias("reasoning"))
+    docs = documents(s, d).select("doc_id", F.coalesce(text.regeste("text"), F.lit("")).alias("regeste"), F.col("text").alias("reasoning"))
     return chunk.chunk_sections(docs, "doc_id", ["regeste", "reasoning"], 200, 50)
 
 
 @query("c4_chunk_dossier")
 def c4(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(chunk.chunk_dossier(F.col("text"), 200)).alias("chunk_index", "text"))
+    return documents(s, d).select("doc_id", F.posexplode(chunk.chunk_dossier(F.col("text"), 200)).alias("chunk_index", "text"))
 
 
 @query("c5_c7_char_windows")
 def c5(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
+    docs = documents(s, d).select("doc_id", "text")
     both = docs.select("doc_id", F.explode(F.create_map(F.lit("embed"), chunk.chunk_chars(F.col("text")), F.lit("extract"), chunk.chunk_for_extraction(F.col("text")))).alias("kind", "b"))
     return both.select("doc_id", "kind", F.posexplode("b").alias("chunk_index", "x")).select("doc_id", "kind", "chunk_index", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
@@ -311,7 +311,7 @@ def c6(s, d):
 def w8(s, d):
     from pyspark.sql import Window
 
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     return rows.select("doc_id", "line_no", F.coalesce(F.lead("line_no").over(w), F.col("line_no") + 1).alias("end_line"), F.lead("line").over(w).alias("ahead"))
 
@@ -322,19 +322,19 @@ TYPES = [t for t, _ in PLAIN]
 
 @query("x1_x6_pii_detect", " UNION ALL ".join(f"SELECT doc_id, {sql(t)} AS entity_type, unnest(regexp_extract_all(text, {sql(p)})) AS text FROM documents" for t, p in PLAIN))
 def x6(s, d):
-    return pii.detect(table(s, d, "documents"), "doc_id", "text", TYPES).select("doc_id", "entity_type", "text")
+    return pii.detect(documents(s, d), "doc_id", "text", TYPES).select("doc_id", "entity_type", "text")
 
 
 @query("x7_pii_scrub", "SELECT doc_id, " + "regexp_replace(regexp_replace(regexp_replace(text, {2}, '<SWISS_AHV>', 'g'), {0}, '<EMAIL_ADDRESS>', 'g'), {1}, '<CREDIT_CARD>', 'g')".format(*(sql(p) for _, p in PLAIN)) + " AS scrubbed FROM documents")
 def x7(s, d):
-    return table(s, d, "documents").select("doc_id", pii.scrub(F.col("text"), types=TYPES).alias("scrubbed"))
+    return documents(s, d).select("doc_id", pii.scrub(F.col("text"), types=TYPES).alias("scrubbed"))
 
 
 @query("x8_x9_pii_summary", "SELECT entity_type, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {sql(t)} AS entity_type, unnest(regexp_extract_all(text, {sql(p)})) AS m FROM documents" for t, p in PLAIN) + ") GROUP BY 1")
 def x9(s, d):
-    return pii.summary(table(s, d, "documents"), "doc_id", "text", TYPES)
+    return pii.summary(documents(s, d), "doc_id", "text", TYPES)
 
 
 @query("a28_pii_types", "SELECT doc_id, regexp_matches(text, " + sql("|".join(f"(?:{p})" for _, p in PLAIN)) + ") AS has_pii FROM documents")
 def a28(s, d):
-    return table(s, d, "documents").select("doc_id", pii.has_pii(F.col("text"), TYPES).alias("has_pii"))
+    return documents(s, d).select("doc_id", pii.has_pii(F.col("text"), TYPES).alias("has_pii"))

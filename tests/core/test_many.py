@@ -56,11 +56,13 @@ def test_dense(data, monkeypatch, block, tile):
 
 
 @pytest.mark.parametrize("block,tile", [(1 << 22, 1 << 20), (9, 7)])
-def test_sparse(data, monkeypatch, block, tile):
-    rows, _, _, posts, asked = data
+@pytest.mark.parametrize("gathered", [True, False])
+def test_sparse(data, monkeypatch, block, tile, gathered):
+    rows, p, _, posts, asked = data
+    rows_ = many.vectors(posts) if gathered else retrieve.word_vectors(p)
     monkeypatch.setattr(many, "BLOCK", block)
     monkeypatch.setattr(many, "TILE", tile)
-    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in many.sparse(posts, asked, 9).collect()}
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in many.sparse(rows_, asked, 9).collect()}
     bags, want = {r[0]: Counter(r[2].split()) for r in rows}, {}
     for query in range(0, len(rows), 50):
         scored = sorted((-sum(n * bags[query][t] for t, n in bag.items()), i) for i, bag in bags.items() if bag.keys() & bags[query].keys())
@@ -71,7 +73,7 @@ def test_sparse(data, monkeypatch, block, tile):
 def test_nothing(data):
     _, p, q, posts, asked = data
     assert many.dense(p.limit(0), q, 3).count() == 0 and many.dense(p, q.limit(0), 3).count() == 0
-    assert many.sparse(posts.limit(0), asked, 3).count() == 0 and many.sparse(posts, asked.limit(0), 3).count() == 0
+    assert many.sparse(many.vectors(posts.limit(0)), asked, 3).count() == 0 and many.sparse(retrieve.word_vectors(p), asked.limit(0), 3).count() == 0
 
 
 def test_lanes_are_those_of_single_queries(data):
@@ -79,7 +81,7 @@ def test_lanes_are_those_of_single_queries(data):
     active = p.select("sr_number").where("sr_number != 'SR 3'")
     for kind in ("library", "laws"):
         got = {}
-        for r in retrieve.lane_many(p, posts, q, asked, 2026, kind, 7, {"lang": "de"}, "TI", active).collect():
+        for r in retrieve.lane_many(p, retrieve.word_vectors(p), q, asked, 2026, kind, 7, {"lang": "de"}, "TI", active).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.final_score, 9)))
         for query in rows[::50][:2]:
             v = [float(np.float32(x)) for x in query[1]]
