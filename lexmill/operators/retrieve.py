@@ -146,8 +146,9 @@ def similarity_matrix(rows: pd.DataFrame, embedded: bool) -> np.ndarray:
         return x @ x.T
     out = np.zeros((len(rows), len(rows)))
     for name, weight in (("source", 0.3), ("court", 0.5), ("sr_number", 0.7), ("doc_key", 1.0)):  # later ones override
-        v = rows[name].fillna("").astype(str).to_numpy()
-        out = np.where((v[:, None] == v[None, :]) & (v[:, None] != ""), weight, out)
+        v = rows[name].fillna("").astype(str)
+        code = np.where(v == "", -1, pd.factorize(v)[0])  # numbers compare faster than strings
+        out[(code[:, None] == code[None, :]) & (code[:, None] >= 0)] = weight
     return out
 
 
@@ -247,19 +248,21 @@ def lane(points: DataFrame, posts: DataFrame, query: list[float], tokens: dict[s
 
 def lane_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, now_year: int, kind: str = "library", top_k: int = 10, filters: dict | None = None, canton: str | None = None, active: DataFrame | None = None) -> DataFrame:
     """R7-R9 for each of queries (query_id, query_dense, query_text); asked: their (query_id, token, weight)."""
-    rows = hybrid_many(points, vectors, queries, asked, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
-    return refined(rows.drop("query_dense"), F.col("query_text"), now_year, kind, top_k, canton, active, "query_id")
+    light = hybrid_many(points.drop("text"), vectors, queries.select("query_id", "query_dense"), asked, vocab.LANES[kind]["hybrid"], filters if kind == "library" else None)
+    # texts are fetched for the rows that MMR leaves
+    texts = lambda rows: rows.join(points.select("id", "text"), "id").join(queries.select("query_id", "query_text"), "query_id")
+    return refined(light.drop("dense", "query_dense"), F.col("query_text"), now_year, kind, top_k, canton, active, "query_id", texts)
 
 
-def refined(rows: DataFrame, question: str | Column, now_year: int, kind: str, top_k: int, canton: str | None, active: DataFrame | None, by: str | None = None) -> DataFrame:
-    """What lanes do with their candidates."""
+def refined(rows: DataFrame, question: str | Column, now_year: int, kind: str, top_k: int, canton: str | None, active: DataFrame | None, by: str | None = None, texts: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """What lanes do with their candidates; texts adds what only reranking needs."""
     size = vocab.LANES[kind]
     statutes = kind != "library"
     if statutes:
         ordinance = is_ordinance(F.col("sr_name"))
         rows = boost(rows.where(ordinance if kind == "ordinances" else ~ordinance), canton, by)
     rows = mmr(rows, size["mmr"], vocab.FINAL["mmr_lambda"], by=by)
-    rows = rerank(rows, question, size["rerank"], now_year, by=by)
+    rows = rerank(texts(rows), question, size["rerank"], now_year, by=by)
     rows = dedupe(rows, "doc_key", size.get("top", top_k), by)
     return active_only(rows, active) if statutes else rows
 
