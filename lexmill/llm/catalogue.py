@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, lexical, secret_scan, shards, simhash, token_spans, winnow
+from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, lexical, line_rules, secret_scan, shards, simhash, token_spans, winnow
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9,
     "op10_kneser_ney": kneser_ney.op10,
     "op11_lexical_search": lexical.op11,
+    "op12_line_rules": line_rules.op12,
 }
 ORACLES: dict[str, str] = {
     "op6_shards": shards.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op8_decontaminate": fm_index.ORACLE,
     "op11_lexical_search": lexical.ORACLE,
+    "op12_line_rules": line_rules.ORACLE,
 }
