@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, chat, fm_index, kneser_ney, lang_id, lexical, line_rules, secret_scan, shards, simhash, token_spans, winnow
+from lexmill.llm import bpe, chat, filter_audit, fm_index, kneser_ney, lang_id, lexical, line_rules, secret_scan, shards, simhash, token_spans, winnow
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_kneser_ney": kneser_ney.op10,
     "op11_lexical_search": lexical.op11,
     "op12_line_rules": line_rules.op12,
+    "op13_filter_audit": filter_audit.op13,
 }
 ORACLES: dict[str, str] = {
     "op6_shards": shards.ORACLE,
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": fm_index.ORACLE,
     "op11_lexical_search": lexical.ORACLE,
     "op12_line_rules": line_rules.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }

@@ -21,6 +21,8 @@ def write(spark, folder, docs, benchmark, conversations):
     d.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(benchmark, "item_id string, text string, spans string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(conversations, "conv_id long, turn long, role string, text string, spans string").write.parquet(f"{folder}/conversations.parquet")
+    marks = [(1, 1, 0), (1, None, 1), (None, 1, 1), (5, 1, 1)] if docs else []
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("part", F.lit("!")).write.parquet(f"{folder}/labels.parquet")
     return str(folder)
 
 
@@ -41,6 +43,10 @@ def test_operator(spark, full, empty, name):
     got = QUERIES[name](spark, full).collect()
     if name.startswith("op7"):
         assert sorted((r.conv_id is None, r.conv_id or 0, r.n_turns) for r in got) == [(False, -1, 2), (False, 1, 3), (False, 2, 1), (True, 0, 2)]
+    elif name.startswith("op11"):
+        assert {r.doc_id for r in got} <= {r[0] for r in DOCS} and {r.item_id for r in got} == {"i", None} and all(r.score > 0 for r in got)
+    elif name.startswith("op13"):
+        assert len(got) == 3 * 600 and {r.part for r in got} == {"", "de", "en"}
     elif name.startswith("op3"):
         assert {r.doc_id for r in got} == {r[0] for r in DOCS}
     else:
