@@ -9,8 +9,10 @@ out (a pair in it differs only there), which ends with at most 8 free bits, so 2
 bucket all distances are computed but only a spanning forest of the links leaves it.
 
 Fingerprints: a bit is set if it is in over half the shingles' XXH64 (seed 42). Null texts have no
-words; no word: fingerprint zero. Documents are linked whatever their number of rows; a null doc_id
-is ignored as a representative unless all of its group are null.
+words; no word: fingerprint zero. A node is a fingerprint, whoever holds it: rows of a null doc_id link
+and bridge like any other, but a component's id is its least doc_id that is not null (null if all are).
+Repeated rows get equal results; texts of any length are read whole; an empty table gives no rows. Other
+columns are dropped, so none can clash.
 """
 
 from __future__ import annotations
@@ -167,10 +169,12 @@ def condensed(found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(key, fingerprint, component_id) of each row: links are fingerprints within the radius."""
     fps = materialize(fingerprints(docs, key, shingle))
-    nodes = materialize(fps.groupBy(F.col("fp0").alias("fp")).agg(F.min(key).alias("id")))
-    with_id = nodes.where("id is not null")
-    roots = components(condensed(links(with_id.withColumn("other", F.lit(0).cast("long")), radius)))
-    of = with_id.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    nodes = materialize(fps.groupBy(F.col("fp0").alias("fp")).agg(F.min(key).alias("least")))
+    roots = components(condensed(links(nodes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("other")), radius)))
+    # a fingerprint without links is its own root; the least ids are combined before any exchange
+    placed = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = placed.join(named, "root").select("fp", "component_id")
     return fps.join(of, F.col("fp0") == F.col("fp"), "left").select(
         key, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -212,14 +216,15 @@ def minhash(shingles: np.ndarray) -> bytes:
 
 
 def minhashes(docs: DataFrame) -> DataFrame:
-    """(node, words, sig) of each row of (node, text)."""
+    """(node, words, sig, fp) of each row of (node, text): its number of shingles, MinHash bytes and SimHash fingerprint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "words": [len(x) for x in sets], "sig": [minhash(x) for x in sets]})
+            fps = np.array([signed(fingerprint(t)) for t in batch["text"]], dtype=np.int64)
+            yield pd.DataFrame({"node": batch["node"], "words": [len(x) for x in sets], "sig": [minhash(x) for x in sets], "fp": fps})
 
-    return docs.select("node", "text").mapInPandas(run, "node long, words long, sig binary")
+    return docs.select("node", "text").mapInPandas(run, "node long, words long, sig binary, fp long")
 
 
 def spanning(near, n: int) -> np.ndarray:
@@ -242,8 +247,19 @@ def centred(label: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r), int(i)) for r, i in zip(least[label], ids, strict=True) if r != i]
 
 
+def covered(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Links (a, b) among nodes (node, fp) that connect all whose fingerprints are within the radius, by covering masks.
+
+    Nodes of one fingerprint are hung below the least of them, which then stands for all.
+    """
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("id")))
+    found = links(least.select("id", "fp", F.lit(0).cast("long").alias("other")), radius)
+    same = nodes.join(least, "fp").where("node != id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return found.unionByName(same)
+
+
 def candidates(nodes: DataFrame, bucket: int) -> DataFrame:
-    """Links (a, b) among nodes (node, sig) that connect all pairs that may be near copies.
+    """Links (a, b) among nodes (node, sig) that connect all pairs that may be near copies by MinHash.
 
     Two texts that are 0.8 alike agree in a band of BAND bytes with 0.26, so in one of BANDS with 0.9999,
     whatever the edit. Within a bucket half of the sketch must agree (0.8 alike: six deviations above that);
@@ -369,7 +385,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", bucket: int = 16 * BUC
     rows = docs.select(F.col(key).alias("id"), text_hash().alias("node"), "text")
     least = rows.groupBy("node").agg(F.min("id").alias("id"))
     nodes = materialize(minhashes(rows).dropDuplicates(["node"]))
-    roots = components(condensed(candidates(nodes, bucket)))
+    # covering SimHash finds the nearest copies, MinHash bands those that its radius can't span
+    roots = components(condensed(covered(nodes).unionByName(candidates(nodes, bucket))))
     groups = materialize(roots.join(nodes.select("node", "words"), "node").join(least, "node"))
     of = components(verified(rows, groups, block_words)).join(groups.select("node", "id"), "node")
     best = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))

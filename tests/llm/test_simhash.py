@@ -180,3 +180,32 @@ def test_chains_over_blocks(spark):
         for i in want:
             same.setdefault(of.get(node[i], node[i]), set()).add(i)
         assert sorted(map(min, same.values())) == sorted(set(want.values())) and all(want[i] == min(s) for s in same.values() for i in s)
+
+
+def test_null_ids_link_and_bridge(spark):
+    """Rows without a doc_id are leaves and bridges like any other."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+
+    def edited(w):
+        w = list(w)
+        w[rng.randrange(len(w))] = rng.choice(vocab)
+        return w
+
+    chains = []
+    while len(chains) < 6:
+        a = rng.choices(vocab, k=150)
+        b = edited(a)
+        c = edited(b)
+        x, y, z = (brute_fp(" ".join(w)) for w in (a, b, c))
+        gap = lambda p, q: (p ^ q).bit_count()
+        if 0 < gap(x, y) <= 3 and 0 < gap(y, z) <= 3 < gap(x, z):
+            chains.append([" ".join(w) for w in (a, b, c)])
+    rows = []
+    for k, (a, b, c) in enumerate(chains[:4]):
+        rows += [(100 - 10 * k, a), (None, b), (None, b), (105 - 10 * k, c)]  # a bridge
+    rows += [(7, chains[4][0]), (None, chains[4][1])]  # a leaf
+    rows += [(None, t) for t in chains[5]]  # a component without any id
+    got = {r.fingerprint: r.component_id for r in sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {t: 100 - 10 * k for k in range(4) for t in chains[k]} | dict.fromkeys(chains[4][:2], 7) | dict.fromkeys(chains[5])
+    assert got == {f"{brute_fp(t):016x}": i for t, i in want.items()}
