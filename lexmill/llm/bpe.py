@@ -1,11 +1,18 @@
 """Operator 5: byte-level BPE by overlapping chunks.
 
-A text is cut into overlapping chunks that are pre-tokenised on their own; neighbours are stitched
-at the first pre-token boundary both agree on. The pattern has no look-behind, so from a common
-boundary on both chunks match alike until the chunk's end comes near. The pieces between boundaries
-are then encoded one by one; decoding concatenates the raw bytes of the ids.
+A text is cut into chunks of CHUNK characters that reach OVERLAP into their neighbour. Each is a row that is
+pre-tokenised and encoded on its own; neighbours are stitched at the first pre-token boundary both have in their
+overlap, by the ids up to it on the left and from it on the right. The pattern has no look-behind, so from a common
+boundary on both chunks match alike until the chunk's end comes near. Decoding concatenates the raw bytes of the ids.
 
-Null text counts as empty (no ids). Repeated rows give repeated results; other columns are dropped.
+The chunks of a text of more than SPREAD are dealt over tasks, those of others stay where the text was read; ids and the
+boundaries of the overlaps go to one task a text, which reads them in order and holds one chunk at a time (with
+digest_only; else the ids, which are its result). A text of one chunk needs no stitching. Neighbours without a common
+boundary (a pre-token wider than the overlap) are rare: such a text is encoded again where it lies, by pretokenise(),
+which carries the left chunk on until it meets a boundary.
+
+Null text counts as empty (no ids). Repeated rows give repeated results; an empty table gives no rows; other columns are
+dropped, so none can clash.
 """
 
 from __future__ import annotations
@@ -23,11 +30,13 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import table
+from lexmill.llm.common import materialize, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A match that ends nearer than this to the end of a cut chunk may be another one in the whole text.
 MARGIN = 4
+CHUNK, OVERLAP = 4096, 256
+SPREAD = 8
 #: Distinct pre-tokens whose ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -90,28 +99,136 @@ class Codec:
         self.lengths = np.array([len(x) for x in self.raw], dtype=np.int64)
         self.known: dict[str, bytes] = {}
 
+    def piece_ids(self, piece: str) -> bytes:
+        """The ids of one pre-token as little-endian unsigned 32-bit integers."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = np.array(self.encoding.encode_ordinary(piece), dtype="<u4").tobytes()
+            if len(piece) <= 64:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
-        for piece in pretokenise(text or "", self.pattern):
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(self.encoding.encode_ordinary(piece), dtype="<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        """The ids of a whole text."""
+        return b"".join(map(self.piece_ids, pretokenise(text or "", self.pattern)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", digest_only: bool = False) -> DataFrame:
-    """(key, n_tokens, ids binary, ids_sha256, decoded_sha256) of each row; digest_only leaves out ids."""
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digest_only else ", ids binary")
+def chunk_count(length, chunk: int = CHUNK, overlap: int = OVERLAP):
+    """Into how many chunks a text of so many characters (a column) is cut; the last one always holds more than the overlap."""
+    return F.greatest(F.lit(1), F.ceil((length - overlap) / chunk)).cast("int")
+
+
+def chunk_rows(docs: DataFrame, kind: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(row, key, h, n, k, piece) of rows (row, key, h, n, text): the k-th of n chunks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                for first in range(0, row.n, 256):  # no more than some chunks of a text at a time
+                    ks = range(first, min(row.n, first + 256))
+                    out = pd.DataFrame({"k": ks, "piece": [row.text[k * chunk : (k + 1) * chunk + overlap] for k in ks]})
+                    yield out.assign(row=row.row, key=pd.Series([row.key] * len(out), dtype=object), h=row.h, n=row.n)[["row", "key", "h", "n", "k", "piece"]]
+
+    return docs.mapInPandas(run, f"row long, key {kind}, h long, n int, k int, piece string")
+
+
+def coded(codec: Codec, piece: str, first: bool, last: bool, chunk: int, overlap: int) -> tuple[bytes, bytes, bytes]:
+    """(ids, head, tail) of a chunk: pairs (place, ids before it) of the boundaries in its overlaps, told from the overlap's begin."""
+    at, n, head, tail, out = 0, 0, [], [], []
+    if not first:
+        head.append((0, 0))
+    for p in codec.pattern.findall(piece):
+        ids = codec.piece_ids(p)
+        out.append(ids)
+        at, n = at + len(p), n + len(ids) // 4
+        if at <= overlap and not first:
+            head.append((at, n))
+        if not last and chunk <= at <= len(piece) - MARGIN:
+            tail.append((at - chunk, n))
+    return b"".join(out), np.array(head, dtype="<i4").tobytes(), np.array(tail, dtype="<i4").tobytes()
+
+
+def coded_rows(chunks: DataFrame, vocabulary: str, kind: str, chunk: int, overlap: int) -> DataFrame:
+    """(row, key, h, n, k, ids, head, tail) of chunk rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = Codec(vocabulary)
+        for batch in batches:
+            own = [coded(codec, p, k == 0, k == n - 1, chunk, overlap) for p, k, n in zip(batch["piece"], batch["k"], batch["n"], strict=True)]
+            yield batch.drop(columns="piece").assign(ids=[x[0] for x in own], head=[x[1] for x in own], tail=[x[2] for x in own])
+
+    return chunks.mapInPandas(run, f"row long, key {kind}, h long, n int, k int, ids binary, head binary, tail binary")
+
+
+class Stitcher:
+    """Takes the chunks of one text in their order; holds one of them (and, if kept is asked for, the ids so far)."""
+
+    def __init__(self, codec: Codec, keep: bool):
+        self.codec, self.keep = codec, keep
+        self.n, self.ids_sha, self.bytes_sha, self.kept = 0, hashlib.sha256(), hashlib.sha256(), []
+        self.last, self.start, self.whole = None, 0, True
+
+    def take(self, ids: bytes) -> None:
+        self.n += len(ids) // 4
+        self.ids_sha.update(ids)
+        self.bytes_sha.update(self.codec.decode(ids))
+        if self.keep:
+            self.kept.append(ids)
+
+    def add(self, ids: bytes, head: bytes, tail: bytes) -> None:
+        if self.last is not None and self.whole:
+            left = dict(np.frombuffer(self.last[1], dtype="<i4").reshape(-1, 2).tolist())
+            met = next(((left[at], n) for at, n in np.frombuffer(head, dtype="<i4").reshape(-1, 2).tolist() if at in left), None)
+            self.whole = met is not None
+            if met:
+                self.take(self.last[0][4 * self.start : 4 * met[0]])
+                self.start = met[1]
+        self.last = (ids, tail)
+
+    def done(self) -> tuple:
+        """(n_tokens, ids_sha256, decoded_sha256, ids), or nulls if two neighbours had no common boundary."""
+        if not self.whole:
+            return None, None, None, None
+        self.take(self.last[0][4 * self.start :])
+        return self.n, self.ids_sha.hexdigest(), self.bytes_sha.hexdigest(), b"".join(self.kept) if self.keep else None
+
+
+def stitched(coded_: DataFrame, vocabulary: str, kind: str, keep: bool) -> DataFrame:
+    """(key, h, n_tokens, ids_sha256, decoded_sha256, ids) of each text; n_tokens is null where its chunks could not be stitched."""
+    columns = ["key", "h", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec, text, own, out = Codec(vocabulary), None, None, []
+
+        def frame() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=columns)
+            made["n_tokens"] = made["n_tokens"].astype("Int64")
+            out.clear()
+            return made
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if text is None or r.row != text[0]:
+                    if text is not None:
+                        out.append((*text[1:], *own.done()))
+                    text, own = (r.row, r.key, r.h), Stitcher(codec, keep)
+                own.add(r.ids, r.head, r.tail)
+                if len(out) >= 500:
+                    yield frame()
+        if text is not None:
+            out.append((*text[1:], *own.done()))
+        yield frame()
+
+    return coded_.repartition("row").sortWithinPartitions("row", "k").mapInPandas(run, f"key {kind}, h long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+
+
+def encode_whole(docs: DataFrame, vocabulary: str, kind: str, keep: bool) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256, ids) of rows (key, text), each text in one go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(vocabulary)
@@ -121,13 +238,33 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", d
                 rows = []
                 for text in part["text"]:
                     ids = codec.encode(text)
-                    row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
-                    rows.append(row if digest_only else (*row, ids))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + (not digest_only)])
-                out.insert(0, key, part[key].to_numpy())
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), ids if keep else None))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                out.insert(0, "key", part["key"].to_numpy())
                 yield out
 
-    return docs.select(key, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return docs.select("key", "text").mapInPandas(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+
+
+def encode(
+    docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", digest_only: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD
+) -> DataFrame:
+    """(key, n_tokens, ids binary, ids_sha256, decoded_sha256) of each row; digest_only leaves out ids."""
+    kind = docs.schema[key].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("h"), chunk_count(F.char_length(text), chunk, overlap).alias("n"), text.alias("text"))
+    near = chunk_rows(rows.where((F.col("n") > 1) & (F.col("n") <= spread)), kind, chunk, overlap)
+    far = chunk_rows(rows.where(F.col("n") > spread), kind, chunk, overlap).repartition("row", "k")
+    # rows of the two scans are told apart by their sign
+    both = [coded_rows(x, vocabulary, kind, chunk, overlap).withColumn("row", sign) for x, sign in ((near, F.col("row")), (far, -1 - F.col("row")))]
+    cut = materialize(stitched(both[0].unionByName(both[1]), vocabulary, kind, not digest_only))
+    found = encode_whole(rows.where("n = 1"), vocabulary, kind, not digest_only).unionByName(cut.where("n_tokens is not null").drop("h"))
+    apart = cut.where("n_tokens is null").select(F.col("key").alias("_key"), F.col("h").alias("_h")).distinct()
+    if not apart.isEmpty():
+        same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h"))
+        found = found.unionByName(encode_whole(rows.where("n > 1").join(apart, same, "left_semi"), vocabulary, kind, not digest_only))
+    ids = [] if digest_only else ["ids"]
+    return found.select(F.col("key").alias(key), "n_tokens", "ids_sha256", "decoded_sha256", *ids)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
