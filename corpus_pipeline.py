@@ -1,4 +1,7 @@
-"""The corpus pipeline: language ID, SimHash near-dedup, decontamination, secret scan, BPE encoding.
+"""The corpus pipeline: language ID, near-dedup, decontamination, secret scan, BPE encoding.
+
+Near copies are texts whose five-word shingles are 0.8 alike or more. Covering SimHash and MinHash bands give the
+candidates, since a radius that masks can cover spans but the nearest of them; shingles decide.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
 return the columns of documents. Nulls, repeated rows and empty tables go through every stage as its
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, fm_index, lang_id, secret_scan, simhash
-from lexmill.llm.common import materialize, shared_dir, table
+from lexmill.llm.common import shared_dir, table
 
 #: Below this posterior no language is clearly the best.
 LEAST_SCORE = 0.5
@@ -63,7 +66,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by its kind in brackets; n_chars follows the text. All documents stay."""
-    ledger = materialize(secret_scan.scan_blobs(docs).where(F.size("findings") > 0))
+    path = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    ledger = secret_scan.scan_to_ledger(docs, path).where(F.size("findings") > 0)
     rows, _, back = hidden(docs)
     found = rows.withColumn("own_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(ledger.select(F.col("blob").alias("own_blob"), "findings"), "own_blob", "left")
 
