@@ -11,6 +11,7 @@ from lexmill.functions import pii, text, vocab
 from lexmill.operators import filters, many, retrieve, review, tables
 from lexmill.plans.registry import documents, query, table
 from lexmill.plans.retrieval import asked, best, points
+from lexmill.plans.texts import PII_SPANS, pii_masked
 from lexmill.sources import parsers, readers
 from lexmill.sources.shared import shared_dir
 
@@ -57,13 +58,9 @@ def r13(s, d):
     return many.dense(points(s, d), asked(s, d), 15).select("query_id", "id", "rank")
 
 
-SEEN = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS t FROM documents WHERE regexp_matches(text, '{p}')" for t, p, _ in vocab.PII if t in ("EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV"))
-
-
-@query("u6_entity_difference", f"SELECT doc_id, coalesce(list_sort(list(t) FILTER (t <> 'CREDIT_CARD')), []) AS types FROM ({SEEN}) GROUP BY doc_id UNION ALL SELECT doc_id, CASE WHEN text IS NOT NULL THEN [] END FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({SEEN}))")
+@query("u6_entity_difference", f"WITH {PII_SPANS} SELECT doc_id, list_sort(list_filter(list_distinct(list_transform(s, lambda x: x['entity_type'])), lambda t: t NOT IN ('CREDIT_CARD', 'SWISS_POSTCODE'))) AS types FROM spans")
 def u6(s, d):
-    types = ["EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV"]
-    return documents(s, d).select("doc_id", F.when(F.col("text").isNotNull(), pii.kept_types(F.col("text"), ["CREDIT_CARD"], types)).alias("types"))
+    return documents(s, d).select("doc_id", pii.kinds(pii.found(F.col("text")), ["CREDIT_CARD", "SWISS_POSTCODE"]).alias("types"))
 
 
 @query("v3_own_recogniser", r"SELECT doc_id, 'CASE_NUMBER' AS entity_type, unnest(regexp_extract_all(text, '\b[A-Z]{2,4}-\d{3,}\b')) AS text FROM documents")
@@ -265,9 +262,9 @@ def m16(s, d):
     return part.select("p_partkey", card.alias("card"), text.consistency_label(F.when(third, "CONSISTENT"), F.when(third, "high")).alias("label"))
 
 
-@query("m18_x8_masked_for_logs", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{2}', '[REDACTED:SWISS_AHV]', 'g'), '{0}', '[REDACTED:EMAIL_ADDRESS]', 'g'), '{1}', '[REDACTED:CREDIT_CARD]', 'g') AS masked FROM documents".format(*(p for t in ("EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV") for p in [next(x[1] for x in vocab.PII if x[0] == t)])))
+@query("m18_x8_masked_for_logs", f"WITH {PII_SPANS} SELECT doc_id, {pii_masked('[REDACTED:{entity_type}]')} AS masked FROM spans")
 def m18(s, d):
-    return documents(s, d).select("doc_id", pii.scrub(F.col("text"), "[REDACTED:{entity_type}]", ["EMAIL_ADDRESS", "CREDIT_CARD", "SWISS_AHV"]).alias("masked"))
+    return pii.scrubbed_for_logging(documents(s, d), "text", "masked").select("doc_id", "masked")
 
 
 @query("s12_chunks_of_decision", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) <= 50")

@@ -316,25 +316,52 @@ def w8(s, d):
     return rows.select("doc_id", "line_no", F.coalesce(F.lead("line_no").over(w), F.col("line_no") + 1).alias("end_line"), F.lead("line").over(w).alias("ahead"))
 
 
-PLAIN = [("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("CREDIT_CARD", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"), ("SWISS_AHV", r"\b756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}\b")]
-TYPES = [t for t, _ in PLAIN]
+
+def pii_hits() -> str:
+    """SQL: every pattern's matches h and the pieces g between them, of each text."""
+    one = "SELECT r, text, {t} AS entity_type, {s} AS base, {c} AS context, regexp_extract_all(text, {p}) AS h, string_split_regex(text, {p}) AS g FROM texts WHERE regexp_matches(text, {p})"
+    words = lambda t: f"[{', '.join(sql(f' {w} ') for w in vocab.PII_CONTEXT.get(t, []))}]::VARCHAR[]"
+    return " UNION ALL ".join(one.format(t=sql(t), s=f"CAST({s} AS DOUBLE)", p=sql(p), c=words(t)) for t, p, s in vocab.PII)
+
+
+#: The kept spans of each document, by start: a fold takes them from the best on, unless they meet one that was taken.
+PII_SPANS = rf"""
+texts AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+hits AS ({pii_hits()}),
+ends AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM hits),
+placed AS (SELECT r, text, entity_type, base, context, length(h[i]) AS n, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1 : i - 1], lambda x: length(x))), 0) AS pos FROM ends),
+told AS (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(substr(text, greatest(1, CAST(pos AS BIGINT) - 199), least(200, CAST(pos AS BIGINT)))), '[\p{{L}}\p{{N}}_]+')[-5:], ' ') || ' ' AS before FROM placed),
+scored AS (SELECT r, CAST(pos AS INT) AS "start", CAST(pos + n AS INT) AS "end", entity_type, CASE WHEN len(list_filter(context, lambda w: contains(before, w))) > 0 THEN least(1.0, round(base + 0.35, 9)) ELSE base END AS score FROM told),
+listed AS (SELECT r, list({{'entity_type': entity_type, 'start': "start", 'end': "end", 'score': score}} ORDER BY score DESC, "end" - "start" DESC, "start", entity_type) AS l FROM scored GROUP BY r),
+kept AS (SELECT r, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda k: k['start'] < x[1]['end'] AND x[1]['start'] < k['end'])) > 0 THEN a ELSE list_concat(a, x) END) AS s FROM listed),
+spans AS (SELECT texts.r, doc_id, text, coalesce(list_sort(list_transform(s, lambda x: {{'start': x['start'], 'end': x['end'], 'entity_type': x['entity_type'], 'score': x['score']}})), []) AS s FROM texts LEFT JOIN kept USING (r))
+"""
+
+
+def pii_masked(form: str) -> str:
+    """SQL: the text with its spans replaced."""
+    head, tail = map(sql, form.split("{entity_type}"))
+    pieces = f"list_transform(s, lambda x, i: substr(text, 1 + coalesce(s[i - 1]['end'], 0), x['start'] - coalesce(s[i - 1]['end'], 0)) || {head} || x['entity_type'] || {tail})"
+    return f"CASE WHEN len(s) = 0 THEN text ELSE array_to_string({pieces}, '') || substr(text, 1 + s[len(s)]['end']) END"
 
 
-@query("x1_x6_pii_detect", " UNION ALL ".join(f"SELECT doc_id, {sql(t)} AS entity_type, unnest(regexp_extract_all(text, {sql(p)})) AS text FROM documents" for t, p in PLAIN))
+@query("x1_x6_pii_detect", f"WITH {PII_SPANS} SELECT doc_id, x['entity_type'] AS entity_type, substr(text, x['start'] + 1, x['end'] - x['start']) AS text, x['start'] AS \"start\", x['end'] AS \"end\", x['score'] AS score FROM (SELECT doc_id, text, unnest(s) AS x FROM spans)")
 def x6(s, d):
-    return pii.detect(documents(s, d), "doc_id", "text", TYPES).select("doc_id", "entity_type", "text")
+    """Every kept span with its place and score."""
+    return pii.detect(documents(s, d), "doc_id", "text")
 
 
-@query("x7_pii_scrub", "SELECT doc_id, " + "regexp_replace(regexp_replace(regexp_replace(text, {2}, '<SWISS_AHV>', 'g'), {0}, '<EMAIL_ADDRESS>', 'g'), {1}, '<CREDIT_CARD>', 'g')".format(*(sql(p) for _, p in PLAIN)) + " AS scrubbed FROM documents")
+@query("x7_pii_scrub", f"WITH {PII_SPANS} SELECT doc_id, {pii_masked('<{entity_type}>')} AS scrubbed FROM spans")
 def x7(s, d):
-    return documents(s, d).select("doc_id", pii.scrub(F.col("text"), types=TYPES).alias("scrubbed"))
+    return pii.scrubbed(documents(s, d), "text", "scrubbed").select("doc_id", "scrubbed")
 
 
-@query("x8_x9_pii_summary", "SELECT entity_type, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {sql(t)} AS entity_type, unnest(regexp_extract_all(text, {sql(p)})) AS m FROM documents" for t, p in PLAIN) + ") GROUP BY 1")
+@query("x8_x9_pii_summary", f"WITH {PII_SPANS} SELECT x['entity_type'] AS entity_type, count(*) AS n FROM (SELECT unnest(s) AS x FROM spans) GROUP BY 1")
 def x9(s, d):
-    return pii.summary(documents(s, d), "doc_id", "text", TYPES)
+    return pii.summary(documents(s, d), "doc_id", "text")
 
 
-@query("a28_pii_types", "SELECT doc_id, regexp_matches(text, " + sql("|".join(f"(?:{p})" for _, p in PLAIN)) + ") AS has_pii FROM documents")
+@query("a28_pii_types", f"WITH {PII_SPANS} SELECT doc_id, len(s) > 0 AS has_pii, list_sort(list_distinct(list_transform(s, lambda x: x['entity_type']))) AS types FROM spans")
 def a28(s, d):
-    return documents(s, d).select("doc_id", pii.has_pii(F.col("text"), TYPES).alias("has_pii"))
+    rows = documents(s, d).select("doc_id", pii.found(F.col("text")).alias("spans"))
+    return rows.select("doc_id", (F.size("spans") > 0).alias("has_pii"), pii.kinds(F.col("spans")).alias("types"))

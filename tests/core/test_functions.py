@@ -64,13 +64,8 @@ def test_pii(spark, body, types):
     df = spark.createDataFrame([(1, body)], "id int, t string")
     own = ["SWISS_AHV", "SWISS_IBAN", "EMAIL_ADDRESS"]
     assert [r.entity_type for r in pii.detect(df, "id", "t", own).collect()] == types
-    for r in pii.spans(df, "id", "t", own).collect():
-        assert body[r.start : r.end] in [x.text for x in pii.detect(df, "id", "t", own).collect()]
-
-
-def test_scrub(spark):
-    assert one(spark, lambda c: pii.scrub(F.col(c)), "AHV: 756.1234.5678.90, Email: test@example.com", "", None) == ["AHV: <SWISS_AHV>, Email: <EMAIL_ADDRESS>", "", None]
-    assert "[REDACTED:EMAIL_ADDRESS]" in one(spark, lambda c: pii.scrub_for_logging(F.col(c)), "User t@e.com in")[0]
+    for r in pii.detect(df, "id", "t", own).collect():
+        assert body[r.start : r.end] == r.text
 
 
 def test_scores(spark):

@@ -20,7 +20,7 @@ def test_texts(spark):
     assert one(spark, text.decrypted(text.encrypted(lit("a"), lit("k" * 16)), lit("l" * 16))) is None
     assert one(spark, text.decision_line(lit("BGE-140-III-348_chunk_1"), lit(2014), none, lit("de"), lit("T"))) == "### BGE 140 III 348 (2014) [DE]\n\nT"
     assert one(spark, text.law_card(lit(1), lit("OR"), lit("1"), lit("220"), lit("de"), lit(0.987), lit("t" * 301))).endswith("Score: 0.99\n\n> " + "t" * 300 + "...\n")
-    assert one(spark, pii.kept_types(lit("a@b.ch 756.1234.5678.90"), ["EMAIL_ADDRESS"])) == ["SWISS_AHV"]
+    assert one(spark, pii.kinds(pii.found(lit("a@b.ch 756.1234.5678.90")), ["EMAIL_ADDRESS"])) == ["SWISS_AHV"]
 
 
 def test_parsers(spark):
