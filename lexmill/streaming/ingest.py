@@ -1,4 +1,4 @@
-"""Streams and limits (ST1-ST10): incremental files, sliding windows, lockouts, sessions."""
+"""Streams (ST1-ST3, ST7, ST10) and limits as windows over tables (ST4-ST6): incremental files, sessions, context buckets."""
 
 from __future__ import annotations
 
@@ -51,3 +51,43 @@ def sessions(rows: DataFrame, key: str, time: str, gap: str = "24 hours") -> Dat
     new = (at > F.lag(at).over(w) + F.expr(f"interval {gap}")) | F.lag(at).over(w).isNull()
     rows = rows.withColumn("_s", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "_s").agg(F.min(time).alias("session_start"), F.count("*").alias("n")).drop("_s")
+
+
+def session_counts(stream: DataFrame, key: str, time: str, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """ST7 on a stream: (key, session_start, n) of each session, once the watermark has passed its end; later rows are dropped and counted."""
+    rows = stream.select(F.col(key).alias("_key"), F.col(time).cast("timestamp").alias("_time")).withWatermark("_time", late)
+    told = rows.groupBy("_key", F.session_window("_time", gap).alias("w")).agg(F.count("*").alias("n"))
+    return told.select(F.col("_key").alias(key), F.col("w.start").alias("session_start"), "n")
+
+
+def swap_context(batch: DataFrame, number: int, where: str, key: str, order: str, replaces) -> None:
+    """ST10, for foreachBatch: all rows are appended to the history; of rows that replace, the last of a key is its context.
+
+    Both are written under the batch's number: a batch that comes again overwrites what it wrote before, and starts from
+    the context that the batch before it left.
+    """
+    spark = batch.sparkSession
+    batch = batch.persist()
+    batch.write.mode("overwrite").parquet(f"{where}/history/batch={number}")
+    rows, old = batch.where(replaces), versions(spark, f"{where}/context", number)
+    rows = rows if old is None else rows.unionByName(spark.read.schema(batch.schema).parquet(f"{where}/context/version={old}"))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("x")).select("x.*")
+    last.write.mode("overwrite").parquet(f"{where}/context/version={number}")
+    batch.unpersist()
+
+
+def versions(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The greatest finished version=N folder below path (of those before a number)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    done = [f.getPath() for f in files.listStatus(root) if files.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    numbers = [int(p.getName().split("=")[1]) for p in done]
+    return max((n for n in numbers if before is None or n < before), default=None)
+
+
+def buckets(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
+    """The history and the newest context that swap_context left."""
+    return spark.read.parquet(f"{where}/history").drop("batch"), spark.read.parquet(f"{where}/context/version={versions(spark, f'{where}/context')}")
