@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators import ivf
 from lexmill.operators.filters import compile_filter
 
 #: Numbers in a broadcast block of queries: vector elements, or weighted tokens.
@@ -85,46 +86,13 @@ def best_rows(rows: DataFrame, ids: list, score: Callable[[pd.DataFrame], Iterat
     return rows.mapInPandas(run, f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
-def dense(points: DataFrame, queries: DataFrame, k: int = 50, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
-    """R1/R3/J13 for many queries: (query_id, id, score, rank) by the cosine of `dense` to `query_dense`.
+def dense(points: DataFrame, queries: DataFrame, k: int = 50, filters: dict | None = None, threshold: float | None = None, exact: bool = True) -> DataFrame:
+    """R1/R3/J13 for many queries: (query_id, id, score, rank) by the cosine of `dense` to `query_dense`, by an inverted file.
 
     Filters come before the top-k, as the threshold does. Rows without a vector, and of another length than a
     query's, are no candidates; a vector without length scores 0.
     """
-    rows = points.where(compile_filter(filters)).where("dense is not null").select("id", "dense")
-    asked = queries.where("query_dense is not null").select("query_id", "query_dense")
-    kind = queries.schema["query_id"].dataType.simpleString()
-
-    def unit(vectors) -> np.ndarray:
-        x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-    def one(block: DataFrame) -> DataFrame:
-        got = block.collect()  # about BLOCK numbers
-        by_size = {n: [r for r in got if len(r.query_dense) == n] for n in {len(r.query_dense) for r in got}}
-        ids = [r.query_id for n in by_size for r in by_size[n]]
-        shared = points.sparkSession.sparkContext.broadcast({n: unit([r.query_dense for r in rs]) for n, rs in by_size.items()})
-
-        def score(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-            size = batch["dense"].map(len).to_numpy()
-            step = max(1, TILE // max(1, len(ids)))
-            for at in range(0, len(batch), step):
-                part = slice(at, at + step)
-                out = np.full((len(ids), len(size[part])), -np.inf)
-                first = 0
-                for n, q in shared.value.items():
-                    own = np.flatnonzero(size[part] == n)
-                    if len(own):
-                        out[first : first + len(q), own] = (q @ unit(batch["dense"].iloc[part].iloc[own]).T).round(DIGITS)
-                    first += len(q)
-                if threshold is not None:
-                    out[out < threshold] = -np.inf
-                yield at, out
-
-        return best_rows(rows, ids, score, k, kind)
-
-    return ranked([one(b) for b in blocks(asked, asked.agg(F.sum(F.size("query_dense"))))], k)
+    return ivf.Index(points.where(compile_filter(filters))).search(queries, k, threshold, exact)
 
 
 def vectors(posts: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
 from lexmill.operators import chunk, many, retrieve
 from lexmill.plans.registry import documents, query, table
-from lexmill.sources.shared import shared_dir
+from lexmill.sources.shared import landed
 
 NOW = 2026
 
@@ -72,13 +70,6 @@ def vectors(s, d):
     return retrieve.word_vectors(documents(s, d).select(F.col("doc_id").alias("id"), "text"))
 
 
-def landed(rows):
-    """rows by way of a table in the shared folder."""
-    path = f"{shared_dir(rows.sparkSession)}/table-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def asked_tokens(s, d):
     """The tokens of the query set's texts."""
     return retrieve.postings(table(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"), "query_id")
