@@ -21,6 +21,7 @@ import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -98,6 +99,7 @@ class Codec:
             self.raw[rank] = piece
         self.lengths = np.array([len(x) for x in self.raw], dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.narrow = "<u2" if len(self.raw) <= 1 << 16 else "<u4"
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of one pre-token as little-endian unsigned 32-bit integers."""
@@ -110,6 +112,13 @@ class Codec:
                 self.known[piece] = ids
         return ids
 
+    def packed(self, ids: bytes) -> bytes:
+        """ids in as few bytes as the vocabulary allows, for an exchange."""
+        return np.frombuffer(ids, dtype="<u4").astype(self.narrow).tobytes()
+
+    def unpacked(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, dtype=self.narrow).astype("<u4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
         return b"".join(map(self.piece_ids, pretokenise(text or "", self.pattern)))
@@ -123,46 +132,56 @@ def chunk_count(length, chunk: int = CHUNK, overlap: int = OVERLAP):
     return F.greatest(F.lit(1), F.ceil((length - overlap) / chunk)).cast("int")
 
 
-def chunk_rows(docs: DataFrame, kind: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row, key, h, n, k, piece) of rows (row, key, h, n, text): the k-th of n chunks."""
+ROWS = ["row", "key", "h", "n", "k"]
+#: Chunks that are handed on at a time.
+HANDED = 256
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                for first in range(0, row.n, 256):  # no more than some chunks of a text at a time
-                    ks = range(first, min(row.n, first + 256))
-                    out = pd.DataFrame({"k": ks, "piece": [row.text[k * chunk : (k + 1) * chunk + overlap] for k in ks]})
-                    yield out.assign(row=row.row, key=pd.Series([row.key] * len(out), dtype=object), h=row.h, n=row.n)[["row", "key", "h", "n", "k", "piece"]]
 
-    return docs.mapInPandas(run, f"row long, key {kind}, h long, n int, k int, piece string")
+def frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while own := list(islice(rows, HANDED)):
+        yield pd.DataFrame(own, columns=columns)
+
+
+def cut(batches: Iterator[pd.DataFrame], chunk: int, overlap: int) -> Iterator[tuple]:
+    """(row, key, h, n, k, piece) of each of the n chunks of rows (row, key, h, n, text)."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            for k in range(row.n):
+                yield row.row, row.key, row.h, row.n, k, row.text[k * chunk : (k + 1) * chunk + overlap]
 
 
 def coded(codec: Codec, piece: str, first: bool, last: bool, chunk: int, overlap: int) -> tuple[bytes, bytes, bytes]:
     """(ids, head, tail) of a chunk: pairs (place, ids before it) of the boundaries in its overlaps, told from the overlap's begin."""
-    at, n, head, tail, out = 0, 0, [], [], []
-    if not first:
-        head.append((0, 0))
-    for p in codec.pattern.findall(piece):
-        ids = codec.piece_ids(p)
-        out.append(ids)
-        at, n = at + len(p), n + len(ids) // 4
-        if at <= overlap and not first:
-            head.append((at, n))
-        if not last and chunk <= at <= len(piece) - MARGIN:
-            tail.append((at - chunk, n))
-    return b"".join(out), np.array(head, dtype="<i4").tobytes(), np.array(tail, dtype="<i4").tobytes()
-
-
-def coded_rows(chunks: DataFrame, vocabulary: str, kind: str, chunk: int, overlap: int) -> DataFrame:
-    """(row, key, h, n, k, ids, head, tail) of chunk rows."""
+    pieces = codec.pattern.findall(piece)
+    ids = list(map(codec.piece_ids, pieces))
+    at = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+    n = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) // 4
+    pair = lambda a, b, base: np.stack([at[a:b] - base, n[a:b]], axis=1).astype("<i4").tobytes()
+    head = b"" if first else bytes(8) + pair(0, int(np.searchsorted(at, overlap, side="right")), 0)
+    tail = b"" if last else pair(int(np.searchsorted(at, chunk)), int(np.searchsorted(at, len(piece) - MARGIN, side="right")), chunk)
+    return b"".join(ids), head, tail
+
+
+def coded_rows(rows: DataFrame, whole: bool, vocabulary: str, kind: str, chunk: int, overlap: int) -> DataFrame:
+    """(row, key, h, n, k, ids, head, tail) of chunk rows, or of whole texts that are cut in the same pass; ids in 16 bits if they fit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(vocabulary)
-        for batch in batches:
-            own = [coded(codec, p, k == 0, k == n - 1, chunk, overlap) for p, k, n in zip(batch["piece"], batch["k"], batch["n"], strict=True)]
-            yield batch.drop(columns="piece").assign(ids=[x[0] for x in own], head=[x[1] for x in own], tail=[x[2] for x in own])
+        chunks = cut(batches, chunk, overlap) if whole else (r for batch in batches for r in batch.itertuples(index=False))
+
+        def rows_() -> Iterator[tuple]:
+            for *own, n, k, piece in chunks:
+                ids, head, tail = coded(codec, piece, k == 0, k == n - 1, chunk, overlap)
+                yield *own, n, k, codec.packed(ids), head, tail
+
+        yield from frames(rows_(), [*ROWS, "ids", "head", "tail"])
+
+    return rows.mapInPandas(run, f"row long, key {kind}, h long, n int, k int, ids binary, head binary, tail binary")
+
 
-    return chunks.mapInPandas(run, f"row long, key {kind}, h long, n int, k int, ids binary, head binary, tail binary")
+def chunk_rows(rows: DataFrame, kind: str, chunk: int, overlap: int) -> DataFrame:
+    """(row, key, h, n, k, piece) of rows (row, key, h, n, text)."""
+    return rows.mapInPandas(lambda batches: frames(cut(batches, chunk, overlap), [*ROWS, "piece"]), f"row long, key {kind}, h long, n int, k int, piece string")
 
 
 class Stitcher:
@@ -217,7 +236,7 @@ def stitched(coded_: DataFrame, vocabulary: str, kind: str, keep: bool) -> DataF
                     if text is not None:
                         out.append((*text[1:], *own.done()))
                     text, own = (r.row, r.key, r.h), Stitcher(codec, keep)
-                own.add(r.ids, r.head, r.tail)
+                own.add(codec.unpacked(r.ids), r.head, r.tail)
                 if len(out) >= 500:
                     yield frame()
         if text is not None:
@@ -253,13 +272,13 @@ def encode(
     kind = docs.schema[key].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("h"), chunk_count(F.char_length(text), chunk, overlap).alias("n"), text.alias("text"))
-    near = chunk_rows(rows.where((F.col("n") > 1) & (F.col("n") <= spread)), kind, chunk, overlap)
-    far = chunk_rows(rows.where(F.col("n") > spread), kind, chunk, overlap).repartition("row", "k")
+    near = coded_rows(rows.where((F.col("n") > 1) & (F.col("n") <= spread)), True, vocabulary, kind, chunk, overlap)
+    far = coded_rows(chunk_rows(rows.where(F.col("n") > spread), kind, chunk, overlap).repartition("row", "k"), False, vocabulary, kind, chunk, overlap)
     # rows of the two scans are told apart by their sign
-    both = [coded_rows(x, vocabulary, kind, chunk, overlap).withColumn("row", sign) for x, sign in ((near, F.col("row")), (far, -1 - F.col("row")))]
-    cut = materialize(stitched(both[0].unionByName(both[1]), vocabulary, kind, not digest_only))
-    found = encode_whole(rows.where("n = 1"), vocabulary, kind, not digest_only).unionByName(cut.where("n_tokens is not null").drop("h"))
-    apart = cut.where("n_tokens is null").select(F.col("key").alias("_key"), F.col("h").alias("_h")).distinct()
+    both = near.unionByName(far.withColumn("row", -1 - F.col("row")))
+    joined = materialize(stitched(both, vocabulary, kind, not digest_only))
+    found = encode_whole(rows.where("n = 1"), vocabulary, kind, not digest_only).unionByName(joined.where("n_tokens is not null").drop("h"))
+    apart = joined.where("n_tokens is null").select(F.col("key").alias("_key"), F.col("h").alias("_h")).distinct()
     if not apart.isEmpty():
         same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h"))
         found = found.unionByName(encode_whole(rows.where("n > 1").join(apart, same, "left_semi"), vocabulary, kind, not digest_only))
