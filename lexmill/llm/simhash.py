@@ -220,9 +220,14 @@ def minhashes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_hashes(t) for t in batch["text"]]
-            fps = np.array([signed(fingerprint(t)) for t in batch["text"]], dtype=np.int64)
-            yield pd.DataFrame({"node": batch["node"], "words": [len(x) for x in sets], "sig": [minhash(x) for x in sets], "fp": fps})
+            rows = map(one, batch["text"])  # no text's shingles outlive it
+            out = pd.DataFrame(rows, columns=["words", "sig", "fp"])
+            out.insert(0, "node", batch["node"])
+            yield out
+
+    def one(text: str | None) -> tuple[int, bytes, int]:
+        own = shingle_hashes(text)
+        return len(own), minhash(own), signed(fingerprint(text))
 
     return docs.select("node", "text").mapInPandas(run, "node long, words long, sig binary, fp long")
 
