@@ -1,89 +1,21 @@
-"""Many queries at once: a query set against all rows, in blocks (R1-R3, J12-J14), and many strings in all texts.
-
-Queries are dealt into blocks of bounded size, which are broadcast one after another; rows stay where they lie.
-A task keeps the k best rows of each query of the block, so it sends at most k rows a query, and a window over
-those gives the result. Scores are rounded to 9 digits before they are compared; ties go to the lower id.
-"""
+"""Many queries at once: a query set against all rows (R1-R3, J12-J14), and many strings in all texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators import ivf
+from lexmill.operators import ivf, postings
 from lexmill.operators.filters import compile_filter
+from lexmill.operators.ivf import ranked
 
-#: Numbers in a broadcast block of queries: vector elements, or weighted tokens.
+#: Characters in a broadcast block of strings.
 BLOCK = 1 << 22
-#: Scores that are computed at a time.
-TILE = 1 << 20
-DIGITS = 9
-
-
-def blocks(queries: DataFrame, size: DataFrame) -> list[DataFrame]:
-    """queries in parts of about BLOCK numbers; size: one row with the number of all numbers (null: none)."""
-    n = max(1, -(-(size.first()[0] or 0) // BLOCK))
-    return [queries.where(F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(n)) == k) for k in range(n)]
-
-
-class Best:
-    """The k best (query, id) by score, then id, of those added so far."""
-
-    def __init__(self, k: int):
-        self.k, self.rows = k, []
-
-    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        self.rows.append((query, ids, score))
-        if sum(len(r[0]) for r in self.rows) > 4 * TILE:
-            self.rows = [self.cut()]
-
-    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, ids, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
-        first = np.searchsorted(query, query, side="left")
-        kept = np.arange(len(query)) - first < self.k
-        return query[kept], ids[kept], score[kept]
-
-
-def most(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, column) of each row's k greatest scores that are numbers, ties included."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        return np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-    return np.nonzero(scores > -np.inf)
-
-
-def ranked(parts: list[DataFrame], k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k best rows of each query."""
-    rows = reduce(DataFrame.unionByName, parts)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", place).where(F.col("rank") <= k)
-
-
-def best_rows(rows: DataFrame, ids: list, score: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]], k: int, kind: str) -> DataFrame:
-    """(query_id, id, score): each task's k best rows of each of ids; score gives (first row, queries by rows) tiles of a batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = Best(k)
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = np.array(batch["id"].tolist())
-            for at, tile in score(batch):
-                query, place = most(tile, k)
-                best.add(query, own[at + place], tile[query, place])
-        if best.rows:
-            query, own, value = best.cut()
-            yield pd.DataFrame({"query_id": pd.Series([ids[q] for q in query], dtype=object), "id": own.tolist(), "score": value})
-
-    return rows.mapInPandas(run, f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def dense(points: DataFrame, queries: DataFrame, k: int = 50, filters: dict | None = None, threshold: float | None = None, exact: bool = True) -> DataFrame:
@@ -107,67 +39,18 @@ def word_vectors(docs: DataFrame, words: Column) -> DataFrame:
 
 
 def sparse(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """J12 for many queries: (query_id, id, score, rank) by the sum of products of vectors (id, t, w) and (query_id, token, weight).
+    """J12 for many queries: (query_id, id, score, rank) by the sum of products of vectors (id, t, w) and (query_id, token, weight), by posting lists.
 
     Only rows that share a token are candidates. A token may come more than once in a vector; its weights add up.
     """
-    tokens = asked.select("query_id", F.xxhash64("token").alias("t"), F.col("weight").cast("double").alias("w"))
-    kind = asked.schema["query_id"].dataType.simpleString()
-
-    def one(block: DataFrame) -> DataFrame:
-        got = block.collect()  # about BLOCK tokens
-        ids = sorted({r.query_id for r in got}, key=lambda x: (x is None, x))
-        place = {x: n for n, x in enumerate(ids)}
-        token = np.array([r.t for r in got], dtype=np.int64)
-        order = np.argsort(token, kind="stable")
-        query = np.array([place[r.query_id] for r in got], dtype=np.int64)[order]
-        shared = rows.sparkSession.sparkContext.broadcast((token[order], query, np.array([r.w for r in got], dtype=np.float64)[order]))
-
-        def score(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-            token, query, weight = shared.value
-            known = np.unique(token)
-            tokens_of = [np.zeros(0, np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in batch["t"]]  # a null text has none
-            size = np.array([len(x) for x in tokens_of], dtype=np.int64)
-            step = max(1, TILE // max(1, len(ids)))
-            for at in range(0, len(batch), step):
-                n = size[at : at + step]
-                own = np.concatenate([np.zeros(0, np.int64), *tokens_of[at : at + step]])
-                mine = np.concatenate([np.zeros(0), *(np.ones(m) if x is None else np.asarray(x, dtype=np.float64) for x, m in zip(batch["w"].iloc[at : at + step], n, strict=True))])
-                own, row, mine = summed(own, np.repeat(np.arange(len(n)), n), mine, known)
-                first, end = np.searchsorted(token, own, side="left"), np.searchsorted(token, own, side="right")
-                met = np.concatenate([[0], np.cumsum(end - first)])
-                total, shares = np.zeros(len(ids) * len(n)), np.zeros(len(ids) * len(n), dtype=bool)
-                a = 0
-                while a < len(own):  # about TILE products at a time
-                    b = max(a + 1, int(np.searchsorted(met, met[a] + TILE, side="right")) - 1)
-                    reach = end[a:b] - first[a:b]
-                    entry = np.repeat(first[a:b] - (met[a:b] - met[a]), reach) + np.arange(met[b] - met[a])
-                    cell = query[entry] * len(n) + np.repeat(row[a:b], reach)
-                    total += np.bincount(cell, weight[entry] * np.repeat(mine[a:b], reach), len(total))
-                    shares[cell] = True
-                    a = b
-                yield at, np.where(shares, total.round(DIGITS), -np.inf).reshape(len(ids), len(n))
-
-        return best_rows(rows, ids, score, k, kind)
-
-    return ranked([one(b) for b in blocks(tokens, tokens.agg(F.count("*")))], k)
-
-
-def summed(token: np.ndarray, row: np.ndarray, weight: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known tokens by token and row, the weights of equal ones added up."""
-    at = np.searchsorted(known, token)
-    there = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == token) if len(known) else np.zeros(0, np.int64)
-    key = at[there] * (int(row.max(initial=0)) + 1) + row[there]
-    keys, back = np.unique(key, return_inverse=True)
-    first = np.zeros(len(keys), dtype=np.int64)
-    first[back] = there
-    return token[first], row[first], np.bincount(back, weight[there], len(keys))
+    tokens = asked.select("query_id", F.xxhash64("token").alias("t"), F.col("weight").cast("double").alias("w")).where("token is not null")
+    return postings.Postings(rows).search(tokens, k)
 
 
 def fuse(lists: list[DataFrame], k: int, score) -> DataFrame:
     """J14 for many queries: (query_id, id, score, rank) of ranked lists; score: a rank's share."""
     rows = reduce(DataFrame.unionByName, [x.select("query_id", "id", score(F.col("rank")).alias("share")) for x in lists])
-    return ranked([rows.groupBy("query_id", "id").agg(F.round(F.sum("share"), 12).alias("score"))], k)
+    return ranked(rows.groupBy("query_id", "id").agg(F.round(F.sum("share"), 12).alias("score")), k)
 
 
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:

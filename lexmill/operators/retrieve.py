@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import vector, vocab
+from lexmill.functions import text, vector, vocab
 from lexmill.operators import many
 from lexmill.operators.filters import active_only, compile_filter, is_ordinance
+from lexmill.sources.shared import landed
 
 
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
@@ -25,9 +26,9 @@ def top(rows: DataFrame, k: int, score: str = "score", key: str = "id") -> DataF
 
 
 def dense(points: DataFrame, query: list[float], k: int = 50, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
-    """Cosine of every row's `dense` to the query; the filter and the threshold come before the top-k."""
+    """Cosine of every row's `dense` to the query; the filter and the threshold come before the top-k. Rows without a score are no candidates."""
     q = F.array(*map(F.lit, map(float, query)))
-    rows = points.where(compile_filter(filters)).withColumn("score", vector.cosine(F.col("dense"), q))
+    rows = points.where(compile_filter(filters)).withColumn("score", vector.cosine(F.col("dense"), q)).where("score is not null")
     return top(rows if threshold is None else rows.where(F.col("score") >= threshold), k)
 
 
@@ -130,7 +131,7 @@ def shown(rows: DataFrame, key: str, words: str, most: int = 15, by: str | None
     return out if by else out.drop("_one")
 
 
-def boost(rows: DataFrame, canton: str | None, by: str | None = None) -> DataFrame:
+def boost(rows: DataFrame, canton: str | Column | None, by: str | None = None) -> DataFrame:
     """Boosted score, and a stable rank by it."""
     if canton is None:
         return rows
@@ -254,7 +255,65 @@ def lane_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, asked:
     return refined(light.drop("dense", "query_dense"), F.col("query_text"), now_year, kind, top_k, canton, active, "query_id", texts)
 
 
-def refined(rows: DataFrame, question: str | Column, now_year: int, kind: str, top_k: int, canton: str | None, active: DataFrame | None, by: str | None = None, texts: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def shared_lanes(dense: DataFrame, sparse: DataFrame, kinds: list[str]) -> DataFrame:
+    """(query_id, id, score, rank, lane) of R7-R9's hybrid candidates from one dense and one sparse list.
+
+    A lane of k candidates fuses the first 2k rows of either list, so lanes differ in what they cut off, not in what is searched.
+    """
+    both = dense.select("query_id", "id", "rank").unionByName(sparse.select("query_id", "id", "rank"))
+    share = lambda kind: F.sum(F.when(F.col("rank") <= 2 * vocab.LANES[kind]["hybrid"], vector.rrf(F.col("rank"))))
+    fused = both.groupBy("query_id", "id").agg(*(F.round(share(kind), 12).alias(kind) for kind in kinds))
+    each = fused.select("query_id", "id", F.explode(F.array(*(F.struct(F.lit(kind).alias("lane"), F.col(kind).alias("score"), F.lit(vocab.LANES[kind]["hybrid"]).alias("_k")) for kind in kinds))).alias("x"))
+    each = each.select("query_id", "id", "x.*").where("score is not null")
+    place = F.row_number().over(Window.partitionBy("query_id", "lane").orderBy(F.desc("score"), "id"))
+    return each.withColumn("rank", place).where(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def questions(queries: DataFrame) -> DataFrame:
+    """R11's first steps: queries with language and canton (F4), and the expanded question that is encoded (F3); the question itself reranks."""
+    return queries.withColumns({"query_language": text.query_language("query_text"), "query_canton": text.query_canton("query_text"), "expanded": text.expand_query("query_text")})
+
+
+def dossier_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, collections: dict[str, dict], now_year: int, top_k: int = 10) -> DataFrame:
+    """Up to 250 hybrid rows of each collection (scope: its filter), the best 500 of all, MMR, reranking, best row of each document.
+
+    An empty collection adds nothing. needs_enrichment: whole documents are fetched where they can be decrypted.
+    """
+    found = None
+    for scope, only in collections.items():
+        kept = points.where(compile_filter(only))
+        lists = [many.dense(kept, queries, 500), many.sparse(vectors.join(kept.select("id"), "id", "left_semi"), asked, 500)]
+        rows = many.fuse(lists, 250, vector.rrf).withColumn("scope", F.lit(scope))
+        found = rows if found is None else found.unionByName(rows)
+    first = first_rows(found.drop("rank"), vocab.FINAL["dossier_top"], "query_id", F.desc("score"), "id")
+    rows = payload(points.drop("text", "dense"), first, queries.select("query_id"))
+    rows = mmr(rows, 100, vocab.FINAL["mmr_lambda"], by="query_id")
+    rows = rows.join(points.select("id", "text"), "id").join(queries.select("query_id", "query_text"), "query_id")
+    rows = rerank(rows, F.col("query_text"), 100, now_year, by="query_id")
+    return dedupe(rows, "doc_key", top_k, "query_id").withColumn("needs_enrichment", F.lit(True))
+
+
+def search_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, collections: dict[str, dict], now_year: int, top_k: int = 10, active: DataFrame | None = None) -> DataFrame:
+    """R11 for each of queries (query_id, query_dense, query_text): the library, statutes, ordinances and dossier lanes with confidences.
+
+    points and vectors are searched once for three lanes; the dossiers' collections are parts of them.
+    """
+    queries = landed(questions(queries))
+    asked = landed(postings(queries.select("query_id", F.col("expanded").alias("text")), "query_id"))
+    kinds = ["library", "laws", "ordinances"]
+    most = 2 * max(vocab.LANES[kind]["hybrid"] for kind in kinds)
+    lists = landed(shared_lanes(many.dense(points, queries, most), many.sparse(vectors, asked, most), kinds))
+    light = points.drop("text", "dense")
+    texts = lambda rows: rows.join(points.select("id", "text"), "id").join(queries.select("query_id", "query_text"), "query_id")
+    lanes = {}
+    for kind in kinds:
+        rows = payload(light, lists.where(F.col("lane") == kind).drop("lane"), queries.select("query_id", "query_canton"))
+        lanes[kind] = refined(rows, F.col("query_text"), now_year, kind, top_k, F.col("query_canton"), active, "query_id", texts)
+    lanes["dossier"] = dossier_many(points, vectors, queries, asked, collections, now_year, top_k)
+    return search(lanes, "query_id")
+
+
+def refined(rows: DataFrame, question: str | Column, now_year: int, kind: str, top_k: int, canton: str | Column | None, active: DataFrame | None, by: str | None = None, texts: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """What lanes do with their candidates; texts adds what only reranking needs."""
     size = vocab.LANES[kind]
     statutes = kind != "library"

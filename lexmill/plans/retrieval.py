@@ -172,15 +172,23 @@ def r7(s, d):
     return rows.select("query_id", "id", "doc_key", "rank", F.round("final_score", 6).alias("final_score"))
 
 
+COLLECTIONS = {"user": {"court": "C1"}, "firm": {"court": "C2"}}
+
+
 @query("r11_search")
 def r11(s, d):
-    """The library lane, statutes and ordinances of each query in one ranked result with confidences."""
-    # the lanes read the query set several times, so it is written once
-    p, x, q, w = points(s, d), vectors(s, d), landed(asked(s, d)), landed(asked_tokens(s, d))
+    """All four lanes of each query; the questions tell canton and expansion themselves."""
     active = table(s, d, "labels").select(F.concat(F.lit("SR "), (F.col("doc_id") % 10).cast("string")).alias("sr_number"))
-    place = s.range(1).select(text.query_canton(F.lit("licenza edilizia in Ticino")).alias("c")).first().c
-    lanes = {k: retrieve.lane_many(p, x, q, w, NOW, k, 10, None, place, active) for k in ("library", "laws", "ordinances")}
-    return retrieve.search(lanes, "query_id").withColumn("final_score", F.round("final_score", 6))
+    found = retrieve.search_many(points(s, d), vectors(s, d), asked(s, d), COLLECTIONS, NOW, 10, active)
+    return found.withColumn("final_score", F.round("final_score", 6))
+
+
+@query("r10_dossier_lane")
+def r10_lane(s, d):
+    """Hybrid rows of the user's and the firm's collections, diverse, reranked, one a document."""
+    queries = asked(s, d)
+    found = retrieve.dossier_many(points(s, d), vectors(s, d), queries, asked_tokens(s, d), COLLECTIONS, NOW)
+    return found.select("query_id", "id", "rank", "scope", F.round("final_score", 6).alias("final_score"), "needs_enrichment")
 
 
 DOSSIERS = f"SELECT * FROM {best(250, "AND p.canton = 'TI'")} UNION ALL SELECT * FROM {best(250, "AND p.canton = 'ZH'")}"

@@ -1,13 +1,14 @@
 """Many queries at once against brute force, and against one query at a time."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import ivf, many, retrieve
+from lexmill.operators import ivf, many, postings, retrieve
 
 SCHEMA = "id long, dense array<float>, text string, lang string, source string, sr_number string, doc_key string, court string, year int, canton string, sr_name string"
 
@@ -56,13 +57,14 @@ def test_dense(data, monkeypatch, lists, block, group, tile):
         assert got == want
 
 
-@pytest.mark.parametrize("block,tile", [(1 << 22, 1 << 20), (9, 7)])
+@pytest.mark.parametrize("block,group,tile", [(postings.BLOCK_ROWS, postings.QUERY_ROWS, postings.TILE), (3, 2, 7)])
 @pytest.mark.parametrize("gathered", [True, False])
-def test_sparse(data, monkeypatch, block, tile, gathered):
+def test_sparse(data, monkeypatch, block, group, tile, gathered):
+    """Few blocks or many of them, whole or by small tiles: the rows of all pairs."""
     rows, p, _, posts, asked = data
     rows_ = many.vectors(posts) if gathered else retrieve.word_vectors(p)
-    monkeypatch.setattr(many, "BLOCK", block)
-    monkeypatch.setattr(many, "TILE", tile)
+    for name, value in (("BLOCK_ROWS", block), ("QUERY_ROWS", group), ("TILE", tile)):
+        monkeypatch.setattr(postings, name, value)
     got = {(r.query_id, r["rank"]): (r.id, r.score) for r in many.sparse(rows_, asked, 9).collect()}
     bags, want = {r[0]: Counter(r[2].split()) for r in rows}, {}
     for query in range(0, len(rows), 50):
@@ -145,3 +147,33 @@ def test_recall_of_the_nearest_lists(spark, monkeypatch):
             got.setdefault(r.query_id, set()).add(r.id)
         recall = np.mean([len(got[i] & want[i]) / 10 for i in want])
         assert recall >= least
+
+
+def test_search_is_that_of_single_queries(spark, data):
+    """All four lanes, row by row: expanded questions are searched, the questions themselves rerank, each has its own canton."""
+    rows, p, q, posts, _ = data
+    told = {0: "w1 w3 un permesso edilizia in ticino", 50: "w2 Kündigung der Wohnung in Zürich w5", 100: "w1 w2 w4"}
+    asked = spark.createDataFrame([(i, [float(x) for x in rows[i][1]], t) for i, t in told.items()], "query_id long, query_dense array<float>, query_text string")
+    active = p.select("sr_number").where("sr_number != 'SR 3'")
+    collections = {"user": {"court": "C1"}, "firm": {"court": "C2"}, "none": {"court": "nowhere"}}
+    got = {}
+    for r in retrieve.search_many(p, retrieve.word_vectors(p), asked, collections, 2026, 7, active).collect():
+        got.setdefault((r.query_id, r.lane), []).append((r["rank"], r.id, round(r.final_score, 9)))
+    seen = {r.query_id: r for r in retrieve.questions(asked).collect()}
+    assert seen[0].query_canton == "TI" and any(r.expanded != r.query_text for r in seen.values())
+    for i, question in told.items():
+        v, tokens = [float(np.float32(x)) for x in rows[i][1]], dict(Counter(words(seen[i].expanded)))
+        for kind in ("library", "laws", "ordinances"):
+            one = retrieve.lane(p, posts, v, tokens, question, 2026, kind, 7, None, seen[i].query_canton, active).collect()
+            assert sorted(got[i, kind]) == sorted((r["rank"], r.id, round(r.final_score, 9)) for r in one)
+        both = None
+        for only in ("C1", "C2"):
+            arm = retrieve.hybrid(p, posts, v, tokens, 250, {"court": only}).drop("rank")
+            both = arm if both is None else both.unionByName(arm)
+        best = retrieve.mmr(retrieve.first_rows(both, 500, None, F.desc("score"), "id").drop("dense"), 100, 0.98)
+        one = retrieve.dedupe(retrieve.rerank(best, question, 100, 2026), "doc_key", 7).collect()
+        assert sorted(got[i, "dossier"]) == sorted((r["rank"], r.id, round(r.final_score, 9)) for r in one)
+
+
+def words(t):
+    return re.findall(r"\w+", t.lower())
