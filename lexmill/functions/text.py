@@ -385,14 +385,6 @@ def pieces(c: C, n: int = 16, inner: bool = False) -> Column:
     return F.filter(F.regexp_extract_all(col(c), F.lit(rf"(?s)(?=({before}\S.{{{n - 1}}}))."), F.lit(1)), lambda x: x != "")
 
 
-def judges(c: C) -> Column:
-    """up to six names after the bench's heading, without role words."""
-    bench = F.coalesce(found(c, r"(?isu)(?:Besetzung|Composition|Composizione)\s*:?\s*(.+?)(?:\.\s|\n\n|$)"), found(c, r"(?isu)composta dai giudici\s*:?\s*(.+?)(?:\n|$)"), F.lit(""))
-    plain = F.regexp_replace(bench, r"(?iu)\b(?:Bundesrichter(?:in)?(?:nen)?|Richter(?:in)?|Juges?|Giudic[ei]|MM\.|Mmes?|Präsident(?:in)?|président(?:e)?|presidente|Gerichtsschreiber(?:in)?.*|greffi(?:er|ère).*|segretari[oa].*|Vorsitz)\b", "")
-    names = F.transform(F.split(plain, r"(?iu)[,;\n]|\s+(?:et|und|e)\s+"), lambda x: strip(F.regexp_replace(x, r"[.\s]+$", "")))
-    return F.slice(F.array_distinct(F.filter(names, lambda x: x.rlike(r"^\p{Lu}[\p{L}'\- .]{1,40}$"))), 1, 6)
-
-
 def shown_text(regeste: C, facts: C, reasoning: C, preview: C, most: int = 250) -> Column:
     """the headnote unless it is a court's header, else the beginning of the facts, of the reasoning without its header, or the preview."""
     filled = lambda c: F.coalesce(col(c), F.lit("")) != ""

@@ -1,69 +1,89 @@
-"""Statutes' text to articles with their hierarchy (C6, W7-W9), by windows over lines."""
+"""Statutes' text to articles with their hierarchy (C6, W7-W9), by one pass over each text's lines.
+
+A text is one row, so its lines are folded where it lies and none is exchanged: the fold keeps the headings above the
+line and the article that is open. A heading voids those below its level; an article ends where the next begins.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip
 
 # fixed values: headings by language (German, French, Italian)
-PART = r"(?iu)^(?:(\d+)\.\s*Teil|Partie\s+(\d+)|Parte\s+(\d+))[:\s]+(.+)$"
-TITLE = r"(?iu)^(?:(\d+)\.\s*Titel|Titre\s+(\d+)[eè]?|Titolo\s+(\d+)[oº]?)[:\s]+(.+)$"
-CHAPTER = r"(?iu)^(?:(\d+)\.\s*Kapitel|Chapitre\s+(\d+)[eè]?|Capitolo\s+(\d+)[oº]?)[:\s]+(.+)$"
-SECTION = r"(?iu)^(?:(?:(\d+)\.\s*)?Abschnitt|Section\s+(\d+)?|Sezione\s+(\d+)?)[:\s]+(.+)$"
-ARTICLE = r"^Art\.\s*(\d+[a-z]?(?:bis|ter|quater|quinquies)?)(?:\s+(.+))?$"
+PART = r"^(?:(\d+)\.\s*Teil|Partie\s+(\d+)|Parte\s+(\d+))[:\s]+(.+)$"
+TITLE = r"^(?:(\d+)\.\s*Titel|Titre\s+(\d+)[eè]?|Titolo\s+(\d+)[oº]?)[:\s]+(.+)$"
+CHAPTER = r"^(?:(\d+)\.\s*Kapitel|Chapitre\s+(\d+)[eè]?|Capitolo\s+(\d+)[oº]?)[:\s]+(.+)$"
+SECTION = r"^(?:(?:(\d+)\.\s*)?Abschnitt|Section\s+(\d+)?|Sezione\s+(\d+)?)[:\s]+(.+)$"
+ARTICLE = re.compile(r"^Art\.\s*(\d+[a-z]?(?:bis|ter|quater|quinquies)?)(?:\s+(.+))?$", re.ASCII)
 LEVELS = [("part", PART, "Teil"), ("title", TITLE, "Titel"), ("chapter", CHAPTER, "Kapitel"), ("section", SECTION, "Abschnitt")]
+RULES = [re.compile(p, re.IGNORECASE) for _, p, _ in LEVELS]
+NUMBERED = re.compile("^[0-9¹²³]+")
+#: White space that strip() takes off.
+BLANKS = " \t\n\x0b\f\r"
+ARTICLES = "array<struct<article_number:string,article_title:string,part:string,title:string,chapter:string,section:string,start_line:int,end_line:int,article_text:string>>"
+
+
+def heading(line: str) -> tuple[int, str] | None:
+    """(level, what is shown of it) of a heading."""
+    for level, rule in enumerate(RULES):
+        if m := rule.match(line):
+            number, word = next((x for x in m.groups()[:3] if x), None), LEVELS[level][2]
+            if level < 3:
+                return level, None if number is None else f"{number}. {word}: {m[4]}"
+            return level, f"{word}: {m[4]}" if number is None else f"{word} {number}: {m[4]}"
+    return None
+
+
+def folded(text: str) -> Iterator[tuple]:
+    """The articles of a text, in order."""
+    lines = [x.strip(BLANKS) for x in text.split("\n")]
+    above: list[str | None] = [None] * len(LEVELS)
+    head, first = None, 0
 
+    def article(end: int) -> tuple:
+        number, title, own, levels, start = head
+        return (number, title, *levels, start, end, "\n".join(lines[first:end]).strip("\n").strip(BLANKS))
 
-def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", strip("line"))
+    for at, line in enumerate(lines):
+        if (found := heading(line)) and found[1] is not None:
+            above = [*above[: found[0]], found[1], *[None] * (len(LEVELS) - found[0] - 1)]
+        if m := ARTICLE.match(line):
+            if head:
+                yield article(at)
+            ahead = lines[at + 1] if at + 1 < len(lines) else ""
+            below = ahead if ahead and not m[2] and not NUMBERED.match(ahead) and not ahead.startswith("Art.") else None
+            head, first = (m[1], m[2] or below, below is not None, list(above), at), at + 1 + (below is not None)
+    if head:
+        yield article(len(lines))
 
 
-def hierarchy(rows: DataFrame, key: str) -> DataFrame:
-    """Each line with the headings above it; a heading resets those below its level."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    for name, pattern, word in LEVELS:
-        number = F.coalesce(*(F.nullif(F.regexp_extract("line", pattern, k), F.lit("")) for k in (1, 2, 3)))
-        label = F.regexp_extract("line", pattern, 4)
-        own = F.concat(number, F.lit(f". {word}: "), label) if name != "section" else F.when(number.isNull(), F.concat(F.lit("Abschnitt: "), label)).otherwise(F.concat(F.lit("Abschnitt "), number, F.lit(": "), label))
-        rows = rows.withColumn(f"_{name}", F.when(F.col("line").rlike(pattern), own))
-    above = None
-    for name, *_ in LEVELS:
-        # the place of the latest heading of a higher level; an older one of this level is void
-        last = F.last(F.when(F.col(f"_{name}").isNotNull(), F.struct("line_no", F.col(f"_{name}").alias("v"))), True).over(w)
-        rows = rows.withColumn(f"_l_{name}", last)
-        value = F.col(f"_l_{name}.v")
-        place = F.col(f"_l_{name}.line_no")
-        rows = rows.withColumn(name, value if above is None else F.when(above.isNull() | (place > above), value))
-        above = place if above is None else F.greatest(above, place)
-    return rows.drop(*(f"_{n}" for n, *_ in LEVELS), *(f"_l_{n}" for n, *_ in LEVELS))
+def articles_of(c: Column) -> Column:
+    """The articles of a text as an array."""
+
+    @F.pandas_udf(ARTICLES)
+    def run(texts: pd.Series) -> pd.Series:
+        names = [x.split(":")[0] for x in ARTICLES[13:-2].split(",")]
+        return pd.Series([None if t is None else [dict(zip(names, a, strict=True)) for a in folded(t)] for t in texts], dtype=object)
+
+    return run(c)
 
 
 def articles(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, article_number, article_title, part, title, chapter, section, start_line, end_line, article_text)."""
-    rows = hierarchy(lines(df, key, text), key)
-    by_line = Window.partitionBy(key).orderBy("line_no")
-    ahead = F.lead("line").over(by_line)
-    inline = F.nullif(F.regexp_extract("line", ARTICLE, 2), F.lit(""))
-    heading = F.when((ahead != "") & ~ahead.rlike("^[0-9¹²³]+") & ~ahead.startswith("Art."), ahead)
-    is_article = F.col("line").rlike(ARTICLE)
-    rows = rows.withColumns({
-        "article_number": F.when(is_article, F.regexp_extract("line", ARTICLE, 1)),
-        "article_title": F.when(is_article, F.coalesce(inline, heading)),
-        "_own_line": F.when(is_article, F.when(inline.isNull() & heading.isNotNull(), 2).otherwise(1)),
-    })
-    number = F.sum(is_article.cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_n", number).where("_n > 0")
-    # an article's lines are one group of (key, _n): sorted and joined there
-    body = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    first = lambda c: F.min_by(c, "line_no").alias(c)
-    got = rows.groupBy(key, "_n").agg(*(first(c) for c in ("article_number", "article_title", "part", "title", "chapter", "section", "_own_line")), F.min("line_no").alias("start_line"), (F.max("line_no") + 1).alias("end_line"), body.alias("_body"))
-    text_ = F.array_join(F.transform(F.slice("_body", F.col("_own_line") + 1, F.size("_body")), lambda x: x["line"]), "\n")
-    return got.withColumn("article_text", strip(F.regexp_replace(text_, r"^\n+|\n+$", ""))).drop("_n", "_body", "_own_line")
-
-
-def paragraphs(c, most: int = 500):
+    """(key, article_number, article_title, part, title, chapter, section, start_line, end_line, article_text); null texts have none.
+
+    Only texts with a line that begins like an article leave the JVM.
+    """
+    some = F.when(F.col(text).rlike(r"(?m)^\s*Art\."), F.col(text))
+    return df.select(key, F.explode(articles_of(some)).alias("x")).select(key, "x.*")
+
+
+def paragraphs(c: Column, most: int = 500) -> Column:
     """The article's parts if it is over `most` words: numbered ones, else lettered ones, else those between blank lines."""
     from lexmill.operators.chunk import n_words, pack
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import more, relational, rest, retrieval, streams, texts  # noqa: F401
+from lexmill.plans import derived, more, relational, rest, retrieval, streams, texts  # noqa: F401
 from lexmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -157,12 +157,6 @@ def w12(s, d):
     return table(s, d, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 2").select("conv_id", "turn", F.substring("text", 1, 500).alias("content"))
 
 
-@query("f22_f23_judges")
-def f22(s, d):
-    rows = [("Besetzung: Bundesrichter Müller, Präsident, Meier und Kunz, Gerichtsschreiber Hug.",), ("composta dai giudici Rossi, Bianchi e Verdi\nsegretario",), ("nichts",)]
-    return s.createDataFrame(rows, "t string").select(text.judges("t").alias("judges"))
-
-
 @query("f33_f36_formats", "SELECT doc_id, '## Decision ' || doc_id || chr(10) || chr(10) || 'Language: ' || lang || chr(10) || chr(10) || text AS block FROM documents")
 def f33(s, d):
     n = F.col("doc_id").cast("string")

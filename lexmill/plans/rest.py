@@ -81,13 +81,6 @@ def v1(s, d):
     return table(s, d, "documents").transform(build)
 
 
-@query("v2_s7_parse_laws")
-def v2(s, d):
-    law = "1. Titel: Anfang\n12 / 40\nArt. 1 Zweck\nDieses Gesetz regelt\nArt. 2\nGeltung"
-    rows = s.createDataFrame([("220", "SR_220_de.pdf", law), ("101", "SR_101_de.pdf", None)], "id string, file_name string, text string")
-    return parsers.parse(rows, "law")
-
-
 @query("v2_parse_decisions")
 def v2_decisions(s, d):
     """Every document as a decision of the common schema."""
@@ -131,12 +124,6 @@ def f39(s, d):
     return table(s, d, "part").select("p_partkey", text.shown_text(regeste, F.when(size % 2 == 0, F.col("p_type")).otherwise(""), F.concat(F.lit("Erwägungen I\n"), "p_brand"), F.lit("")).alias("shown"))
 
 
-@query("f40_logged_names", "SELECT * FROM (VALUES (1, 'CH_BGer/Zürich_1.html'), (2, 'ti/plain.html'), (3, 'ti/bad\\u00zz'), (4, 'a/b.html')) t(id, name)")
-def f40(s, d):
-    rows = [(1, "CH_BGer\\u002fZ\\u00fcrich_1.html"), (2, " plain.html "), (3, "bad\\u00zz"), (4, "a/b.html")]
-    return s.createDataFrame(rows, "id int, raw string").select("id", text.logged_name("raw", F.lit("ti")).alias("name"))
-
-
 @query("f53_st8_year_window", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1990 WHEN datediff('day', o_orderdate, TIMESTAMP '1998-08-02') <= 30 THEN 1996 ELSE 1993 END AS first_year, 1998 AS last_year FROM orders")
 def f53(s, d):
     rows = table(s, d, "orders").withColumn("last_run", F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")))

@@ -1,11 +1,11 @@
-"""Text functions, parsing, chunking and personal data over documents, pages and literals (F*, C*, X*, S*)."""
+"""Text functions, parsing, chunking and personal data over documents and pages (F*, C*, X*, S*)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lexmill.functions import pii, text, vocab
-from lexmill.operators import articles, chunk
+from lexmill.operators import chunk
 from lexmill.plans.registry import documents, pages, query, table
 
 
@@ -21,8 +21,6 @@ def case(table_: dict, c="t", default="NULL") -> str:
     return "CASE " + " ".join(f"WHEN {either(ws, c)} THEN {sql(k)}" for k, ws in table_.items()) + f" ELSE {default} END"
 
 
-def literals(s, rows, schema):
-    return s.createDataFrame(rows, schema)
 
 
 SQUEEZED = r"trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'))"
@@ -44,28 +42,12 @@ def f7(s, d):
     return documents(s, d).select("doc_id", text.preview_law("text").alias("preview"))
 
 
-IDS = ["BGE-102-IA-35_chunk_2", "BGer 001 1C-346-2008 2009-02-20 chunk 2", "  a  b ", "", "X_chunk_1_chunk_2", "Chunk 7", "é--–- --x"]
-
-
-@query("f1_normalize_decision_id", "SELECT * FROM (VALUES ('BGE-102-IA-35_chunk_2', 'BGE-102-IA-35'), ('BGer 001 1C-346-2008 2009-02-20 chunk 2', 'BGER-001-1C-346-2008-2009-02-20'), ('  a  b ', 'A-B'), ('', ''), ('X_chunk_1_chunk_2', 'X'), ('Chunk 7', 'CHUNK-7'), ('é--–- --x', 'É-–--X')) t(raw, id)")
-def f1(s, d):
-    return literals(s, [(x,) for x in IDS], "raw string").select("raw", text.normalize_decision_id("raw").alias("id"))
-
-
 @query("f2_document_key", "SELECT p_partkey, coalesce(CASE WHEN p_size < 10 THEN p_brand END, CASE WHEN p_size < 20 THEN upper(replace(p_name, ' ', '-')) END, CASE WHEN p_size < 30 THEN p_type END, CAST(p_partkey AS VARCHAR)) AS doc_key FROM part")
 def f2(s, d):
     at = lambda n, c: F.when(F.col("p_size") < n, F.col(c)).otherwise("")
     return table(s, d, "part").select("p_partkey", text.document_key(at(10, "p_brand"), at(20, "p_name"), at(30, "p_type"), F.lit(""), F.col("p_partkey").cast("string")).alias("doc_key"))
 
 
-QUESTIONS = ["Quale licenza edilizia serve in Ticino?", "Kündigung der Arbeit in Zürich", "Quelle est la loi sur le contrat de travail à Genève", "divorce", "hello", "", "Wie ist das Gesetz"]
-
-
-@query("f3_expand_query")
-def f3(s, d):
-    return literals(s, [(q,) for q in QUESTIONS], "q string").select("q", text.expand_query("q").alias("expanded"))
-
-
 def count_of(words):
     return " + ".join(f"CAST(contains(lower(text), {sql(w)}) AS INT)" for w in words)
 
@@ -86,12 +68,6 @@ def f10(s, d):
     return documents(s, d).select("doc_id", text.clean_law("text").alias("cleaned"))
 
 
-@query("f11_f12_law_text")
-def f11(s, d):
-    rows = [("SR 220\n12 / 40\nBundesgesetz über das Obligationenrecht\nArt. 123a756 Zweck", "Text¹² hier. Fassung gemäss Ziff. I\nweiter\nSR 220")]
-    return literals(s, rows, "law string, article string").select(text.law_name("law").alias("name"), text.clean_law("law").alias("law"), text.clean_article("article").alias("article"))
-
-
 @query("f13_law_type", "SELECT p_partkey, CASE WHEN p_partkey < 100 THEN 'international' WHEN p_partkey < 200 THEN 'constitutional' WHEN p_partkey < 300 THEN 'civil' WHEN p_partkey < 400 THEN 'criminal' WHEN p_partkey < 500 THEN 'education' WHEN p_partkey < 600 THEN 'defense' WHEN p_partkey < 700 THEN 'finance' WHEN p_partkey < 800 THEN 'infrastructure' WHEN p_partkey < 900 THEN 'social' WHEN p_partkey < 1000 THEN 'economic' ELSE 'other' END AS law_type FROM part")
 def f13(s, d):
     return table(s, d, "part").select("p_partkey", text.law_type(F.concat(F.col("p_partkey").cast("string"), F.lit(".0"))).alias("law_type"))
@@ -108,26 +84,6 @@ def f15(s, d):
     return table(s, d, "part").select("p_partkey", text.hierarchy_path("p_name", F.when(F.col("p_size") < 20, F.col("p_type")), F.col("p_brand"), none, none, F.col("p_size").cast("string")).alias("path"))
 
 
-@query("f16_f17_article_refs", r"SELECT o_orderkey, ['22bis', '7a'] AS refs, 'SR_' || replace(CAST(o_orderkey AS VARCHAR) || '.1', '.', '_') || '_Art_7a_p2_de' AS id FROM orders")
-def f16(s, d):
-    body = F.lit("Art. 7a und Art.22bis, Art. 7a")
-    return table(s, d, "orders").select("o_orderkey", text.article_refs(body).alias("refs"), text.article_id(F.concat(F.col("o_orderkey").cast("string"), F.lit(".1")), F.lit("7a"), F.lit(2), F.lit("de")).alias("id"))
-
-
-JUDGMENTS = [
-    ("de", "Kopf BGE 140 III 348\nSachverhalt:\nA. Gegen das Urteil des Obergerichts Zürich vom 3. März 2020. Art. 337 OR.\nErwägung:\n1. Art. 10, 11 und 12 StGB; 6B_123/2020.\nDemnach erkennt das Gericht:\nDie Beschwerde wird abgewiesen."),
-    ("fr", "Regeste x\nFaits:\nun fait le 5 mai 2019\nEn droit:\nATF 132 I 12, art. 4 et 5 LAA\nPar ces motifs:\nle recours est admis"),
-    ("it", "nulla qui"),
-    ("de", "I. eins\nII. zwei\nIII. drei"),
-]
-
-
-@query("f18_f30_parse_judgments")
-def f18(s, d):
-    rows = literals(s, JUDGMENTS, "lang string, text string")
-    return rows.select("lang", text.legal_citations("text", ["OR", "StGB", "LAA"]).alias("laws"), text.case_citations("text").alias("cases"), text.outcome("text").alias("outcome"), text.lower_court("text").alias("lower_court"), text.date_of("text").alias("date"), text.case_id("text").alias("case_id"), text.sections("text", "lang").alias("sections"))
-
-
 OFFICIAL = r"(?i)(?:BGE|ATF|DTF)\s+(\d+)\s+([IV]+)\s+(\d+)"
 F19_SQL = rf"""
 WITH c AS (
@@ -190,12 +146,6 @@ def f50(s, d):
     return documents(s, d).select("doc_id", text.date_of("text").alias("date"))
 
 
-@query("f51_f55_years", "SELECT * FROM (VALUES (1, 2023), (2, 2022), (3, 2021), (4, 2020), (5, 2000), (6, 2019)) t(id, year)")
-def f51(s, d):
-    rows = [(1, 2023, None, None, None), (2, None, 2022, None, None), (3, None, None, "2021-05-15", None), (4, None, None, "15.05.2020", None), (5, None, None, None, None), (6, None, None, None, "2019-12-31")]
-    return literals(s, rows, "id int, m int, y int, dt string, dd string").select("id", text.year_of("m", "y", "dt", "dd", 2026).alias("year"))
-
-
 HEAD, GAP = "chr(10) || '## '", "chr(10) || chr(10)"
 F70_SQL = f"""
 WITH c AS (SELECT *, left(text, 600) AS c FROM documents),
@@ -209,12 +159,6 @@ def f70(s, d):
     return documents(s, d).select("doc_id", text.estimate_tokens("text").alias("tokens"), text.truncate_context("text", 600).alias("context"))
 
 
-@query("f81_f82_fenced_json", "SELECT * FROM (VALUES (1, 'MIXED'), (2, 'DIVERGENT'), (3, 'CONSISTENT')) t(id, verdict)")
-def f81(s, d):
-    rows = [(1, 'x ```json\n{"consistency": "mixed"}\n``` y'), (2, "these are divergent"), (3, "all consistent")]
-    return literals(s, rows, "id int, answer string").select("id", text.consistency("answer").alias("verdict"))
-
-
 @query("f84_f85_ids_and_hashes", "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents")
 def f85(s, d):
     return documents(s, d).select("doc_id", text.file_hash(F.encode("text", "UTF-8")).alias("hash"))
@@ -252,11 +196,6 @@ def s19(s, d):
     return table(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))).alias("file")).distinct()
 
 
-@query("s25_sr_of_file", "SELECT * FROM (VALUES ('SR_220_de.pdf', '220'), ('SR_311_0_de.pdf', '311.0'), ('SR_172_021_de.pdf', '172.021')) t(file, sr)")
-def s25(s, d):
-    return literals(s, [("SR_220_de.pdf",), ("SR_311_0_de.pdf",), ("SR_172_021_de.pdf",)], "file string").select("file", text.sr_of_file("file").alias("sr"))
-
-
 WORDS = r"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''))"
 C1_SQL = r"""
 WITH RECURSIVE p AS (
@@ -298,15 +237,6 @@ def c5(s, d):
     return both.select("doc_id", "kind", F.posexplode("b").alias("chunk_index", "x")).select("doc_id", "kind", "chunk_index", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
-LAW = "1. Titel: Anfang\nArt. 1 Zweck\nDieses Gesetz regelt\nArt. 2\nGeltung\n1 Text\n2. Titel: Mitte\n1. Kapitel: Eins\nArt. 3a\n2 Nummer\nAbschnitt: Rest\nArt. 4bis Ende\nSchluss"
-
-
-@query("c6_w7_articles")
-def c6(s, d):
-    rows = literals(s, [("220", LAW), ("101", "keine Artikel")], "sr string, text string")
-    return articles.articles(rows, "sr", "text")
-
-
 @query("w8_w9_line_spans", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, i AS line_no, lead(i, 1, i + 1) OVER (PARTITION BY doc_id ORDER BY i) AS end_line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS ahead FROM l")
 def w8(s, d):
     from pyspark.sql import Window

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions import text, vocab
+from lexmill.functions import bench, text, vocab
 from lexmill.operators import articles
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -39,7 +39,7 @@ def head(rows: DataFrame) -> DataFrame:
 
 def metadata(lower_court):
     cited = F.struct(text.case_citations("text").alias("cases"), text.legal_citations("text", vocab.CODES).alias("laws"))
-    return F.struct(text.judges("text").alias("judges"), cited.alias("citations"), lower_court.alias("lower_court")).alias("metadata")
+    return F.struct(bench.judges(F.col("text")).alias("judges"), cited.alias("citations"), lower_court.alias("lower_court")).alias("metadata")
 
 
 @parser("decision")
