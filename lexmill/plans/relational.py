@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
-from lexmill.operators import filters, many, tables
+from lexmill.operators import review, filters, many, tables
 from lexmill.plans.registry import documents, query, table
 
 AS_OF = "1998-03-15"
@@ -140,9 +140,10 @@ def a21(s, d):
     return part.where("old <> new").groupBy(F.concat_ws(" -> ", "old", "new").alias("change")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "change").limit(20)
 
 
-@query("a22_rollup_totals", "SELECT coalesce(source, 'ALL') AS court, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source)")
+@query("a22_rollup_totals", "SELECT CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS court, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source)")
 def a22(s, d):
-    return table(s, d, "documents").rollup("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select(F.coalesce("source", F.lit("ALL")).alias("court"), "n", "chars")
+    rows = table(s, d, "documents").rollup("source").agg(F.grouping("source").alias("all"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return rows.select(F.when(F.col("all") == 1, "ALL").otherwise(F.col("source")).alias("court"), "n", "chars")  # a missing source is no total
 
 
 @query("a24_usage_per_request", "SELECT conv_id, turn // 2 AS request, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY 1, 2")
@@ -187,12 +188,13 @@ def p4(s, d):
     return filters.active_only(docs, active, "doc_id").select("doc_id")
 
 
-@query("p5_p6_ordinance_split", "WITH f AS (SELECT doc_id, contains(text, 'sch') AS o, row_number() OVER (PARTITION BY contains(text, 'sch') ORDER BY doc_id) AS r FROM documents WHERE lang = 'de') SELECT doc_id, o AS is_ordinance, row_number() OVER (ORDER BY o, doc_id) AS rank FROM f WHERE r <= CASE WHEN o THEN 10 ELSE 15 END")
+@query("p5_p6_ordinance_split", "WITH f AS (SELECT lang, doc_id, contains(text, 'sch') AS o, row_number() OVER (PARTITION BY lang, contains(text, 'sch') ORDER BY doc_id) AS r FROM documents) SELECT lang, doc_id, o AS is_ordinance, row_number() OVER (PARTITION BY lang ORDER BY o, doc_id) AS rank FROM f WHERE r <= CASE WHEN o THEN 10 ELSE 15 END")
 def p6(s, d):
+    """The first laws and ordinances of each language."""
     from lexmill.operators.retrieve import split_laws
 
-    docs = table(s, d, "documents").where("lang = 'de'").select("doc_id", F.when(F.col("text").contains("sch"), "Verordnung").otherwise("Gesetz").alias("sr_name"), F.col("doc_id").alias("rank"))
-    return split_laws(docs).select("doc_id", "is_ordinance", "rank")
+    docs = table(s, d, "documents").select("lang", "doc_id", F.when(F.col("text").contains("sch"), "Verordnung").otherwise("Gesetz").alias("sr_name"), F.col("doc_id").alias("rank"))
+    return split_laws(docs, by="lang").select("lang", "doc_id", "is_ordinance", "rank")
 
 
 @query("p8_p9_name_filters", "SELECT url FROM pages WHERE url LIKE '%/en/%' AND url NOT LIKE 'http://%'")
@@ -282,29 +284,32 @@ def j11(s, d):
     return tables.missing(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id")
 
 
-@query("j16_j17_code_lookup", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON upper(replace(p_brand, '#', '')) = upper('Brand' || (s_suppkey % 30)) WHERE p_size = 7")
+@query("j16_j17_code_lookup", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON upper(replace('#sup-' || p_partkey % 1009, '#', '')) = upper('Sup-' || s_suppkey)")
 def j16(s, d):
-    parts = table(s, d, "part").where("p_size = 7").select("p_partkey", F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("k"))
-    dim = table(s, d, "supplier").select("s_suppkey", F.upper(F.concat(F.lit("Brand"), F.col("s_suppkey") % 30)).alias("k"))
+    """Every part's code, in another case and with a mark, in a registry of one row a code."""
+    parts = table(s, d, "part").select("p_partkey", F.upper(F.replace(F.concat(F.lit("#sup-"), (F.col("p_partkey") % 1009).cast("string")), F.lit("#"), F.lit(""))).alias("k"))
+    dim = table(s, d, "supplier").select("s_suppkey", F.upper(F.concat(F.lit("Sup-"), F.col("s_suppkey").cast("string"))).alias("k"))
     return parts.join(dim, "k").select("p_partkey", "s_suppkey")
 
 
-@query("j18_cross_language", "SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM documents a JOIN documents b ON a.n_chars = b.n_chars AND a.source = b.source AND a.lang < b.lang")
+@query("j18_cross_language", "SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM documents a JOIN documents b ON a.doc_id // 8 = b.doc_id // 8 AND a.lang < b.lang")
 def j18(s, d):
-    docs = table(s, d, "documents").select("doc_id", "n_chars", "source", "lang")
-    a, b = docs.alias("a"), docs.alias("b")
-    return a.join(b, (F.col("a.n_chars") == F.col("b.n_chars")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") < F.col("b.lang"))).select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"))
+    """Versions of an article (here eight numbers in a row) in other languages: a group is as large as its number of versions."""
+    docs = table(s, d, "documents").select("doc_id", F.expr("doc_id div 8").alias("article"), "lang")
+    other = docs.select(F.col("doc_id").alias("b_id"), "article", F.col("lang").alias("b_lang"))
+    return docs.join(other, "article").where("lang < b_lang").select(F.col("doc_id").alias("a_id"), "b_id")
 
 
 @query("j19_w10_page_at", "WITH p AS (SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, length(text) + 1 AS n FROM conversations) SELECT conv_id, 100 * k AS pos, turn AS page FROM p JOIN (SELECT unnest(range(0, (SELECT max(a + n) // 100 + 1 FROM p))) AS k) ON a <= 100 * k AND 100 * k < a + n")
 def j19(s, d):
+    """Every hundredth position of a conversation and the turn that holds it, by bins of positions."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("text") + 1
-    pages = table(s, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(size).over(w), F.lit(0)).alias("a"), size.alias("n"))
-    # every page makes the marks inside it, so no pair of page and mark is tried
-    marks = F.sequence(F.ceil(F.col("a") / 100), F.floor((F.col("a") + F.col("n") - 1) / 100))
-    hit = pages.where(F.ceil(F.col("a") / 100) <= F.floor((F.col("a") + F.col("n") - 1) / 100)).select("conv_id", F.explode(marks).alias("k"), F.col("turn").alias("page"))
-    return hit.select("conv_id", (F.col("k") * 100).alias("pos"), "page")
+    pages = table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.coalesce(F.sum(size).over(w), F.lit(0)).alias("char_start"), size.alias("n"))
+    pages = pages.withColumn("char_end", F.col("char_start") + F.col("n"))
+    ends = pages.groupBy("doc").agg(F.max("char_end").alias("end"))
+    marks = ends.where("end > 0").select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(end - 1) div 100"))).alias("k")).select("doc", (F.col("k") * 100).alias("pos"))
+    return review.page_at(marks, pages).select(F.col("doc").alias("conv_id"), "pos", "page")
 
 
 @query("j20_field_cells", "SELECT l.doc_id, f.name AS field, CASE f.name WHEN 'quality' THEN l.quality WHEN 'toxic' THEN l.toxic END AS value FROM labels l, (VALUES ('quality'), ('toxic'), ('missing')) f(name)")

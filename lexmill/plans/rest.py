@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import pii, text, vocab
@@ -283,3 +283,54 @@ def s18(s, d):
 @query("s20_s22_preferred_path", "SELECT p_brand, arg_min(p_name, (p_size, p_name)) AS p_name FROM part GROUP BY 1")
 def s20(s, d):
     return tables.preferred(table(s, d, "part"), "p_brand", "p_name", "p_size")
+
+
+#: A preset and answers that expressions make of each document: fenced JSON with a quote, a wrong option, a broken one.
+FIELDS = [("opening", "string", None), ("language", "enum", ["de", "fr", "en"]), ("chars", "integer", None), ("note", "string", None)]
+PAGE = 500
+ANSWERS_SQL = r"""
+d AS (SELECT doc_id AS doc, text, lang, n_chars, substr(text, CAST(length(text) // 2 + 1 AS BIGINT), 60) AS q FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc, nullif(q, '') AS quote, lower(trim(regexp_replace(left(q, 50), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')) AS look FROM d WHERE doc % 9 <> 0),
+p AS (SELECT doc, page, lower(trim(regexp_replace(substr(text, (page - 1) * 500 + 1, 500), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')) AS t FROM (SELECT doc, text, unnest(range(1, CAST(greatest(1, ceil(length(text) / 500.0)) AS BIGINT) + 1)) AS page FROM d)),
+f AS (SELECT doc, min(page) AS page FROM q JOIN p USING (doc) WHERE contains(t, look) AND quote IS NOT NULL GROUP BY doc),
+c AS (
+  SELECT d.doc, 'opening' AS field, CASE WHEN d.doc % 9 <> 0 THEN 'word ' || d.doc END AS value, CASE WHEN quote IS NOT NULL THEN coalesce(f.page, 99) END AS page, q.quote, CASE WHEN d.doc % 9 = 0 THEN 'no object' END AS error FROM d LEFT JOIN q USING (doc) LEFT JOIN f USING (doc)
+  UNION ALL SELECT doc, 'language', CASE WHEN doc % 9 <> 0 THEN lang END, NULL, NULL, CASE WHEN doc % 9 = 0 THEN 'no object' WHEN lang NOT IN ('de', 'fr', 'en') THEN 'no option' END FROM d
+  UNION ALL SELECT doc, 'chars', CASE WHEN doc % 9 <> 0 THEN CASE WHEN doc % 4 = 0 THEN 'many' ELSE CAST(n_chars AS VARCHAR) END END, NULL, NULL, CASE WHEN doc % 9 = 0 THEN 'no object' WHEN doc % 4 = 0 THEN 'no integer' END FROM d
+  UNION ALL SELECT doc, 'note', NULL, NULL, NULL, CASE WHEN doc % 9 = 0 THEN 'no object' END FROM d)
+"""
+
+
+def review_cells(s, d):
+    fields = [Row(name=n, kind=k, options=o) for n, k, o in FIELDS]
+    docs = documents(s, d).where("text is not null").select(F.col("doc_id").alias("doc"), "text", "lang", "n_chars")
+    quote = F.expr("substring(text, cast(length(text) div 2 + 1 as int), 60)")
+    opening = F.struct(F.concat(F.lit("word "), F.col("doc").cast("string")).alias("value"), quote.alias("quote"), F.lit(99).alias("page"))
+    chars = F.when(F.col("doc") % 4 == 0, "many").otherwise(F.col("n_chars").cast("string"))
+    told = F.to_json(F.struct(opening.alias("opening"), F.col("lang").alias("language"), chars.alias("chars")))
+    answer = F.when(F.col("doc") % 9 == 0, F.concat(F.lit("{broken "), told)).otherwise(F.concat(F.lit("```json\n"), told, F.lit("\n```")))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / PAGE).cast("int"))), lambda k: F.struct(k.alias("page"), F.expr("text").substr((k - 1) * PAGE + 1, F.lit(PAGE)).alias("text")))
+    pages = docs.select("doc", F.explode(cut).alias("x")).select("doc", "x.*")
+    return review.cells(docs.select("doc", answer.alias("answer")), fields, pages), fields
+
+
+@query("f82_v4_review_cells", f"WITH {ANSWERS_SQL} SELECT * FROM c")
+def f82(s, d):
+    """The cells of every document's answer, with pages of quotes and errors."""
+    return review_cells(s, d)[0].select("doc", "field", "value", F.col("page").cast("long").alias("page"), "quote", "error")
+
+
+@query("k7_export_sheets", rf"""WITH {ANSWERS_SQL}
+SELECT 'data' AS sheet, concat_ws('|', doc, max(value) FILTER (field = 'opening'), max(value) FILTER (field = 'language'), max(value) FILTER (field = 'chars'), max(value) FILTER (field = 'note')) AS line FROM c GROUP BY doc
+UNION ALL SELECT 'citations', concat_ws('|', doc, field, page, trim(regexp_replace(quote, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')) FROM c WHERE quote IS NOT NULL
+UNION ALL SELECT 'summary', concat_ws('|', field, count(value), count(quote), count(error)) FROM c GROUP BY field""")
+def k7(s, d):
+    """The three sheets of a review, written as CSV and read again."""
+    path, out = folder(s), None
+    for name, rows in review.sheets(*review_cells(s, d)).items():
+        columns = [F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]
+        rows.select(*columns).write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(f"{path}/{name}")
+        got = s.read.schema(", ".join(f"`{c}` string" for c in rows.columns)).option("header", True).option("escape", '"').csv(f"{path}/{name}")
+        line = got.select(F.lit(name).alias("sheet"), F.concat_ws("|", *got.columns).alias("line"))
+        out = line if out is None else out.unionByName(line)
+    return out

@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import Row
 
 from lexmill.operators import encode, review
 
@@ -11,16 +14,43 @@ def test_cells_and_citations(spark, tmp_path):
     (tmp_path / "p.json").write_text("\n".join(json.dumps({"preset": "t", "position": k, "name": n, "kind": kind, "description": "d", "options": o}) for k, (n, kind, o) in enumerate([("party", "string", []), ("year", "integer", []), ("risk", "enum", ["Low", "High"])])))
     fields = review.load_presets(spark, str(tmp_path / "p.json"))
     pages = spark.createDataFrame([("a", 1, "nothing"), ("a", 2, "here acme corp\nsigns it"), ("c", 1, "else")], "doc string, page int, text string")
-    got = {(r.doc, r.field): r for r in review.cells(answers, fields, pages).collect()}
+    got = {(r.doc, r.field): r for r in review.cells(answers, review.preset(fields, "t"), pages).collect()}
     assert len(got) == 9
     assert (got["a", "party"].value, got["a", "party"].page, got["a", "year"].value, got["a", "risk"].value) == ("ACME", 2, "2020", None)
-    assert got["c", "party"].page == 3 and got["b", "party"].error and not got["a", "party"].error
+    assert got["c", "party"].page == 3 and got["b", "party"].error == "no object" and got["a", "party"].error is None
     assert review.prompt_schema(fields).first().schema == "- party (string): d\n- year (integer): d\n- risk (one of: Low, High): d"
     marks = spark.createDataFrame([("a", 0), ("a", 7), ("a", 99)], "doc string, pos int")
     spans = spark.createDataFrame([("a", 1, 0, 7), ("a", 2, 7, 20)], "doc string, page int, char_start int, char_end int")
     assert sorted((r.pos, r.page) for r in review.page_at(marks, spans).collect()) == [(0, 1), (7, 2)]
 
 
+def test_kinds_and_sheets(spark):
+    fields = [Row(name=n, kind=k, options=o) for n, k, o in (("risk", "enum", ["Low", "High"]), ("n", "integer", None), ("free", "string", None))]
+    told = ['{"risk": "Low", "n": 7, "free": null}', '{"risk": {"value": "Huge", "quote": "' + "q" * 300 + '", "section": "s"}, "n": "7.5", "free": {"value": {"a": 1}}}', "[1]", None, ""]
+    answers = spark.createDataFrame(list(enumerate(told)), "doc int, answer string")
+    pages = spark.createDataFrame([(1, 4, "x" + "q" * 60)], "doc int, page int, text string")
+    rows = review.cells(answers, fields, pages).collect()
+    got = {(r.doc, r.field): (r.value, r.page, r.section, None if r.quote is None else len(r.quote), r.error) for r in rows}
+    assert got[0, "risk"] == ("Low", None, None, None, None) and got[0, "n"] == ("7", None, None, None, None) and got[0, "free"][0] is None
+    assert got[1, "risk"] == ("Huge", 4, "s", 200, "no option") and got[1, "n"][4] == "no integer" and got[1, "free"][0] == '{"a":1}'
+    assert {got[d, "n"][4] for d in (2, 3, 4)} == {"no object"}
+    cells = spark.createDataFrame(rows)
+    sheets = review.sheets(cells, [Row(name=n) for n in ("risk", "n", "free")])
+    assert {r.doc: (r.risk, r.n) for r in sheets["data"].collect()}[0] == ("Low", "7") and sheets["citations"].count() == 1
+    assert {r.field: (r.filled, r.cited, r.errors) for r in sheets["summary"].collect()} == {"risk": (2, 1, 4), "n": (2, 0, 4), "free": (1, 0, 3)}
+
+
+def test_page_bins(spark):
+    rng, spans, at = random.Random(1), [], {d: 0 for d in range(4)}
+    for n in range(200):
+        d, width = rng.randrange(4), rng.choice([0, 1, 50, 5000, 20000])
+        spans.append((d, n, at[d], at[d] + width))
+        at[d] += width
+    marks = [(d, rng.randrange(-10, at[d] + 100)) for d in range(4) for _ in range(300)] + [(9, 0), (0, None)]
+    got = sorted((r.doc, r.pos, r.page) for r in review.page_at(spark.createDataFrame(marks, "doc int, pos int"), spark.createDataFrame(spans, "doc int, page int, char_start int, char_end int")).collect())
+    assert got == sorted((d, p, n) for d, p in marks if p is not None for e, n, a, b in spans if e == d and a <= p < b)
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "id int, text string")
     got = {r.id: r.dense for r in encode.encode(df, encode.hashed(8)).collect()}
