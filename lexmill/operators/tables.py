@@ -1,10 +1,14 @@
-"""Table maintenance: upsert, replace, delete, checkpoints (K1-K23), as whole new DataFrames."""
+"""Table maintenance: upsert, replace, delete, checkpoints (K1-K23), as whole new DataFrames or in place of a table's own buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import landed
+
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
@@ -13,14 +17,19 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Insert or replace by key; of several new rows of a key the last one wins."""
+    """Insert or replace by key (null is a key); of several new rows of a key the last one wins."""
     fresh = latest(new, key, order)
-    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    return others(old, fresh, key).unionByName(fresh)
+
+
+def others(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows of old whose key new has not."""
+    return old.join(new.select(F.col(key).alias("_new")).distinct(), F.col(key).eqNullSafe(F.col("_new")), "left_anti")
 
 
 def replace_group(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The rows of every key that new has are replaced as a whole."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    """The rows of every key (null is one) that new has are replaced as a whole."""
+    return others(old, new, key).unionByName(new)
 
 
 def delete(rows: DataFrame, condition: Column) -> DataFrame:
@@ -95,3 +104,60 @@ def first_of_each(rows: DataFrame, key: str, order: str, value: str, most: int)
     kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     parts = F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v"))))
     return kept.groupBy(key).agg(F.transform(parts, lambda x: x["v"]).alias(f"{value}s"))
+
+
+#: The column that tells a row's place in a table at rest.
+PLACE = "_bucket"
+
+
+def placed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn(PLACE, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def create(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """A table at rest: one folder for each bucket of keys."""
+    placed(rows, key, buckets).repartition(buckets, PLACE).write.partitionBy(PLACE).parquet(path)
+
+
+def at_rest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(PLACE)
+
+
+def merge_at_rest(new: DataFrame, path: str, key: str, buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """The buckets that new's keys hit are read, merged with new, and put in place of the old ones; the others are not touched.
+
+    merge(old, new) must keep every hit bucket filled, as upserts do. What it gives is written aside first, so a failure
+    leaves the table as it was, and a run that comes again gives the same table. Returns the hit buckets (at most `buckets`).
+    """
+    spark = new.sparkSession
+    new = placed(new, key, buckets)
+    hit = sorted(r[0] for r in new.select(PLACE).distinct().collect())
+    if hit:
+        old = spark.read.parquet(path).where(F.col(PLACE).isin(*hit))
+        made = landed(merge(old.select(new.columns), new))
+        made.repartition(len(hit), PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PLACE).parquet(path)
+    return hit
+
+
+def upsert_at_rest(new: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> list[int]:
+    """K1/K11 on a table that create() made with as many buckets."""
+    return merge_at_rest(new, path, key, buckets, lambda old, rows: upsert(old, rows, key, order))
+
+
+def replace_group_at_rest(new: DataFrame, path: str, key: str, buckets: int = 64) -> list[int]:
+    """K12 on such a table."""
+    return merge_at_rest(new, path, key, buckets, lambda old, rows: replace_group(old, rows, key))
+
+
+def registry(rows: DataFrame, number: str, language: str, name: str, status: str, order: str, ranks: dict[str, int], other: int = 99) -> DataFrame:
+    """(number, names, all_names): of each number and language the name of the least status rank, of several the last; and all its names, sorted."""
+    rank = F.coalesce(*(F.when(F.col(status) == k, v) for k, v in ranks.items()), F.lit(other))
+    best = F.max_by(F.col(name), F.struct(-rank, F.col(order)))
+    each = rows.where(F.col(name).isNotNull()).groupBy(number, language).agg(best.alias("_name"), F.collect_set(name).alias("_all"))
+    return each.groupBy(number).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(language, "_name")))).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_all")))).alias("all_names"))
+
+
+def inverse(rows: DataFrame, number: str, name: str) -> DataFrame:
+    """(name, numbers): the sorted numbers of each name."""
+    pairs = rows.where(F.col(name).isNotNull()).select(name, number).distinct()
+    return pairs.groupBy(name).agg(F.array_sort(F.collect_list(number)).alias("numbers"))

@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.operators import tables
-from lexmill.plans.registry import query, table
+from lexmill.operators import encode, tables
+from lexmill.plans.registry import documents, query, table
 from lexmill.sources import readers
 from lexmill.sources.shared import shared_dir
 
@@ -18,16 +18,37 @@ def folder(s):
     return f"{shared_dir(s)}/table-{uuid.uuid4().hex}"
 
 
-@query("k3_k9_process_documents", "SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS embedded, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS skipped FROM documents WHERE length(text) >= 10")
+@query("k3_k9_process_documents", """
+WITH d AS (SELECT n_chars % 2 = 0 AS early, doc_id % 13 = 0 AS bad, coalesce(length(text) + CASE WHEN doc_id % 13 = 0 THEN 6 ELSE 0 END, 0) >= 10 AS long FROM documents)
+SELECT 1 AS run, count(*) FILTER (early AND long AND NOT bad) AS embedded, count(*) FILTER (early AND long AND bad) AS errors, count(*) FILTER (early AND NOT long) AS skipped FROM d
+UNION ALL SELECT 2, count(*) FILTER (NOT early AND long AND NOT bad), count(*) FILTER (NOT early AND long AND bad), count(*) FILTER (early OR NOT long) FROM d
+UNION ALL SELECT 3, 0, 0, count(*) FROM d""")
 def k3(s, d):
-    """Skip what is done, encode the rest, write it, count both."""
-    docs, done = table(s, d, "documents").where(F.length("text") >= 10), table(s, d, "labels")
-    path = folder(s)
-    fresh = tables.missing(docs, done, "doc_id").select("doc_id", text.uuid5_url(F.col("doc_id").cast("string")).alias("id"), text.preview_batch("text").alias("text_preview"))
-    readers.write_points(fresh, path)
-    n = s.read.parquet(path).agg(F.count("*").alias("embedded"))
-    skipped = docs.join(done.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("skipped"))
-    return n.join(skipped, how="cross")  # one row each
+    """Documents are encoded in three runs: some, all, all again. The encoder fails on marked texts, which concerns no others."""
+    docs = documents(s, d).select("doc_id", "n_chars", F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("\\u0000"))).otherwise(F.col("text")).alias("text"))
+
+    def load():
+        own = encode.hashed(8)()
+
+        def guarded(texts):
+            if any("\\u0000" in t for t in texts):
+                raise ValueError("marked")
+            return own(texts)
+
+        return guarded
+
+    path, out = folder(s), []
+    for run, rows in enumerate((docs.where("n_chars % 2 = 0"), docs, docs), 1):
+        counts = encode.processed(rows.select("doc_id", "text"), load, path, "doc_id", "text", 10)
+        out.append((run, counts["embedded"], counts["errors"], counts["skipped"]))
+    return s.createDataFrame(out, "run int, embedded long, errors long, skipped long")
+
+
+@query("r16_v5_encoded", "SELECT doc_id, token, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM documents) GROUP BY 1, 2")
+def r16_encoded(s, d):
+    """Dense and sparse output of whole texts in one pass; here the sparse one."""
+    told = encode.encode(documents(s, d).select("doc_id", "text"), encode.hashed(8), "doc_id")
+    return told.select("doc_id", F.explode("sparse").alias("token", "weight")).withColumn("weight", F.col("weight").cast("double"))
 
 
 @query("k2_k6_k22_full_refresh", "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY lang")
@@ -79,6 +100,23 @@ def s11(s, d):
     return readers.ids(table(s, d, "labels"), "doc_id")
 
 
+@query("s1_s3_json_sources", "SELECT doc_id AS n, CASE WHEN doc_id % 10 <> 0 THEN lang END AS language, doc_id % 10 = 0 AS broken FROM documents")
+def s1(s, d):
+    """Articles as JSON lines, one in ten cut short; what doesn't parse is told, not lost."""
+    path = folder(s)
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"), F.col("doc_id") % 10 == 0)
+    line = F.to_json(F.struct("id", "language"))
+    docs.select(F.when(docs[2], F.concat(F.lit('{"id":"'), "id", F.lit('", "language'))).otherwise(line)).write.text(path)
+    got = readers.checked(s, path, readers.ARTICLE)
+    lost = F.regexp_extract("_broken", r'"id":"(\d+)"', 1)
+    return got.select(F.coalesce("id", lost).cast("long").alias("n"), "language", F.col("_broken").isNotNull().alias("broken"))
+
+
+@query("s10_s11_existing_ids", "SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL")
+def s11(s, d):
+    return readers.ids(table(s, d, "labels"), "doc_id")
+
+
 @query("s1_s3_json_sources", "SELECT doc_id AS n, lang AS language FROM documents")
 def s1(s, d):
     """Articles written as JSON and read with the explicit schema."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text, vector
-from lexmill.operators import review, filters, many, tables
+from lexmill.operators import filters, many, review, tables
 from lexmill.plans.registry import documents, query, table
+from lexmill.sources.shared import shared_dir
 
 AS_OF = "1998-03-15"
 
@@ -367,6 +370,36 @@ def k1(s, d):
     return old.join(new.select("user_id"), "user_id", "left_anti").unionByName(new)
 
 
+@query("k1_k11_upsert_at_rest", "WITH n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events GROUP BY 1), o AS (SELECT c_custkey AS user_id, c_mktsegment AS v FROM customer) SELECT * FROM n UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n)")
+def k1_at_rest(s, d):
+    """The same into a table of buckets, twice: the second run changes nothing."""
+    path = f"{shared_dir(s)}/table-{uuid.uuid4().hex}"
+    tables.create(table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("v"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("event_id")), path, "user_id", 16)
+    for _ in range(2):
+        new = table(s, d, "events").select("user_id", F.col("event_type").alias("v"), "ts", "event_id")
+        last = new.groupBy("user_id").agg(F.max_by(F.struct("v", "ts", "event_id"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
+        tables.upsert_at_rest(last, path, "user_id", "ts", 16)
+    return tables.at_rest(s, path).select("user_id", "v")
+
+
+RANKS = "CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 99 END"
+
+
+@query("a16_a17_registry_names", f"""
+WITH e AS (SELECT p_brand AS sr_number, ['de', 'fr', 'it'][1 + p_partkey % 3] AS language, arg_max(p_name, (-({RANKS}), p_partkey)) AS name FROM part GROUP BY 1, 2)
+SELECT sr_number, language, name FROM e""")
+def a16_names(s, d):
+    """Of each number and language the name with the best status: in force, then repealed, then unknown."""
+    part = table(s, d, "part").withColumns({"language": F.get(F.array(F.lit("de"), F.lit("fr"), F.lit("it")), (F.col("p_partkey") % 3).cast("int")), "status": F.when(F.col("p_size") % 4 == 0, "in force").when(F.col("p_size") % 4 == 1, "repealed").when(F.col("p_size") % 4 == 2, "odd")})
+    got = tables.registry(part, "p_brand", "language", "p_name", "status", "p_partkey", {"in force": 0, "repealed": 3})
+    return got.select(F.col("p_brand").alias("sr_number"), F.explode("names").alias("language", "name"))
+
+
+@query("a16_inverse_index", "SELECT p_type AS code, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS numbers FROM part GROUP BY 1")
+def a16_inverse(s, d):
+    return tables.inverse(table(s, d, "part"), "p_brand", "p_type").select(F.col("p_type").alias("code"), F.array_join("numbers", ",").alias("numbers"))
+
+
 @query("k10_k12_replace_group", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_orderkey % 7 = 0")
 def k12(s, d):
     old = tables.delete(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), F.col("l_orderkey") % 7 == 0)

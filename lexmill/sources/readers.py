@@ -27,6 +27,12 @@ def decisions(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return rows if limit is None else rows.orderBy("_source_file").limit(limit)
 
 
+def checked(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """JSON rows (a line or, if whole, a file each) with _source_file, and _broken: what could not be parsed, which has nulls elsewhere."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.withColumn("_source_file", F.col("_metadata.file_name"))
+
+
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """S3: each file a JSON list of articles or one article."""
     return spark.read.schema(ARTICLE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)

@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import Row
 
-from lexmill.operators import encode, review
+from lexmill.operators import encode, review, tables
+from lexmill.sources import readers
 
 
 def test_cells_and_citations(spark, tmp_path):
@@ -53,5 +54,55 @@ def test_page_bins(spark):
 
 def test_encoder(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "id int, text string")
-    got = {r.id: r.dense for r in encode.encode(df, encode.hashed(8)).collect()}
-    assert got[1] == got[3] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2])
+    got = {r.id: r for r in encode.encode(df, encode.hashed(8)).collect()}
+    assert got[1].dense == got[3].dense and abs(sum(x * x for x in got[1].dense) - 1) < 1e-6 and not any(got[2].dense)
+    assert got[1].sparse == {"a": 1.0, "b": 1.0} and got[2].sparse == {} and got[2].error is None
+
+
+def failing():
+    own = encode.hashed(4)()
+
+    def run(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return own(texts)
+
+    return run
+
+
+def test_failures_are_isolated_and_runs_go_on(spark, tmp_path):
+    rows = [(i, "bad one" if i % 10 == 3 else f"text {i} " * 1000 if i % 2 else "") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    path = "file://" + str(tmp_path / "points")
+    assert encode.processed(df.where("id < 20"), failing, path) == {"embedded": 18, "errors": 2, "skipped": 0}
+    assert encode.processed(df, failing, path) == {"embedded": 36, "errors": 4, "skipped": 20}
+    assert encode.processed(df, failing, path) == {"embedded": 0, "errors": 0, "skipped": 60}
+    got = {r.id: r for r in spark.read.parquet(path).collect()}
+    assert len(got) == 60 and {i for i, r in got.items() if r.error} == {i for i in range(60) if i % 10 == 3}
+    assert got[3].error == "ValueError: bad text" and got[5].sparse["text"] == 1000.0  # whole texts are encoded
+    assert encode.processed(df.limit(0), failing, path) == {"embedded": 0, "errors": 0, "skipped": 0}
+
+
+def test_checked_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "x", "language": "de"}\n{"id": "y", "lang\n\n{"id": "z"}\n')
+    got = sorted((r.id or "", r._broken is not None, r._source_file) for r in readers.checked(spark, str(tmp_path), readers.ARTICLE).collect())
+    assert got == [("", True, "a.json"), ("x", False, "a.json"), ("z", False, "a.json")]
+
+
+def test_upsert_at_rest(spark, tmp_path):
+    path = "file://" + str(tmp_path / "t")
+    files = lambda: {str(p.relative_to(tmp_path)) for p in (tmp_path / "t").rglob("*.parquet")}
+    tables.create(spark.createDataFrame([(i, "old", 0) for i in range(500)] + [(None, "none", 0)], "id int, v string, t int"), path, "id", 16)
+    before = files()
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (900, "c", 1), (None, "d", 1)], "id int, v string, t int")
+    for _ in range(2):
+        hit = tables.upsert_at_rest(new, path, "id", "t", 16)
+    assert 1 < len(hit) <= 3
+    kept = {f for f in before if not any(f"_bucket={h}/" in f for h in hit)}
+    assert kept <= files() and len(kept) > 10  # untouched buckets keep their files
+    got = tables.at_rest(spark, path).collect()
+    want = {i: "old" for i in range(500)} | {1: "b", 900: "c"}
+    assert {r.id: r.v for r in got if r.id is not None} == want and [r.v for r in got if r.id is None] == ["d"]
+    tables.replace_group_at_rest(spark.createDataFrame([(5, "x", 1), (5, "y", 2)], "id int, v string, t int"), path, "id", 16)
+    assert sorted(r.v for r in tables.at_rest(spark, path).where("id = 5").collect()) == ["x", "y"]
+    assert tables.upsert_at_rest(new.limit(0), path, "id", "t", 16) == []
