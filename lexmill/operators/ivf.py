@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.sources.shared import landed
@@ -60,16 +60,17 @@ class Lists:
         return c @ q + np.linalg.norm(q) * radius[first : first + len(c)]
 
 
-def fitted(rows: DataFrame, n: int) -> Lists:
-    """Centroids by some rounds of k-means on the SAMPLE_ROWS rows (id, dense) of the least hashes; about a list for LIST_ROWS of n rows."""
+def fitted(rows: DataFrame) -> Lists:
+    """Centroids by some rounds of k-means on the SAMPLE_ROWS rows (id, dense) of the least hashes; about a list for LIST_ROWS rows."""
+    counts = dict(map(tuple, rows.groupBy(F.size("dense")).count().limit(MAX_LISTS).collect()))
+    n = sum(counts.values())
     sample = rows.orderBy(F.xxhash64("id", F.lit("sample"))).limit(SAMPLE_ROWS).select("dense").collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r.dense), []).append(r.dense)
     # a length that the sample doesn't hold has one list around the origin
-    sizes = [r[0] for r in rows.select(F.size("dense")).distinct().limit(MAX_LISTS).collect()]
     out = {}
-    for size in sizes:
+    for size in counts:
         own = unit(by_size[size]) if size in by_size else np.zeros((1, size))
         lists = max(1, min(MAX_LISTS, -(-n * len(own) // (max(1, len(sample)) * LIST_ROWS)), len(own)))
         c = own[np.linspace(0, len(own) - 1, lists).astype(int)].copy()
@@ -87,8 +88,7 @@ class Index:
 
     def __init__(self, points: DataFrame):
         rows = points.where("dense is not null and size(dense) > 0").select("id", "dense")
-        n = rows.count()
-        self.lists = lists = fitted(rows, n)
+        self.lists = lists = fitted(rows)
         kind = points.schema["id"].dataType.simpleString()
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +176,3 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
-
-def empty(spark: SparkSession, queries: DataFrame, points: DataFrame) -> DataFrame:
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double, rank int"
-    return spark.createDataFrame([], kinds)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text, vector, vocab
 from lexmill.operators import many
 from lexmill.operators.filters import active_only, compile_filter, is_ordinance
+from lexmill.operators.postings import gathered
 from lexmill.sources.shared import landed
 
 
@@ -298,7 +299,7 @@ def search_many(points: DataFrame, vectors: DataFrame, queries: DataFrame, colle
 
     points and vectors are searched once for three lanes; the dossiers' collections are parts of them.
     """
-    queries = landed(questions(queries))
+    points, vectors, queries = landed(points), landed(gathered(vectors)), landed(questions(queries))  # each is read several times
     asked = landed(postings(queries.select("query_id", F.col("expanded").alias("text")), "query_id"))
     kinds = ["library", "laws", "ordinances"]
     most = 2 * max(vocab.LANES[kind]["hybrid"] for kind in kinds)
