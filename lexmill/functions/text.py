@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -351,13 +354,23 @@ def file_hash(c: C) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
+def settled(c: C, entities: bool = False) -> Column:
+    """the text in normal form KC, its entities decoded once if asked for. Plain ASCII texts don't leave the JVM."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t) if entities else t), na_action="ignore")
+
+    c = col(c)
+    some = c.rlike(r"&[#A-Za-z]|[^\x00-\x7F]" if entities else r"[^\x00-\x7F]")
+    return F.when(some, run(F.when(some, c))).otherwise(c)
+
+
 def html_to_text(c: C) -> Column:
-    """Line feeds after block tags, tags stripped, common entities, blank lines dropped, NBSP folded."""
+    """Line feeds after block tags, tags stripped, entities decoded, normal form KC, blank lines dropped."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", "")
     c = F.regexp_replace(c, r"(?i)</(?:p|div|h1|h2|h3|tr)>|<br\s*/?>", "$0\n")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", "")
-    for a, b in (("&nbsp;", " "), ("\u00a0", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
+    c = settled(F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", ""), True)
     lines = F.filter(F.transform(F.split(c, r"\r?\n"), lambda x: strip(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
 
