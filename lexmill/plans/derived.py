@@ -1,17 +1,22 @@
 """Queries whose inputs expressions make of the given tables: ids, questions, statutes, judgments, answers, file names.
 
-(F1, F3, F11, F12, F16-F18, F20, F22-F24, F26, F30, F40, F51, F55, F81, S7, S25, C6, W7-W9.)
+(F1, F3, F11, F12, F16-F18, F20, F22-F24, F26, F30, F32, F33, F36, F40, F51, F55, F80, F81, F84, R13, S7, S18, S25, C6, W7-W9.)
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import bench, text, vocab
-from lexmill.operators import articles
+from lexmill.functions import bench, prompts, text, vocab
+from lexmill.operators import articles, retrieve
 from lexmill.plans.registry import documents, query, table
+from lexmill.plans.retrieval import FUSED, asked, asked_tokens, best, points, vectors
 from lexmill.plans.texts import sql
-from lexmill.sources import parsers
+from lexmill.sources import parsers, readers
+from lexmill.sources.shared import landed, shared_dir
 
 S = F.expr
 
@@ -178,3 +183,79 @@ def c6_paragraphs(s, d):
     """The parts of long articles: numbered ones here."""
     got = articles.articles(statutes(s, d), "id", "text")
     return got.select(F.col("id").alias("doc_id"), "article_number", F.posexplode(articles.paragraphs(F.col("article_text"), 60)).alias("paragraph", "text"))
+
+
+@query("f33_decision_blocks", "SELECT doc_id, '=== DECISION: ' || doc_id || ' ===' || chr(10) || 'Court: ' || coalesce(source, 'Unknown Court') || chr(10) || 'Date: Unknown Date' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '--- REGESTE (Summary) ---' || chr(10) || lang || chr(10) ELSE '' END || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || '--- REASONING ---' || chr(10) || text || chr(10) ELSE '' END AS block FROM documents")
+def f33_decisions(s, d):
+    parts = {"regeste": F.when(F.col("doc_id") % 3 == 0, F.col("lang")), "facts": F.lit(""), "reasoning": F.col("text")}
+    return documents(s, d).select("doc_id", prompts.decision_block(F.col("doc_id").cast("string"), F.col("source"), F.lit(None).cast("string"), parts).alias("block"))
+
+
+@query("f33_law_blocks", """
+WITH a AS (SELECT l_orderkey AS law, l_linenumber AS n, l_returnflag AS title, l_shipdate FROM lineitem),
+k AS (SELECT * FROM a WHERE law % 2 = 1 OR n % 2 = 1 OR law NOT IN (SELECT law FROM a WHERE n % 2 = 1))
+SELECT law, '=== LAW: SR ' || law || ' ===' || chr(10) || string_agg(chr(10) || 'Art. ' || n || ' ' || title || chr(10) || 'Text ' || n || chr(10), '' ORDER BY n, title) AS block FROM k GROUP BY law
+""")
+def f33_laws(s, d):
+    """Lines of orders as articles of laws; of every other law those of odd numbers are asked for."""
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("law"), F.col("l_linenumber").cast("string").alias("number"), F.col("l_returnflag").alias("title"), F.concat(F.lit("Text "), F.col("l_linenumber").cast("string")).alias("body"), F.col("l_linenumber").alias("n"))
+    return prompts.law_blocks(rows, "law", "number", "title", "body", "n", rows.where("law % 2 = 0 and n % 2 = 1"))
+
+
+@query("f36_tagged_context", """
+WITH r AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'dossier' WHEN 1 THEN 'codex' ELSE 'library' END AS lane FROM conversations),
+l AS (SELECT conv_id, lane, string_agg('- ' || turn || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS x FROM r GROUP BY 1, 2)
+SELECT conv_id, string_agg(CASE lane WHEN 'codex' THEN '[CODEX - Swiss Laws]' WHEN 'library' THEN '[LIBRARY - Case Law]' ELSE '[DOSSIER - Your Documents]' END || chr(10) || x || chr(10) || CASE lane WHEN 'codex' THEN '[END CODEX]' WHEN 'library' THEN '[END LIBRARY]' ELSE '[END DOSSIER]' END,
+  chr(10) || chr(10) ORDER BY CASE lane WHEN 'codex' THEN 0 WHEN 'library' THEN 1 ELSE 2 END) AS context FROM l GROUP BY conv_id
+""")
+def f36(s, d):
+    lane = F.when(F.col("turn") % 3 == 0, "dossier").when(F.col("turn") % 3 == 1, "codex").otherwise("library")
+    return prompts.tagged(table(s, d, "conversations").withColumn("lane", lane), "conv_id", "lane", "turn", "text", "turn")
+
+
+@query("f36_history", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, '[CHAT HISTORY]' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) ORDER BY turn) || chr(10) || '[END CHAT HISTORY]' AS history FROM n WHERE n <= 4 GROUP BY conv_id")
+def f36_history(s, d):
+    return prompts.history_block(table(s, d, "conversations"), "conv_id", "turn", "role", "text", 2)
+
+
+@query("f32_citations", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'BGE ' || p_size || ' III ' || p_partkey WHEN 1 THEN p_brand || ' Art. ' || p_size ELSE 'SR ' || p_partkey END AS citation FROM part")
+def f32(s, d):
+    """References of decisions with hyphens, of laws with and without an abbreviation."""
+    at = lambda k, x: S(f"CASE WHEN p_partkey % 4 = {k} THEN {x} END")
+    number = F.col("p_partkey").cast("string")
+    return table(s, d, "part").select("p_partkey", prompts.citation(F.coalesce(at(0, "'CH-BGE-' || p_size || '-iii-' || p_partkey"), at(3, "'BGer 1C'")), F.coalesce(at(1, "p_brand"), at(2, "''")), F.col("p_size").cast("string"), number).alias("citation"))
+
+
+@query("f80_guarded_json", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'general' ELSE event_type END AS intent, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) ELSE 'none' END AS target FROM events")
+def f80(s, d):
+    """Answers that are fenced and whole, fenced and partial, bare and partial, and broken."""
+    answer = S(r"""CASE event_id % 4 WHEN 0 THEN 'Sure:\n```json\n{"intent": "' || event_type || '", "target": ' || user_id || '}\n```' WHEN 1 THEN '```\n{"intent": "' || event_type || '"}\n```'
+        WHEN 2 THEN '{"intent": "' || event_type || '", "target": null}' ELSE '{"intent": "' || event_type END""")
+    got = prompts.guarded(answer, {"intent": "general", "target": "none"})
+    return table(s, d, "events").select("event_id", got["intent"].alias("intent"), got["target"].alias("target"))
+
+
+@query("f84_uuids", "WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '_' || doc_id)) AS h FROM documents) SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + CAST((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 AS BIGINT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM documents JOIN h USING (doc_id)")
+def f84(s, d):
+    return table(s, d, "documents").select("doc_id", text.uuid5_url(F.concat_ws("_", "source", F.col("doc_id").cast("string"))).alias("id"))
+
+
+@query("s18_paged_hits", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) SELECT source, n // 5 AS page, doc_id FROM r WHERE n < 30")
+def s18_paged(s, d):
+    """Landed pages of five hits; each source is read up to the first page that begins at thirty hits or more."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    rows = table(s, d, "documents").select("source", "doc_id", place.alias("n"))
+    pages = rows.groupBy("source", F.expr("n div 5").alias("page")).agg(F.collect_list("doc_id").alias("hits"))
+    path = f"{shared_dir(s)}/table-{uuid.uuid4().hex}"
+    pages.write.json(path)
+    return readers.hits(s.read.schema("source string, page long, hits array<long>").json(path), "source", 5, 30)
+
+
+@query("r13_routes", f"WITH f AS ({FUSED}) SELECT query_id, id, rank, 'dense' AS arm FROM {best(20)} WHERE query_id % 100 = 0 UNION ALL SELECT query_id, id, rank, 'hybrid' FROM f WHERE query_id % 100 <> 0")
+def r13_routes(s, d):
+    """Multilingual questions (here every second of the query set) by vectors alone, others by both arms."""
+    p, q = points(s, d), landed(asked(s, d))
+    many_ = retrieve.dense_many(p, q.where("query_id % 100 = 0"), 20).select("query_id", "id", "rank", F.lit("dense").alias("arm"))
+    own = q.where("query_id % 100 <> 0")
+    both = retrieve.hybrid_many(p, vectors(s, d), own, asked_tokens(s, d).where("query_id % 100 <> 0"), 20)
+    return many_.unionByName(both.select("query_id", "id", "rank", F.lit("hybrid").alias("arm")))

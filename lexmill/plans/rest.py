@@ -286,7 +286,7 @@ def s20(s, d):
 
 
 #: A preset and answers that expressions make of each document: fenced JSON with a quote, a wrong option, a broken one.
-FIELDS = [("opening", "string", None), ("language", "enum", ["de", "fr", "en"]), ("chars", "integer", None), ("note", "string", None)]
+REVIEW_FIELDS = [("opening", "string", None), ("language", "enum", ["de", "fr", "en"]), ("chars", "integer", None), ("note", "string", None)]
 PAGE = 500
 ANSWERS_SQL = r"""
 d AS (SELECT doc_id AS doc, text, lang, n_chars, substr(text, CAST(length(text) // 2 + 1 AS BIGINT), 60) AS q FROM documents WHERE text IS NOT NULL),
@@ -302,7 +302,7 @@ c AS (
 
 
 def review_cells(s, d):
-    fields = [Row(name=n, kind=k, options=o) for n, k, o in FIELDS]
+    fields = [Row(name=n, kind=k, options=o) for n, k, o in REVIEW_FIELDS]
     docs = documents(s, d).where("text is not null").select(F.col("doc_id").alias("doc"), "text", "lang", "n_chars")
     quote = F.expr("substring(text, cast(length(text) div 2 + 1 as int), 60)")
     opening = F.struct(F.concat(F.lit("word "), F.col("doc").cast("string")).alias("value"), quote.alias("quote"), F.lit(99).alias("page"))

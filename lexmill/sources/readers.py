@@ -66,6 +66,12 @@ def logged_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("file")).distinct()
 
 
+def hits(pages: DataFrame, key: str, per_page: int = 500, most: int = 9500, most_pages: int = 20) -> DataFrame:
+    """(key, page, doc_id) of landed pages (key, page, hits), as far as an interface gives them: it stops at so many hits or pages."""
+    kept = pages.where((F.col("page") < most_pages) & (F.col("page") * per_page < most))
+    return kept.select(key, "page", F.explode("hits").alias("doc_id"))
+
+
 def write_points(rows: DataFrame, path: str, per_file: int = 1000) -> None:
     """K5: Parquet files of at most per_file points."""
     rows.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
