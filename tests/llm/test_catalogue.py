@@ -6,7 +6,7 @@ import pytest
 from lexmill.llm.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "conversations")
+TABLES = ("documents", "benchmark", "conversations", "labels")
 
 
 def test_sql_is_text():
