@@ -216,7 +216,8 @@ def rerank(rows: DataFrame, query: str | Column, k: int, now_year: int, scorer:
     rows = rows.withColumn("final_score", F.col("base_score") + vocab.FINAL["recency_weight"] * F.col("recency_score"))
     if threshold is not None:
         rows = rows.where(F.col("final_score") >= threshold)
-    return first_rows(rows, k, by, F.desc("final_score"), "rank")
+    # sums that only differ in their last bits are ties, which the rank before decides
+    return first_rows(rows, k, by, F.desc(F.round("final_score", 9)), "rank")
 
 
 def confidence(rows: DataFrame, by: str | None = None) -> DataFrame:
