@@ -27,6 +27,22 @@ def isolated(encoder: Encoder, texts: list[str]) -> Iterator[tuple[list[float] |
                 yield from isolated(encoder, [t])
 
 
+#: Characters of texts whose results a worker holds at a time, whatever an Arrow batch holds.
+HELD = 1 << 20
+
+
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of successive texts of at most HELD characters in all, one text at least."""
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > HELD:
+            yield start, at
+            start, held = at, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def encode(rows: DataFrame, load: Callable[[], Encoder], key: str = "id", body: str = "text", size: int = 32) -> DataFrame:
     """(key, dense, sparse, error) of each row: load() makes the encoder in each worker, which gets batches of `size` whole texts.
 
@@ -39,10 +55,11 @@ def encode(rows: DataFrame, load: Callable[[], Encoder], key: str = "id", body:
         encoder = load()
         for batch in batches:
             texts = [t or "" for t in batch[body]]
-            out = [x for at in range(0, len(texts), size) for x in isolated(encoder, texts[at : at + size])]
-            made = pd.DataFrame(out, columns=["dense", "sparse", "error"])
-            made.insert(0, key, batch[key].to_numpy())
-            yield made
+            for start, end in slices([len(t) for t in texts]):
+                out = [x for at in range(start, end, size) for x in isolated(encoder, texts[at : min(at + size, end)])]
+                made = pd.DataFrame(out, columns=["dense", "sparse", "error"])
+                made.insert(0, key, batch[key].iloc[start:end].to_numpy())
+                yield made
 
     return rows.select(key, body).mapInPandas(run, f"`{key}` {kind}, dense array<float>, sparse map<string,float>, error string")
 
