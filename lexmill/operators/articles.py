@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip
+from lexmill.operators.encode import slices
 
 # fixed values: headings by language (German, French, Italian)
 PART = r"^(?:(\d+)\.\s*Teil|Partie\s+(\d+)|Parte\s+(\d+))[:\s]+(.+)$"
@@ -26,7 +28,7 @@ RULES = [re.compile(p, re.IGNORECASE) for _, p, _ in LEVELS]
 NUMBERED = re.compile("^[0-9¹²³]+")
 #: White space that strip() takes off.
 BLANKS = " \t\n\x0b\f\r"
-ARTICLES = "array<struct<article_number:string,article_title:string,part:string,title:string,chapter:string,section:string,start_line:int,end_line:int,article_text:string>>"
+ARTICLES = "article_number string, article_title string, part string, title string, chapter string, section string, start_line int, end_line int, article_text string"
 
 
 def heading(line: str) -> tuple[int, str] | None:
@@ -63,24 +65,26 @@ def folded(text: str) -> Iterator[tuple]:
         yield article(len(lines))
 
 
-def articles_of(c: Column) -> Column:
-    """The articles of a text as an array."""
-
-    @F.pandas_udf(ARTICLES)
-    def run(texts: pd.Series) -> pd.Series:
-        names = [x.split(":")[0] for x in ARTICLES[13:-2].split(",")]
-        return pd.Series([None if t is None else [dict(zip(names, a, strict=True)) for a in folded(t)] for t in texts], dtype=object)
-
-    return run(c)
-
-
 def articles(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, article_number, article_title, part, title, chapter, section, start_line, end_line, article_text); null texts have none.
 
-    Only texts with a line that begins like an article leave the JVM.
+    Only texts with a line that begins like an article leave the JVM. A worker holds the articles of some texts at a
+    time, not those of an Arrow batch.
     """
-    some = F.when(F.col(text).rlike(r"(?m)^\s*Art\."), F.col(text))
-    return df.select(key, F.explode(articles_of(some)).alias("x")).select(key, "x.*")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {ARTICLES}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in ARTICLES.split(", ")]
+        for batch in batches:
+            keys, texts = batch.columns
+            for start, end in slices(pc.utf8_length(texts).to_pylist()):
+                rows = [(i, *a) for i in range(start, end) for a in folded(texts[i].as_py())]
+                if rows:
+                    at, *columns = zip(*rows, strict=True)
+                    made = [keys.take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+                    yield pa.RecordBatch.from_arrays(made, [key, *(c.split(" ")[0] for c in ARTICLES.split(", "))])
+
+    return df.where(F.col(text).rlike(r"(?m)^\s*Art\.")).select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def paragraphs(c: Column, most: int = 500) -> Column:
