@@ -177,3 +177,21 @@ def test_search_is_that_of_single_queries(spark, data):
 
 def words(t):
     return re.findall(r"\w+", t.lower())
+
+
+def test_sparse_search_sends_what_it_needs(data, monkeypatch):
+    """Bounds are kept by octave, rows below a query's kth score stay where they are, and only the given queries' tokens are searched."""
+    _, p, q, posts, asked = data
+    index = postings.Postings(many.vectors(posts))
+    assert index.bounds.columns == ["step", "t", "most"]
+    tokens = asked.select(F.col("query_id").alias("_query"), F.xxhash64("token").alias("t"), F.col("weight").cast("double").alias("w"))
+    whole = tokens.groupBy("_query").agg(F.collect_list("t").alias("ts"), F.collect_list("w").alias("ws"))
+    pairs = whole.select(F.col("_query").alias("query_id"), F.lit(0).alias("block"), F.lit(3.0).alias("least"))
+    some = index.scored(pairs, whole, 1000).collect()
+    assert all(r.score >= 3 for r in some)
+    assert len(some) == sum(r.score >= 3 for r in index.scored(pairs.withColumn("least", F.lit(None).cast("double")), whole, 1000).collect())
+    seen, sparse = [], many.sparse
+    monkeypatch.setattr(many, "sparse", lambda rows, told, k: seen.append(told) or sparse(rows, told, k))
+    one = q.orderBy("query_id").limit(1)
+    retrieve.hybrid_many(p, retrieve.word_vectors(p), one, asked, 3)
+    assert [r.query_id for r in seen[0].select("query_id").distinct().collect()] == [one.first().query_id]
