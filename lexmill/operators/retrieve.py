@@ -6,12 +6,15 @@ whose results carry query_id. The steps after retrieval take `by`: the column th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.functions import text, vector, vocab
 from lexmill.operators import many
@@ -19,6 +22,9 @@ from lexmill.operators.filters import active_only, compile_filter, is_ordinance
 from lexmill.operators.postings import gathered
 from lexmill.sources.shared import landed
 
+#: Texts whose tokens are counted before they go on.
+TEXTS = 500
+
 
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
     """The k best by score, then key, with their rank from 1. The sort keeps k rows a task; ranking sees k rows."""
@@ -35,8 +41,30 @@ def dense(points: DataFrame, query: list[float], k: int = 50, filters: dict | No
 
 def postings(docs: DataFrame, key: str = "id", body: str = "text") -> DataFrame:
     """R16's default sparse encoder: (id, token, weight), weight being the term frequency of lower-cased words."""
-    words = F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").cast("double").alias("weight"))
+    words = F.regexp_extract_all(F.lower("_body"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    # texts are exchanged, not their tokens; rows of one id come after each other
+    rows = docs.select(key, F.col(body).alias("_body")).repartition(key).sortWithinPartitions(key).select(key, words.alias("words"))
+    kind = to_arrow_type(docs.schema[key].dataType)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(bags: list[tuple[object, Counter]]) -> pa.RecordBatch:
+            keys = pa.array([i for i, bag in bags for _ in range(len(bag))], kind)
+            tokens = pa.array([t for _, bag in bags for t in bag], pa.string())
+            return pa.RecordBatch.from_arrays([keys, tokens, pa.array([float(n) for _, bag in bags for n in bag.values()], pa.float64())], [key, "token", "weight"])
+
+        bags: list[tuple[object, Counter]] = []
+        for batch in batches:
+            for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not bags or bags[-1][0] != i:
+                    if len(bags) >= TEXTS:
+                        yield made(bags)
+                        bags = []
+                    bags.append((i, Counter()))
+                bags[-1][1].update(own or ())
+        if bags:
+            yield made(bags)
+
+    return rows.mapInArrow(counted, f"{key} {docs.schema[key].dataType.simpleString()}, token string, weight double")
 
 
 def sparse(posts: DataFrame, query: dict[str, float], k: int) -> DataFrame:

@@ -195,3 +195,12 @@ def test_sparse_search_sends_what_it_needs(data, monkeypatch):
     one = q.orderBy("query_id").limit(1)
     retrieve.hybrid_many(p, retrieve.word_vectors(p), one, asked, 3)
     assert [r.query_id for r in seen[0].select("query_id").distinct().collect()] == [one.first().query_id]
+
+
+def test_tokens_are_not_exchanged(spark):
+    """Texts are exchanged by id, then counted where they are; rows that share an id, or have none, count together."""
+    rows = [(1, "a B a"), (None, "x"), (2, ""), (1, "b c"), (None, "x y"), (3, None)]
+    posts = retrieve.postings(spark.createDataFrame(rows, "id long, text string").repartition(3))
+    assert sorted((str(r.id), r.token, r.weight) for r in posts.collect()) == [("1", "a", 2.0), ("1", "b", 2.0), ("1", "c", 1.0), ("None", "x", 2.0), ("None", "y", 1.0)]
+    plan = posts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate explode" not in plan
