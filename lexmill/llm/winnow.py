@@ -25,6 +25,8 @@ from lexmill.llm.common import materialize, table
 TOKEN = 1
 K = 20
 WINDOW = 44
+#: Blocks of a window, whose minima are computed first.
+BLOCKS = 4
 LOW = (1 << 31) - 1
 #: Stands for a null doc_id in joins.
 NULL_ID = -(1 << 63)
@@ -65,6 +67,37 @@ def minima(g, window: int):
     return g
 
 
+def window_minima(g, base, window: int):
+    """The distinct least values of the windows of g, by position: minima of blocks of a quarter window first, then only what is less.
+
+    A window begins in a block, holds the three after it and ends in the fourth. Where neither end has a value below
+    the three blocks' least, that is the minimum of all windows that begin in the block; else the minimum changes only
+    where a lesser value of the first block has left or one of the last has entered.
+    """
+    step = window // BLOCKS
+    last = F.greatest(F.size(g) - window, F.lit(0))
+    place = lambda x: (F.lit(LOW) - base - x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")
+
+    def ends(at, most):
+        def changes(less):
+            starts = F.transform(less, lambda x: bound(place(x), lambda p: F.when(p < at + step, p + 1).otherwise(p - (window - 1))))
+            starts = F.filter(F.sort_array(F.concat(F.array(at), starts)), lambda s: s <= last)
+            return F.transform(starts, lambda s: F.least(most, F.get(F.sort_array(F.filter(less, lambda x: place(x).between(s, s + (window - 1)))), F.lit(0))))
+
+        some = lambda first: F.filter(F.slice(g, first + 1, step), lambda x: x < most)
+        return bound(F.concat(some(at), some(at + window)), changes)
+
+    def every(m):
+        def one(at, i):
+            middle = F.coalesce(F.least(*(F.get(m, i + n) for n in range(1, BLOCKS))), F.lit((1 << 63) - 1))
+            return bound(middle, lambda most: F.when(F.least(F.get(m, i), F.get(m, i + BLOCKS)) > most, F.array(most)).otherwise(ends(at, most)))
+
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(step)), one)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(g) - 1, F.lit(step)), lambda at: F.least(*(F.get(g, at + n) for n in range(step))))
+    return bound(blocks, every)
+
+
 def picks(solid, base=0, k: int = K, window: int = WINDOW):
     """array<long>: hash << 32 | (LOW - position) of each chosen gram of a text without blanks, by position; base: the first position."""
     none = F.array().cast("array<long>")
@@ -72,14 +105,17 @@ def picks(solid, base=0, k: int = K, window: int = WINDOW):
     def grams(t):
         last = F.greatest(F.size(t) - k, F.lit(0))
         def one(i):  # noqa: E306
-            # the hash of an array is that of its elements in turn
-            return F.shiftrightunsigned(F.xxhash64(F.slice(t, i + 1, k)), 33).cast("long") * F.lit(1 << 32) + (F.lit(LOW) - base - i).cast("long")
+            # a hash of several values is that of each in turn; there is none past the end
+            h = F.xxhash64(*(F.get(t, i + n) for n in range(k)))
+            return F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(LOW << 32)) + (F.lit(LOW) - base - i)
         return F.transform(F.sequence(F.lit(0), last), one)
 
     def least(g):
+        if window % BLOCKS == 0 and window > BLOCKS:
+            return window_minima(g, base, window)
         return F.array_distinct(F.slice(minima(g, window), 1, F.greatest(F.size(g) - window, F.lit(0)) + 1))
 
-    return bound(solid, lambda x: F.when(x == "", none).otherwise(bound(bound(F.split(x, ""), grams), least)))
+    return bound(solid, lambda x: F.when(x == "", none).otherwise(bound(bound(F.transform(F.split(x, ""), lambda c: c.cast("binary")), grams), least)))
 
 
 def chosen(text, k: int = K, window: int = WINDOW):

@@ -106,3 +106,18 @@ def test_minima_of_windows_in_few_passes(spark):
     rows = spark.createDataFrame([(values,)], "g array<int>")
     for window in (1, 2, 3, 5, 16, 17, 43, 44, 45, 200):
         assert rows.select(wn.minima(wn.F.col("g"), window)).first()[0] == [min(values[i : i + window]) for i in range(130)]
+
+
+def test_minima_by_blocks_of_a_quarter_window(spark):
+    """The windows' distinct minima, for arrays shorter than a window, falling, rising and with ties; positions from a base on."""
+    rng = random.Random(9)
+    cases = [[rng.randint(0, 9 if n % 2 else 10**6) for _ in range(n)] for n in (1, 2, 7, 10, 11, 12, 43, 44, 45, 54, 55, 56, 90, 300)]
+    cases += [list(range(200)), list(range(200, 0, -1)), [5] * 150]
+    for window in (8, 12, 44):
+        for base in (0, 17):
+            values = [[h << 32 | wn.LOW - base - i for i, h in enumerate(x)] for x in cases]
+            rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, g array<long>").repartition(4)
+            got = dict(map(tuple, rows.select("k", wn.window_minima(wn.F.col("g"), wn.F.lit(base), window)).collect()))
+            for k, v in enumerate(values):
+                want = [min(v[i : i + window]) for i in range(max(0, len(v) - window) + 1)]
+                assert got[k] == list(dict.fromkeys(want)), (window, base, k)
