@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,25 +70,26 @@ def chunk_dossier(c: Column, most: int = 500) -> Column:
 def windows(c: Column, most: int, overlap: int, seps: list[str], least_share: float) -> Column:
     """Character windows that end after the last separator past a share of the window; the next begins `overlap` before.
 
-    Bounds are folded over the greatest possible number of windows; array<struct<start,end>>, 0-based.
+    array<struct<start,end>>, 0-based; none of a null text. Places are found in the text itself, without cutting windows out.
     """
-    n = F.length(c)
-    step = max(1, int(most * least_share) - overlap)
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / step).cast("int")))
-    kind = "array<struct<start:int,end:int>>"
-
-    def one(a, _):
-        begin = a["next"]
-        hard = F.least(begin + most, n)
-        piece = F.substring(c, begin + 1, hard - begin)
-        ends = [F.when(F.instr(piece, s) > 0, F.length(piece) - F.instr(F.reverse(piece), s[::-1]) + 1) for s in seps]
-        good = F.coalesce(*(F.when(e > most * least_share, e) for e in ends), hard - begin)
-        stop = F.when(hard >= n, n).otherwise(begin + good)
-        out = F.concat(a["out"], F.array(F.struct(begin.alias("start"), stop.alias("end"))))
-        return F.when(a["over"], a).otherwise(F.struct(F.when(stop >= n, stop).otherwise(F.greatest(stop - overlap, begin + 1)).alias("next"), (stop >= n).alias("over"), out.alias("out")))
-
-    start = F.struct(F.lit(0).alias("next"), (n == 0).alias("over"), F.expr(f"cast(array() as {kind})").alias("out"))
-    return F.aggregate(rounds, start, one, lambda a: a["out"])
+
+    def bounds(text: str) -> list[dict]:
+        out, begin, n = [], 0, len(text)
+        while n:
+            hard = min(begin + most, n)
+            ends = (at + len(s) for s in seps if (at := text.rfind(s, begin, hard)) >= 0)
+            stop = n if hard >= n else next((e for e in ends if e - begin > most * least_share), hard)
+            out.append({"start": begin, "end": stop})
+            if stop >= n:
+                break
+            begin = max(stop - overlap, begin + 1)
+        return out
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(bounds, na_action="ignore")
+
+    return run(c)
 
 
 def cut(c: Column, bounds: Column) -> Column:

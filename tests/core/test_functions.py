@@ -116,6 +116,17 @@ def test_windows_cover(spark):
         assert all(x.end - x.start <= 100 for x in g)
 
 
+def test_windows_of_long_and_null_texts(spark):
+    """Every window was cut out some dozens of times by a fold, counting from the text's beginning; a null text had a window."""
+    text = "wort " * 60_000 + "ende. " * 20_000
+    df = spark.createDataFrame([(text,), (None,)], "c string").coalesce(1)
+    got = df.select(chunk.chunk_chars(F.col("c")))
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    long, none = (r[0] for r in got.collect())
+    assert not none and long[0] == (0, 1500) and long[-1].end == len(text)
+    assert all(b.start == a.end - 200 and text[: a.end].endswith((" ", ". ")) for a, b in zip(long, long[1:]))
+
+
 def test_articles(spark):
     law = "1. Titel: Anfang\nArt. 1 Zweck\nDieses Gesetz\nArt. 2\nGeltung\n1 Text\n2. Titel: Mitte\n1. Kapitel: Eins\nArt. 3a\n2 Nummer\nAbschnitt: Rest\nArt. 4bis Ende\nSchluss"
     got = {r.article_number: r for r in articles.articles(spark.createDataFrame([(1, law)], "id int, t string"), "id", "t").collect()}
