@@ -85,8 +85,9 @@ def v1(s, d):
 def v2_decisions(s, d):
     """Every document as a decision of the common schema."""
     rows = documents(s, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("CH_"), "source", F.lit("_"), F.col("doc_id").cast("string")).alias("file_name"), "text")
-    got = parsers.parse(rows, "decision")
-    return got.select("id", "date", "year", "language", "court", "outcome", F.size("metadata.citations.cases").alias("cases"), F.size("metadata.citations.laws").alias("laws"), F.length("content.reasoning").alias("reasoning"))
+    # a struct that is read at one place is taken apart, so judges and lower courts aren't looked for
+    got = parsers.parse(rows, "decision").select("id", "date", "year", "language", "court", "outcome", "metadata.citations", F.length("content.reasoning").alias("reasoning"))
+    return got.select("id", "date", "year", "language", "court", "outcome", F.size("citations.cases").alias("cases"), F.size("citations.laws").alias("laws"), "reasoning")
 
 
 @query("f27_cantonal_decisions")

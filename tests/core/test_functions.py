@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import pii, text, vector
 from lexmill.operators import articles, chunk
+from lexmill.plans.catalogue import QUERIES
 
 
 def one(spark, make, *values):
@@ -147,3 +148,20 @@ def test_lower_court_ends_at_words(spark):
     }
     rows = spark.createDataFrame([(k,) for k in told], "t string").select("t", text.lower_court("t").alias("c")).collect()
     assert {r.t: r.c for r in rows} == told
+
+
+def test_headers_are_looked_for_once(spark):
+    """Each header was looked for by two lazy patterns a word, anew for every part that its place bounds; places count characters, not UTF-16 units."""
+    t = "😀 Kopf\nTatbestand: es war 😀\n  Sachverhalt\nmehr\n\n Erwägung: weil\nUrteil: gut"
+    df = spark.createDataFrame([(t,), ("Urteil: nur",), ("nichts",), (None,)], "c string").coalesce(1)
+    got = df.select(text.sections("c", F.lit("de")).alias("x"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sachverhalt") == 1 and r"\A" not in plan
+    assert [tuple(r.x) for r in got.collect()] == [
+        ("😀 Kopf", "Tatbestand: es war 😀\n  Sachverhalt\nmehr", "Erwägung: weil", "Urteil: gut"), (None, "", "", "Urteil: nur"), (None, "", "nichts", ""), (None, "", None, ""),
+    ]
+
+
+def test_decisions_without_unread_metadata(spark):
+    plan = QUERIES["v2_parse_decisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ATF" in plan and "Besetzung" not in plan and "Vorinstanz" not in plan
