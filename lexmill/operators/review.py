@@ -57,11 +57,13 @@ def cells(answers: DataFrame, fields: list[Row], pages: DataFrame) -> DataFrame:
     A missing field gives a null value; error tells of answers that are no JSON object, and of values that are no
     option of an enum or no integer (these values stay).
     """
-    v = F.try_parse_json(text.strip_fence("answer"))
-    rows = answers.select("doc", F.explode(F.array(*(answered(v, f) for f in fields))).alias("x")).select("doc", "x.*")
+    # the answer is parsed once, not for each use of it
+    told = text.once(F.try_parse_json(text.strip_fence("answer")), lambda v: F.array(*(answered(v, f) for f in fields)))
+    rows = answers.select("doc", F.explode(told).alias("x")).select("doc", "x.*")
     norm = lambda c: F.lower(text.squeeze(c))
     asked = rows.where("quote is not null").select("doc", "field", norm(F.substring("quote", 1, 50)).alias("q"))
-    seen = asked.join(pages.select("doc", "page", norm("text").alias("t")), "doc").where("contains(t, q)").groupBy("doc", "field").agg(F.min("page").alias("found"))
+    # quotes are short, so they are hashed; the pages aren't sorted
+    seen = asked.hint("shuffle_hash").join(pages.select("doc", "page", norm("text").alias("t")), "doc").where("contains(t, q)").groupBy("doc", "field").agg(F.min("page").alias("found"))
     out = rows.join(seen, ["doc", "field"], "left")
     cited = F.col("quote").isNotNull()
     return out.select("doc", "field", "value", F.when(cited, F.coalesce("found", "told")).alias("page"), F.when(cited, F.col("section")).alias("section"), "quote", "error")

@@ -13,7 +13,7 @@ from lexmill.plans.registry import documents, query, table
 from lexmill.plans.retrieval import asked, best, points
 from lexmill.plans.texts import PII_SPANS, pii_masked
 from lexmill.sources import parsers, readers
-from lexmill.sources.shared import shared_dir
+from lexmill.sources.shared import landed, shared_dir
 
 
 def folder(s):
@@ -310,8 +310,8 @@ def review_cells(s, d):
     chars = F.when(F.col("doc") % 4 == 0, "many").otherwise(F.col("n_chars").cast("string"))
     told = F.to_json(F.struct(opening.alias("opening"), F.col("lang").alias("language"), chars.alias("chars")))
     answer = F.when(F.col("doc") % 9 == 0, F.concat(F.lit("{broken "), told)).otherwise(F.concat(F.lit("```json\n"), told, F.lit("\n```")))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / PAGE).cast("int"))), lambda k: F.struct(k.alias("page"), F.expr("text").substr((k - 1) * PAGE + 1, F.lit(PAGE)).alias("text")))
-    pages = docs.select("doc", F.explode(cut).alias("x")).select("doc", "x.*")
+    cut = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)))
+    pages = docs.select("doc", F.posexplode(cut).alias("k", "text")).select("doc", (F.col("k") + 1).alias("page"), "text")
     return review.cells(docs.select("doc", answer.alias("answer")), fields, pages), fields
 
 
@@ -328,7 +328,8 @@ UNION ALL SELECT 'summary', concat_ws('|', field, count(value), count(quote), co
 def k7(s, d):
     """The three sheets of a review, written as CSV and read again."""
     path, out = folder(s), None
-    for name, rows in review.sheets(*review_cells(s, d)).items():
+    cells, fields = review_cells(s, d)
+    for name, rows in review.sheets(landed(cells), fields).items():
         columns = [F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]
         rows.select(*columns).write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(f"{path}/{name}")
         got = s.read.schema(", ".join(f"`{c}` string" for c in rows.columns)).option("header", True).option("escape", '"').csv(f"{path}/{name}")

@@ -116,3 +116,13 @@ def test_encoder_holds_the_results_of_some_texts_at_a_time(spark, monkeypatch):
     df = spark.range(50).selectExpr("id", "repeat('ab ', cast(id as int)) text").coalesce(1)
     got = encode.encode(df, encode.hashed(4), size=3).collect()
     assert {r.id: (r.sparse or {}).get("ab") for r in got} == {i: float(i) or None for i in range(50)}
+
+
+def test_answers_are_parsed_once(spark):
+    """An answer was parsed for each use of each of its fields; a text was counted from its beginning for each page."""
+    from lexmill.plans import rest
+
+    rows, fields = rest.review_cells(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # told of all fields, and of the quotes
+    assert len(fields) == 4 and plan.count("parseJson") + plan.count("parse_json") <= 2 and "sequence(" not in plan
