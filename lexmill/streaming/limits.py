@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -91,23 +90,23 @@ class Limiter(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("numbers", "numbers array<long>, timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(rows).sort_values(["t", "id"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        own = sorted(rows, key=lambda r: (r.t, r.id is None, 0 if r.id is None else r.id))
         state, timer = (list(x[0]), x[1]) if (x := self.state.get()) else (self.rule.fresh(), None)
         out = []
-        for i, t, value in zip(own["id"], own["t"], own["value"], strict=True):
-            state, allowed, number = self.rule.take(state, int(t), bool(value))
-            out.append((key[0], i, allowed, number))
+        for r in own:
+            state, allowed, number = self.rule.take(state, r.t, bool(r.value))
+            out.append(Row(key=key[0], id=r.id, allowed=allowed, number=number))
         due = self.rule.end(state) // 1000 + 1  # timers are milliseconds
         if timer is not None:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(due)
         self.state.update((state, due))
-        yield pd.DataFrame(out, columns=["key", "id", "allowed", "number"])
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
-        yield pd.DataFrame({"key": pd.Series(dtype=object), "id": pd.Series(dtype="int64"), "allowed": pd.Series(dtype=bool), "number": pd.Series(dtype="int64")})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -119,7 +118,7 @@ def limited(stream: DataFrame, rule, key: str, time: str, ident: str, value=None
     at = F.col(time).cast("timestamp")
     rows = stream.select(F.col(key).alias("key"), F.col(ident).alias("id"), at.alias("_time"), F.unix_micros(at).alias("t"), (F.lit(True) if value is None else value).alias("value"))
     schema = f"key {kind[key]}, id {kind[ident]}, allowed boolean, number long"
-    told = rows.withWatermark("_time", late).groupBy("key").transformWithStateInPandas(Limiter(rule), schema, "append", "eventtime")
+    told = rows.withWatermark("_time", late).groupBy("key").transformWithState(Limiter(rule), schema, "append", "eventtime")
     return told.select(F.col("key").alias(key), F.col("id").alias(ident), "allowed", "number")
 
 

@@ -110,3 +110,16 @@ def test_context_buckets_repeat(spark, tmp_path):
     assert sorted((r.conv, r.turn, r.text) for r in context.collect()) == [(1, 2, "d"), (2, 1, None)]
     ingest.swap_context(df, 1, where, "conv", "turn", F.col("role") == "user")  # an older batch again changes nothing that is newer
     assert {r.turn for r in ingest.buckets(spark, where)[1].collect()} == {2, 1}
+
+
+def test_limiter_takes_rows():
+    """A pandas frame for each key and batch cost more than the rule itself; rows come in any order, ids may be null."""
+    from types import SimpleNamespace as Plain
+
+    held = []
+    limiter = limits.Limiter(limits.Log({10: 1}))
+    limiter.handle = Plain(registerTimer=held.append, deleteTimer=held.remove)
+    limiter.state = Plain(get=lambda: None, update=held.append)
+    rows = [Plain(id=i, t=t * limits.MICROS, value=True) for i, t in ((3, 20), (None, 0), (1, 0))]
+    assert [tuple(r) for r in limiter.handleInputRows(("u",), iter(rows), None)] == [("u", 1, True, 0), ("u", None, False, 0), ("u", 3, True, 0)]
+    assert held == [30_001, ([20 * limits.MICROS], 30_001)]
