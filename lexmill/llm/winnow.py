@@ -123,6 +123,50 @@ def chosen(text, k: int = K, window: int = WINDOW):
     return picks(bare(text), k=k, window=window)
 
 
+def gram_blocks(rows: DataFrame, keys: list[str], k: int = K, window: int = WINDOW) -> DataFrame:
+    """(keys, at, begins, g) of rows (keys, text): blocks of a quarter window of packed grams from `at` on, null past the last; begins: where the last window begins.
+
+    A block is a row, so its hashes are compiled; in a lambda they are interpreted, value by value.
+    """
+    step = window // BLOCKS
+    solid = rows.select(*keys, bare(F.col("text")).alias("solid")).where("solid != ''").select(*keys, F.split("solid", "").alias("t"))
+    solid = solid.select(*keys, "t", F.greatest(F.size("t") - k, F.lit(0)).alias("last"))
+    solid = solid.select(*keys, "t", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(step))).alias("at"))
+
+    def packed(j: int):
+        # a hash of an array is that of its values in turn
+        h = F.xxhash64(F.slice("t", F.col("at") + (j + 1), k))
+        return F.when(F.col("at") + j <= F.col("last"), F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(LOW << 32)) + (F.lit(LOW - j) - F.col("at")))
+
+    return solid.select(*keys, "at", F.greatest(F.col("last") + 1 - window, F.lit(0)).alias("begins"), F.array(*map(packed, range(step))).alias("g"))
+
+
+def picked_rows(rows: DataFrame, keys: list[str], k: int = K, window: int = WINDOW) -> DataFrame:
+    """(keys, picked): chosen() of the text of each of rows (keys, text) that isn't blank; keys tell texts apart. No exchange if rows lie by a key.
+
+    A window begins in a block, holds the BLOCKS - 1 after it and ends in the one after those, so its least value is
+    that of the first block's end, those blocks and the last block's beginning.
+    """
+    step = window // BLOCKS
+    after = Window.partitionBy(*keys).orderBy("at")
+    least = lambda some: F.least(*some) if len(some) > 1 else F.col(some[0])
+    g, h, m = ([f"{x}{j}" for j in range(n)] for x, n in (("g", step), ("h", step), ("m", BLOCKS)))
+    # the JVM compiles no method of over 8,000 bytes, so the minima are taken in two steps with a window function between them
+    met = gram_blocks(rows, keys, k, window).select(*keys, "at", "begins", "g", F.lead("g", BLOCKS).over(after).alias("h"))
+    met = met.select(*keys, "at", "begins", *(F.get(x, F.lit(j)).alias(f"{x}{j}") for x in "gh" for j in range(step)))
+    met = met.select(*keys, "at", "begins", least(g).alias("m0"), F.array(*(least(g[j:]) for j in range(step))).alias("ends"), F.array(*(least(h[: j + 1]) for j in range(step))).alias("starts"))
+    met = met.select(*keys, "at", "begins", "ends", "starts", *(F.lead("m0", j).over(after).alias(m[j]) for j in range(1, BLOCKS)))
+    met = met.where(F.col("at") <= F.col("begins")).select(*keys, "at", "begins", "ends", "starts", least(m[1:]).alias("middle"))
+
+    def first(o: int):
+        parts = [F.get("ends", F.lit(o)), F.col("middle"), *([F.get("starts", F.lit(o - 1))] if o else [])]
+        return F.when(F.col("at") + o <= F.col("begins"), F.least(*parts))
+
+    each = met.select(*keys, F.struct("at", F.array_distinct(F.array(*map(first, range(step)))).alias("x")).alias("x"))
+    each = each.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return each.select(*keys, F.array_compact(F.array_distinct(F.flatten("x.x"))).alias("picked"))
+
+
 def chosen_again(picked, head, tail, k: int = K, window: int = WINDOW):
     """chosen() of head + tail, where picked are those of a text that begins with head.
 
@@ -173,12 +217,19 @@ def neighbours(ids: DataFrame) -> DataFrame:
 def edited_pairs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_chars, edited text digest, both fingerprints, likeness to the edited and to the next document)."""
     raw = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = raw.withColumn("picked", chosen(F.col("text"))).repartition("id")  # one exchange of the texts, which both branches below read
     third = lambda c: F.floor(F.char_length(c) / 3).cast("int")
     ids = materialize(raw.groupBy("id").agg(F.max(third("text")).alias("need"), F.count("*").alias("n")))
+    repeated = not ids.where("n > 1").isEmpty()
+    # one exchange of the texts and one of what is chosen of them, which both branches below read: the number keeps filters from
+    # being pushed below the first, and the id is negated twice so that the second isn't taken for needless and all is computed twice
+    texts = raw.repartition("id").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("text")))
+    chosen_ = picked_rows(texts, ["id", "nth"]).select(F.bitwise_not(F.bitwise_not("id")).alias("id"), "nth", "picked").repartition("id")
+    # a join by both keys would exchange the texts once more
+    base = texts.join(chosen_, ["id", "nth"], "left") if repeated else texts.join(chosen_.drop("nth"), "id", "left")
+    base = base.select("id", "text", F.coalesce("picked", F.array().cast("array<long>")).alias("picked"))
     asked = neighbours(ids.select("id")).join(ids.select("id", "need"), "id").select(F.col("id").alias("asker"), F.col("next_id").alias("id"), "need")
     heads = base.join(asked, "id").select("asker", "need", "text", "picked")
-    if not ids.where("n > 1").isEmpty():
+    if repeated:
         best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("text")))
         heads = heads.withColumn("_n", best).where("_n = 1")
     heads = heads.select(F.col("asker").alias("id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("picked")).alias("next_hashes"))

@@ -121,3 +121,15 @@ def test_minima_by_blocks_of_a_quarter_window(spark):
             for k, v in enumerate(values):
                 want = [min(v[i : i + window]) for i in range(max(0, len(v) - window) + 1)]
                 assert got[k] == list(dict.fromkeys(want)), (window, base, k)
+
+
+def test_picked_rows_are_those_of_brute_force(spark):
+    """Hashes of whole texts stand in a row a block, not in a lambda, which took most of the time; texts of every length at a block's edges."""
+    rng = random.Random(10)
+    lengths = [*range(0, 70), *range(70, 140, 3), 400]
+    rows = [(i % 50, i, "".join(rng.choices("abé \n中😀" if i % 2 else "a", k=n))) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "id long, nth int, text string").repartition(3, "id")
+    assert "lambda" not in wn.gram_blocks(df, ["id", "nth"])._jdf.queryExecution().optimizedPlan().toString()
+    picked = wn.picked_rows(df, ["id", "nth"])
+    got = {(r.id, r.nth): r.f for r in picked.select("id", "nth", wn.written(wn.F.col("picked")).alias("f")).collect()}
+    assert got == {(i, n): text_of(brute(t)) for i, n, t in rows if t.split()}
