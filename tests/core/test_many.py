@@ -204,3 +204,21 @@ def test_tokens_are_not_exchanged(spark):
     assert sorted((str(r.id), r.token, r.weight) for r in posts.collect()) == [("1", "a", 2.0), ("1", "b", 2.0), ("1", "c", 1.0), ("None", "x", 2.0), ("None", "y", 1.0)]
     plan = posts._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate explode" not in plan
+
+
+def test_sparse_holds_little(spark, data, monkeypatch):
+    """Lists lie in bounded rows, and are met by queries in a stream, not group by group; small pieces give the rows of all pairs."""
+    rows, p, _, posts, asked = data
+    for name, value in (("LISTED", 3), ("TOKENS", 5), ("HELD", 2), ("BLOCK_ROWS", 40), ("TILE", 7)):
+        monkeypatch.setattr(postings, name, value)
+    signed = F.when(F.xxhash64("token") % 2 == 0, -F.col("weight")).otherwise(F.col("weight"))
+    for weight in (F.col("weight"), signed):
+        index = postings.Postings(many.vectors(posts.withColumn("weight", weight)))
+        assert index.lists.where("ts is not null").agg(F.max(F.size("places"))).first()[0] == 3
+        whole = asked.groupBy(F.col("query_id").alias("_query")).agg(F.collect_list(F.xxhash64("token")).alias("ts"), F.collect_list("weight").alias("ws"))
+        pairs = whole.select(F.col("_query").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(index.blocks - 1))).alias("block"), F.lit(None).cast("double").alias("least"))
+        scored = index.scored(pairs, whole, 1000)
+        assert "InPandas" not in scored._jdf.queryExecution().optimizedPlan().toString()
+        theirs = posts.withColumn("weight", weight).join(asked.withColumnRenamed("weight", "own"), "token")
+        want = {(r.query_id, r.id): r.score for r in theirs.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("own")).alias("score")).collect()}
+        assert {(r.query_id, r.id): r.score for r in scored.collect()} == want
