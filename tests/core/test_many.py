@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +224,20 @@ def test_sparse_holds_little(spark, data, monkeypatch):
         theirs = posts.withColumn("weight", weight).join(asked.withColumnRenamed("weight", "own"), "token")
         want = {(r.query_id, r.id): r.score for r in theirs.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("own")).alias("score")).collect()}
         assert {(r.query_id, r.id): r.score for r in scored.collect()} == want
+
+
+def test_one_query_is_scored_by_tiles():
+    """A query whose products are many times a tile is scored whole, and holds about a tile of them at a time."""
+    width, n, tile = 100, 4000, 1 << 12
+    block = postings.Block((0, 0), pa.array(range(width)), width * n)
+    weight = np.where(np.arange(width * n) % 3 == 0, -1.0, 2.0)
+    block.add(np.arange(n), np.full(n, width), np.tile(np.arange(width), n), weight)
+    block.close()
+    told, given = np.arange(n), np.arange(n) % 7 - 3.0
+    tracemalloc.start()
+    (query, near, score), *more = block.best(told, given, np.array([n]), np.array([np.nan]), 5, tile)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = given @ weight.reshape(n, width)
+    assert not more and query == 0 and near.tolist() == sorted(range(width), key=lambda i: (-want[i], i))[:5] and score.tolist() == want[near].tolist()
+    assert peak < width * n * 8 / 2  # not even half of its products
